@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space between words.
@@ -17,3 +17,12 @@ def words(text: Column) -> Column:
 def row_key(doc_id: Column, text: Column) -> list[Column]:
     """Two longs, never null, that name a row by its id and text: equal rows share them."""
     return [F.xxhash64(F.lit(salt), doc_id, text).alias(name) for salt, name in ((11, "__k1"), (13, "__k2"))]
+
+
+def keep_rows(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows of ``df`` for which ``condition`` holds.
+
+    A plain filter would be pushed below the projections that make its columns, with all of
+    their expressions copied into it; a generator that makes one row or none stays where it is.
+    """
+    return df.withColumn("__one", F.explode(F.when(condition, F.array(F.lit(1))))).drop("__one")
