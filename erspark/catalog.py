@@ -1,16 +1,689 @@
-"""The queries of the engine's own operators and their DuckDB counterparts."""
+"""The queries of the engine's own operators and their DuckDB counterparts.
+
+Each query runs over whole tables. Where SQL has no counterpart (Soundex, Metaphone, Bloom filters,
+EM, canopies, learned rules, spanning-tree splits, streams) there is none here, and the tests
+hold the operator against a plain version.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from erspark.functions import similarity as sim
+from erspark.functions.standardize import STANDARDIZERS
+from erspark.functions.transforms import SIMPLE, apply_transforms, matchkey_column, qgrams
+from erspark.operators import blocking as B
+from erspark.operators import cleaning as C
+from erspark.operators import clusters as K
+from erspark.operators import domain as D
+from erspark.operators import evaluate as E
+from erspark.operators import explain as X
+from erspark.operators import golden as G
+from erspark.operators import pprl
+from erspark.operators import scoring as S
+from erspark.operators.components import connected_components
+from erspark.operators.entity_graph import evidence
+from erspark.plans import auto
+from erspark.plans.config import Blocking, BlockKey, Config, GoldenRules, Matchkey, MatchField
+from erspark.plans.pipeline import dedupe, match
+from erspark.plans.runtime import materialize, shared_dir
+from erspark.sources.files import add_row_ids, extract_entities, suggest_column_mapping
+from erspark.streaming.incremental import Resolver, event_sessions, event_windows
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+ID, CID = "__row_id__", "__cluster_id__"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.withColumn(ID, F.col(key)) if key else df
+
+
+PART_KEYS = [{"fields": ["p_name", "p_brand"], "transforms": ["lowercase"]}, {"fields": ["p_brand", "p_type", "p_size"], "transforms": []}]
+#: Pairs of parts that agree on either key, for the SQL side.
+PART_PAIRS = """SELECT DISTINCT a.p_partkey AS id_a, b.p_partkey AS id_b FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_name = b.p_name AND a.p_brand = b.p_brand
+UNION SELECT a.p_partkey, b.p_partkey FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size"""
+NORMAL_TEXT = r"lower(regexp_replace(text, '\s+', ' ', 'g'))"
+
+
+def text_key() -> object:
+    return F.sha2(F.lower(F.regexp_replace("text", r"\s+", " ")), 256)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact duplicates of documents: one row a group of equal texts."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    key = F.lower(F.regexp_replace("text", r"(?U)\s+", " "))
-    return docs.groupBy(F.xxhash64(key).alias("k")).agg(F.min("doc_id").alias("cluster_id"), F.count("*").alias("size"))
+    """Golden records of documents with equal normalised text."""
+    return document_golden(spark, sf_dir)
+
+
+# -- sources and ids
+
+
+@query("SELECT c_custkey AS id, c_name AS name, 'customer' AS \"__source__\" FROM customer UNION ALL SELECT s_suppkey, s_name, 'supplier' FROM supplier")
+def load_and_tag(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("customer").alias("__source__"))
+    return c.unionByName(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("supplier").alias("__source__")))
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment, c_custkey) + 99 AS \"__row_id__\" FROM customer")
+def row_ids(spark, sf_dir):
+    return add_row_ids(table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey"), offset=100, order=["c_mktsegment", "c_custkey"]).select("c_custkey", ID)
+
+
+@query("SELECT * FROM (VALUES ('CUSTOMER_NAME', 'customer_name'), ('phone_no', 'phone_num')) t(source, target)")
+def column_mapping(spark, sf_dir):
+    found = suggest_column_mapping(["CUSTOMER_NAME", "phone_no", "zzz"], ["customer_name", "phone_num", "city"])
+    return spark.createDataFrame(list(found.items()), "source string, target string")
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+e AS (SELECT doc_id, line, 0 AS o, generate_subscripts(m, 1) AS i, 'email' AS kind, unnest(m) AS v FROM (SELECT *, regexp_extract_all(s, '[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}') AS m FROM l)
+ UNION ALL SELECT doc_id, line, 1, generate_subscripts(m, 1), 'phone', unnest(m) FROM (SELECT *, regexp_extract_all(s, '(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}') AS m FROM l)),
+g AS (SELECT *, CASE WHEN line - lag(line) OVER (PARTITION BY doc_id ORDER BY line, o, i) <= 3 THEN 0 ELSE 1 END AS far FROM e),
+h AS (SELECT *, sum(far) OVER (PARTITION BY doc_id ORDER BY line, o, i) AS grp FROM g)
+SELECT doc_id, coalesce(arg_min(v, line * 1000000 + i) FILTER (WHERE kind = 'email'), '') AS email, coalesce(arg_min(v, line * 1000000 + i) FILTER (WHERE kind = 'phone'), '') AS phone FROM h GROUP BY doc_id, grp""")
+def entities_in_text(spark, sf_dir):
+    return extract_entities(table(spark, sf_dir, "documents"), ["doc_id"], kinds=("email", "phone")).select("doc_id", "email", "phone")
+
+
+@query()
+def entities_all_kinds(spark, sf_dir):
+    return extract_entities(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+# -- transforms and cleaning
+
+T_NAMES = ("lowercase", "uppercase", "strip", "strip_all", "digits_only", "alpha_only", "normalize_whitespace", "token_sort", "first_token", "last_token")
+
+
+@query(r"""SELECT p_partkey, lower(v) AS lowercase, upper(v) AS uppercase, trim(v) AS strip, regexp_replace(v, '\s+', '', 'g') AS strip_all, regexp_replace(v, '[^0-9]', '', 'g') AS digits_only,
+ regexp_replace(v, '[^A-Za-z]', '', 'g') AS alpha_only, trim(regexp_replace(v, '\s+', ' ', 'g')) AS normalize_whitespace,
+ array_to_string(list_sort(list_filter(string_split(v, ' '), lambda x: x <> '')), ' ') AS token_sort, list_filter(string_split(v, ' '), lambda x: x <> '')[1] AS first_token, list_filter(string_split(v, ' '), lambda x: x <> '')[-1] AS last_token,
+ substring(v, 2, 5) AS substring FROM (SELECT p_partkey, '  ' || p_type || '  ' || p_name || ' ' || p_brand || ' ' AS v FROM part)""")
+def transforms(spark, sf_dir):
+    v = F.concat(F.lit("  "), "p_type", F.lit("  "), "p_name", F.lit(" "), "p_brand", F.lit(" "))
+    df = table(spark, sf_dir, "part").select("p_partkey", v.alias("v"))
+    return df.select("p_partkey", *(apply_transforms(F.col("v"), [n]).alias(n) for n in T_NAMES), apply_transforms(F.col("v"), ["substring:1:6"]).alias("substring"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_sort(list_distinct(list_transform(range(1, length(v) - 1), lambda i: substring(v, i, 3))))[1:5], ' ') AS grams
+FROM (SELECT p_partkey, '###' || p_name || '###' AS v FROM part)""")
+def transform_qgram(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", qgrams(F.col("p_name"), 3).alias("grams"))
+
+
+@query()
+def transforms_phonetic(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", *(SIMPLE[n](F.col("p_name")).alias(n) for n in ("soundex", "metaphone")))
+
+
+@query()
+def transform_bloom(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", *(apply_transforms(F.col("c_name"), [t]).alias(n) for t, n in (("bloom_filter", "plain"), ("bloom_filter:high:key", "keyed"), ("bloom_filter:3:10:256", "short"))))
+
+
+@query("SELECT p_partkey, lower(p_name) || '||' || upper(p_brand) || '||' || CASE WHEN p_size > 10 THEN CAST(p_size AS VARCHAR) END AS mk FROM part")
+def matchkey(spark, sf_dir):
+    df = table(spark, sf_dir, "part").withColumn("s", F.when(F.col("p_size") > 10, F.col("p_size")))
+    return df.select("p_partkey", matchkey_column([("p_name", ["lowercase"]), ("p_brand", ["uppercase"]), ("s", [])]).alias("mk"))
+
+
+@query(r"""SELECT c_custkey, CASE WHEN regexp_matches(e, '@[^@]+\.') THEN lower(trim(e)) END AS email, upper(trim(n)) AS name_upper, lower(trim(n)) AS name_lower,
+ CASE WHEN length(d) >= 7 THEN d END AS phone, lpad(left(regexp_replace(split_part(z, '-', 1), '[^0-9]', '', 'g'), 5), 5, '0') AS zip5, upper(trim(c_mktsegment)) AS state,
+ left(upper(c_mktsegment), 1) || lower(substring(c_mktsegment, 2)) AS name_proper, trim(n) AS strip
+FROM (SELECT *, regexp_replace(p, '[^0-9]', '', 'g') AS d FROM (SELECT *, ' ' || c_name || ' ' AS n, c_name || CASE WHEN c_custkey % 3 = 0 THEN '@Mail' ELSE '@mail.Example' END AS e, '(' || (c_custkey % 900 + 100) || ') 555' || CASE WHEN c_custkey % 2 = 0 THEN '-0100' ELSE '' END AS p, c_custkey || '-1234' AS z FROM customer))""")
+def standardizers(spark, sf_dir):
+    k = F.col("c_custkey")
+    df = table(spark, sf_dir, "customer").withColumns({
+        "n": F.concat(F.lit(" "), "c_name", F.lit(" ")), "e": F.concat("c_name", F.when(k % 3 == 0, "@Mail").otherwise("@mail.Example")),
+        "p": F.concat(F.lit("("), (k % 900 + 100).cast("string"), F.lit(") 555"), F.when(k % 2 == 0, "-0100").otherwise("")), "z": F.concat(k.cast("string"), F.lit("-1234"))})
+    of = {"email": "e", "name_upper": "n", "name_lower": "n", "phone": "p", "zip5": "z", "state": "c_mktsegment", "name_proper": "c_mktsegment", "strip": "n"}
+    return df.select("c_custkey", *(STANDARDIZERS[s](F.col(c)).alias(s) for s, c in of.items()))
+
+
+@query()
+def standardize_address(spark, sf_dir):
+    v = F.concat(F.col("c_custkey").cast("string"), F.lit(" north "), F.lower("c_mktsegment"), F.lit(" street, po box "), F.col("c_nationkey").cast("string"))
+    return table(spark, sf_dir, "customer").select("c_custkey", STANDARDIZERS["address"](v).alias("address"))
+
+
+@query(r"""SELECT doc_id, nullif(regexp_replace(trim(text, ' ' || chr(10) || chr(9)), '\s{2,}', ' ', 'g'), '') AS text, lang, source, n_chars FROM documents""")
+def autofix(spark, sf_dir):
+    return C.auto_fix(table(spark, sf_dir, "documents"))
+
+
+@query(r"""SELECT * FROM (VALUES ('bom', 'text', 0), ('null_strings', 'text', 0), ('control', 'text', 0)) t(fix, "column", rows_affected)
+UNION ALL SELECT 'trim', 'text', count(*) FILTER (WHERE text <> trim(text, ' ' || chr(10) || chr(9))) FROM documents
+UNION ALL SELECT 'collapse', 'text', count(*) FILTER (WHERE regexp_matches(trim(text, ' ' || chr(10) || chr(9)), '\s{2,}')) FROM documents""")
+def autofix_log(spark, sf_dir):
+    return C.fix_log(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+RULES = [{"column": "c_name", "rule": "regex", "pattern": "7$", "action": "flag"}, {"column": "c_acctbal", "rule": "not_null", "action": "quarantine"},
+         {"column": "c_mktsegment", "rule": "in_set", "values": ["BUILDING", "MACHINERY"], "action": "null"}, {"column": "c_mktsegment", "rule": "min_length", "value": 9, "action": "quarantine"}]
+
+
+@query("""SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, c_name LIKE '%7' AS "__vf_c_name_regex__" FROM customer WHERE c_mktsegment = 'MACHINERY'""")
+def validate_valid(spark, sf_dir):
+    return C.validate(table(spark, sf_dir, "customer"), RULES)[0]
+
+
+@query("SELECT c_custkey, 'c_mktsegment:min_length' AS \"__quarantine_reason__\" FROM customer WHERE c_mktsegment <> 'MACHINERY'")
+def validate_quarantine(spark, sf_dir):
+    return C.validate(table(spark, sf_dir, "customer"), RULES)[1].select("c_custkey", "__quarantine_reason__")
+
+
+@query("""WITH r AS (SELECT 'c_name' AS "column", 'regex' AS rule, count(*) AS total, count(*) FILTER (WHERE c_name LIKE '%7') AS passed FROM customer UNION ALL SELECT 'c_acctbal', 'not_null', count(*), count(c_acctbal) FROM customer
+UNION ALL SELECT 'c_mktsegment', 'in_set', count(*), count(*) FILTER (WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) FROM customer UNION ALL SELECT 'c_mktsegment', 'min_length', count(*), count(*) FILTER (WHERE c_mktsegment = 'MACHINERY') FROM customer)
+SELECT *, total - passed AS failed, round((total - passed) / total, 6) AS fail_rate FROM r""")
+def validate_report(spark, sf_dir):
+    return C.validate(table(spark, sf_dir, "customer"), RULES)[2]
+
+
+@query(r"""SELECT c_custkey AS row_id, 'email' AS "column", 'fake_email' AS type, 'test@' || lower(c_mktsegment) || '.com' AS value, 'high' AS severity FROM customer WHERE c_custkey % 7 = 0
+UNION ALL SELECT c_custkey, 'zip', 'suspicious_zip', '99999', 'medium' FROM customer WHERE c_nationkey = 3 UNION ALL SELECT c_custkey, 'note', 'placeholder', 'tbd', 'medium' FROM customer WHERE c_nationkey = 4""")
+def anomalies(spark, sf_dir):
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    df = table(spark, sf_dir, "customer", "c_custkey").select(ID, F.col("c_name").alias("name"), F.when(k % 7 == 0, F.concat(F.lit("test@"), F.lower("c_mktsegment"), F.lit(".com"))).otherwise(F.concat("c_name", F.lit("@mail.org"))).alias("email"),
+                                                           F.when(n == 3, "99999").otherwise("54321").alias("zip"), F.when(n == 4, "TBD ").otherwise("fine").alias("note"))
+    return C.detect_anomalies(df)
+
+
+@query("SELECT " + " UNION ALL SELECT ".join(f"'{c}' AS \"column\", count(*) AS total, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS n_unique FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")))
+def profile_columns(spark, sf_dir):
+    return C.profile_columns(table(spark, sf_dir, "orders")).select("column", "total", "nulls", "n_unique")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS total_rows, CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT p_name, p_brand, p_type, p_size FROM part)) AS BIGINT) AS duplicate_rows, CAST(0 AS BIGINT) AS empty_rows FROM part")
+def profile_table(spark, sf_dir):
+    return C.profile_table(table(spark, sf_dir, "part").select("p_name", "p_brand", "p_type", "p_size"))
+
+
+# -- candidates
+
+
+@query("SELECT a.p_partkey AS id_a, b.p_partkey AS id_b, 1.0::DOUBLE AS score FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey")
+def exact_match_pairs(spark, sf_dir):
+    return B.exact_pairs(table(spark, sf_dir, "part", "p_partkey"), matchkey_column([("p_name", ["lowercase"]), ("p_brand", [])]))
+
+
+@query(PART_PAIRS)
+def multi_pass_pairs(spark, sf_dir):
+    return B.static_pairs(table(spark, sf_dir, "part", "p_partkey"), PART_KEYS)
+
+
+@query("""WITH k AS (SELECT 0 AS pass, lower(p_name) || p_brand AS key FROM part UNION ALL SELECT 1, p_brand || '|' || p_type || '|' || p_size FROM part), n AS (SELECT pass, key, count(*) AS n FROM k GROUP BY ALL)
+SELECT pass, count(*) FILTER (WHERE n > 1) AS blocks, max(n) AS max_size, round(avg(n) FILTER (WHERE n > 1), 6) AS mean_size, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pairs FROM n GROUP BY pass""")
+def block_statistics(spark, sf_dir):
+    return B.block_stats(B.key_relation(table(spark, sf_dir, "part", "p_partkey"), PART_KEYS)).drop("std_size")
+
+
+@query("""WITH k AS (SELECT p_partkey AS id, p_brand AS key, p_type AS sub, count(*) OVER (PARTITION BY p_brand) AS n FROM part), m AS (SELECT id, CASE WHEN n > 70 THEN key || '||' || sub ELSE key END AS key FROM k)
+SELECT key, count(*) AS n FROM m GROUP BY key""")
+def adaptive_blocks(spark, sf_dir):
+    rel = B.adaptive_keys(table(spark, sf_dir, "part", "p_partkey"), [{"fields": ["p_brand"]}], [{"fields": ["p_type"]}], 70)
+    return rel.groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_mktsegment, c_custkey) AS p FROM customer)
+SELECT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM p a JOIN p b ON b.p - a.p BETWEEN 1 AND 4""")
+def sorted_neighborhood_pairs(spark, sf_dir):
+    return B.sorted_neighborhood(table(spark, sf_dir, "customer", "c_custkey"), [("c_mktsegment", [])], window=5)
+
+
+@query("""WITH u AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.id AS x, b.id AS y, list_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.id <> b.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS r FROM s) SELECT least(x, y) AS id_a, greatest(x, y) AS id_b, round(max(s), 6) AS score FROM k WHERE r <= 5 GROUP BY 1, 2""")
+def top_k_cosine_pairs(spark, sf_dir):
+    return B.top_k_pairs(table(spark, sf_dir, "embeddings", "vec_id"), "embedding", k=5).withColumn("score", F.round("score", 6))
+
+
+@query()
+def ann_block_pairs(spark, sf_dir):
+    return B.ann_blocks(table(spark, sf_dir, "embeddings", "vec_id"), "embedding", k=3, threshold=0.4)
+
+
+@query()
+def canopy_members(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select("p_name", "p_type").distinct().withColumn("n", F.concat_ws(" ", "p_name", "p_type"))
+    return B.canopies(names.withColumn(ID, F.xxhash64("n")), ["n"])
+
+
+@query()
+def learned_rules(spark, sf_dir):
+    df = table(spark, sf_dir, "part", "p_partkey")
+    rules = B.learn_rules(df, ["p_name", "p_brand", "p_type"], B.static_pairs(df, PART_KEYS[:1]))
+    return spark.createDataFrame([(i, r["name"]) for i, r in enumerate(rules)], "place int, rule string")
+
+
+@query("""WITH t AS (""" + PART_PAIRS.split("\n")[0] + """), k AS (SELECT 0 AS pass, p_partkey AS id, p_brand AS key FROM part UNION ALL SELECT 1, p_partkey, p_name FROM part UNION ALL SELECT 2, p_partkey, p_type FROM part),
+b AS (SELECT pass, sum(n * (n - 1) // 2) AS b FROM (SELECT pass, key, count(*) AS n FROM k GROUP BY ALL) GROUP BY pass),
+h AS (SELECT x.pass, count(*) AS h FROM t JOIN k x ON t.id_a = x.id JOIN k y ON t.id_b = y.id AND x.pass = y.pass AND x.key = y.key GROUP BY x.pass)
+SELECT CAST(b.pass AS INTEGER) AS pass, round(coalesce(h, 0) / (SELECT count(*) FROM t), 6) AS recall, round(1 - b / (SELECT count(*) * (count(*) - 1) // 2 FROM part), 6) AS reduction FROM b LEFT JOIN h ON b.pass = h.pass""")
+def rule_evaluation(spark, sf_dir):
+    df = table(spark, sf_dir, "part", "p_partkey")
+    rules = [{"fields": [c], "transforms": []} for c in ("p_brand", "p_name", "p_type")]
+    return B.evaluate_rules(df, rules, B.static_pairs(df, PART_KEYS[:1])).select("pass", F.round("recall", 6).alias("recall"), F.round("reduction", 6).alias("reduction"))
+
+
+@query("""WITH k AS (SELECT 0 AS pass, p_brand AS key FROM part UNION ALL SELECT 1, p_name || '||' || p_brand FROM part UNION ALL SELECT 2, p_type FROM part), n AS (SELECT pass, key, count(*) AS n FROM k GROUP BY ALL)
+SELECT pass, count(*) AS groups, CAST(sum(n) AS BIGINT) AS covered, max(n) AS max_size, round(count(*) / sum(n) / (1 + max(n) / 5000) / (1 + coalesce(stddev_samp(n), 0) / avg(n)), 6) AS score FROM n GROUP BY pass""")
+def blocking_analyzer(spark, sf_dir):
+    return B.analyze_blocking(table(spark, sf_dir, "part", "p_partkey"), [{"fields": ["p_brand"]}, {"fields": ["p_name", "p_brand"]}, {"fields": ["p_type"]}])
+
+
+@query("""WITH c AS (SELECT s_suppkey AS target_id, c_custkey AS ref_id FROM supplier JOIN customer ON s_nationkey = c_nationkey) SELECT target_id, ref_id FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY ref_id) AS r FROM c) WHERE r <= 1000""")
+def store_side_blocking(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier", "s_suppkey").withColumnRenamed("s_nationkey", "n")
+    return B.cross_pairs(s, table(spark, sf_dir, "customer", "c_custkey").withColumnRenamed("c_nationkey", "n"), [{"fields": ["n"]}], limit=1000)
+
+
+# -- similarity and scoring
+
+VALUES_SQL = "(SELECT DISTINCT p_name AS v FROM part)"
+
+
+def value_pairs(spark, sf_dir) -> DataFrame:
+    v = table(spark, sf_dir, "part").select(F.col("p_name").alias("v")).distinct()  # names are few, whatever the rows
+    return v.select(F.col("v").alias("a")).join(v.select(F.col("v").alias("b")), F.col("a") < F.col("b"))
+
+
+@query(f"""SELECT a.v AS a, b.v AS b, round(jaro_winkler_similarity(a.v, b.v), 6) AS jaro_winkler, round(1 - levenshtein(a.v, b.v) / greatest(length(a.v), length(b.v)), 6) AS levenshtein, 0.0::DOUBLE AS exact FROM {VALUES_SQL} a JOIN {VALUES_SQL} b ON a.v < b.v""")
+def scorers(spark, sf_dir):
+    p = value_pairs(spark, sf_dir)
+    return p.select("a", "b", *(F.round(sim.score(F.col("a"), F.col("b"), s), 6).alias(s) for s in ("jaro_winkler", "levenshtein", "exact")))
+
+
+@query()
+def scorers_more(spark, sf_dir):
+    p = value_pairs(spark, sf_dir)
+    return p.select("a", "b", *(F.round(sim.score(F.col("a"), F.col("b"), s), 6).alias(s) for s in ("token_sort", "soundex_match", "ensemble")))
+
+
+@query("""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), f AS (SELECT label, min(id) AS m FROM e GROUP BY label)
+SELECT x.id AS id, round(list_cosine_similarity(x.v, y.v), 6) AS cosine FROM e x JOIN f ON x.label = f.label JOIN e y ON y.id = f.m""")
+def scorer_embedding(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("w"))
+    return e.join(first, "label").select(F.col("vec_id").alias("id"), F.round(sim.cosine(F.col("embedding"), F.col("w")), 6).alias("cosine"))
+
+
+@query()
+def scorers_bloom(spark, sf_dir):
+    p = value_pairs(spark, sf_dir).withColumns({"ca": apply_transforms(F.col("a"), ["bloom_filter"]), "cb": apply_transforms(F.col("b"), ["bloom_filter"])})
+    return p.select("a", "b", F.round(sim.dice(F.col("ca"), F.col("cb")), 6).alias("dice"), F.round(sim.jaccard(F.col("ca"), F.col("cb")), 6).alias("jaccard"))
+
+
+PART_FIELDS = [{"field": "p_name", "scorer": "jaro_winkler", "weight": 2.0}, {"field": "p_type", "scorer": "levenshtein", "weight": 1.0}, {"field": "p_brand", "scorer": "exact", "weight": 1.0}]
+
+
+@query(f"""WITH c AS ({PART_PAIRS}), s AS (SELECT id_a, id_b, (2 * jaro_winkler_similarity(a.p_name, b.p_name) + (1 - levenshtein(a.p_type, b.p_type) / greatest(length(a.p_type), length(b.p_type))) + CASE WHEN a.p_brand = b.p_brand THEN 1 ELSE 0 END) / 4 AS s
+FROM c JOIN part a ON a.p_partkey = id_a JOIN part b ON b.p_partkey = id_b) SELECT id_a, id_b, round(s, 6) AS score FROM s WHERE s >= 0.85""")
+def weighted_match(spark, sf_dir):
+    df = table(spark, sf_dir, "part", "p_partkey")
+    return S.weighted_scores(B.static_pairs(df, PART_KEYS), df, PART_FIELDS, 0.85).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS t, c_custkey AS r, jaro_winkler_similarity(s_name, c_name) AS s FROM supplier JOIN customer ON s_nationkey = c_nationkey), k AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY s DESC, r) AS n FROM s WHERE s >= 0.6)
+SELECT t AS "__target_row_id__", r AS "__ref_row_id__", round(s, 6) AS "__match_score__" FROM k WHERE n = 1""")
+def list_match_best(spark, sf_dir):
+    return _list_match(spark, sf_dir, "best").matches.select("__target_row_id__", "__ref_row_id__", F.round("__match_score__", 6).alias("__match_score__"))
+
+
+def _list_match(spark, sf_dir, mode, threshold=0.6):
+    t = table(spark, sf_dir, "supplier", "s_suppkey").select(ID, F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    r = table(spark, sf_dir, "customer", "c_custkey").select(ID, F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    plan = Config([Matchkey("name", "weighted", [MatchField("name", [], "jaro_winkler", 1.0)], threshold)], Blocking([BlockKey(["nation"])]), auto_fix=False)
+    return match(t, r, plan, mode)
+
+
+@query("""SELECT s_suppkey AS id FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM customer WHERE s_nationkey = c_nationkey AND jaro_winkler_similarity(s_name, c_name) >= 0.7)""")
+def list_match_unmatched(spark, sf_dir):
+    return _list_match(spark, sf_dir, "all", 0.7).unmatched.select(F.col(ID).alias("id"))
+
+
+@query(f"""WITH c AS ({PART_PAIRS}) SELECT id_a, id_b FROM c WHERE NOT EXISTS (SELECT 1 FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand WHERE a.p_partkey = id_a AND b.p_partkey = id_b)""")
+def pair_exclusion(spark, sf_dir):
+    df = table(spark, sf_dir, "part", "p_partkey")
+    return S.exclude_pairs(B.static_pairs(df, PART_KEYS), B.static_pairs(df, PART_KEYS[:1]))
+
+
+@query(f"""WITH c AS ({PART_PAIRS}) SELECT id_a, id_b FROM c JOIN part a ON a.p_partkey = id_a JOIN part b ON b.p_partkey = id_b WHERE a.p_type <> b.p_type""")
+def cross_source_pairs(spark, sf_dir):
+    df = table(spark, sf_dir, "part", "p_partkey").withColumn("__source__", F.col("p_type"))
+    return S.across_sources(B.static_pairs(df, PART_KEYS), df)
+
+
+@query(f"""WITH c AS ({PART_PAIRS}), s AS (SELECT jaro_winkler_similarity(a.p_name, b.p_name) AS s FROM c JOIN part a ON a.p_partkey = id_a JOIN part b ON b.p_partkey = id_b)
+SELECT CASE WHEN s > 0.95 THEN 'merge' WHEN s >= 0.75 THEN 'review' ELSE 'reject' END AS decision, count(*) AS n FROM s GROUP BY 1""")
+def confidence_gate(spark, sf_dir):
+    df = table(spark, sf_dir, "part", "p_partkey")
+    scored = S.weighted_scores(B.static_pairs(df, PART_KEYS), df, PART_FIELDS[:1], 0.0)
+    return S.gate(scored).groupBy("decision").agg(F.count("*").alias("n"))
+
+
+FS_FIELDS = [{"field": "p_name", "scorer": "jaro_winkler", "levels": 3}, {"field": "p_type", "scorer": "exact", "levels": 2}, {"field": "p_size", "scorer": "exact", "levels": 2}]
+
+
+@query(f"""WITH c AS ({PART_PAIRS}), s AS (SELECT jaro_winkler_similarity(a.p_name, b.p_name) AS s, a.p_type = b.p_type AS t, a.p_size = b.p_size AS z FROM c JOIN part a ON a.p_partkey = id_a JOIN part b ON b.p_partkey = id_b)
+SELECT CASE WHEN s >= 0.95 THEN 2 WHEN s >= 0.8 THEN 1 ELSE 0 END AS l0, CAST(t AS INTEGER) AS l1, CAST(z AS INTEGER) AS l2, count(*) AS n FROM s GROUP BY 1, 2, 3""")
+def comparison_patterns(spark, sf_dir):
+    df = table(spark, sf_dir, "part", "p_partkey")
+    return S.comparison_vectors(B.static_pairs(df, PART_KEYS), df, FS_FIELDS).groupBy("l0", "l1", "l2").agg(F.count("*").alias("n"))
+
+
+@query()
+def probabilistic_match(spark, sf_dir):
+    df = table(spark, sf_dir, "part", "p_partkey")
+    cand = materialize(S.comparison_vectors(B.static_pairs(df, PART_KEYS), df, FS_FIELDS))
+    model = S.train_em(cand, S.comparison_vectors(S.sample_pairs(df), df, FS_FIELDS), FS_FIELDS)
+    return S.probabilistic_scores(cand, model)
+
+
+@query()
+def probabilistic_continuous(spark, sf_dir):
+    df = table(spark, sf_dir, "part", "p_partkey")
+    rows = S.with_records(B.static_pairs(df, PART_KEYS), df, ["p_name", "p_type"])
+    scored = materialize(rows.select("id_a", "id_b", *(S.field_score(f).alias(f"s{i}") for i, f in enumerate(PART_FIELDS[:2]))))
+    return S.continuous_scores(scored, S.train_continuous(scored, 2)).select("id_a", "id_b", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH c AS ({PART_PAIRS}) SELECT id_a, id_b, CASE WHEN id_a % 5 = 0 THEN 1.0 WHEN id_a % 5 = 1 THEN 0.0 ELSE 0.5 END::DOUBLE AS score, CASE WHEN id_a % 5 = 0 THEN 'approve' WHEN id_a % 5 = 1 THEN 'reject' WHEN id_a % 5 = 2 THEN 'stale' ELSE 'none' END AS correction FROM c""")
+def corrections(spark, sf_dir):
+    df = table(spark, sf_dir, "part", "p_partkey")
+    scored = materialize(B.static_pairs(df, PART_KEYS).withColumn("score", F.lit(0.5)))
+    h = df.select(F.col(ID).alias("i"), S.record_hash(["p_name", "p_brand"]).alias("h"))
+    m = F.col("id_a") % 5
+    log = scored.filter(m <= 2).join(h.select(F.col("i").alias("id_a"), F.col("h").alias("hash_a")), "id_a").join(h.select(F.col("i").alias("id_b"), F.col("h").alias("hash_b")), "id_b").select(
+        "id_a", "id_b", F.when(m == 1, "reject").otherwise("approve").alias("decision"), F.when(m == 2, "old").otherwise(F.col("hash_a")).alias("hash_a"), "hash_b")
+    return S.apply_corrections(scored, df, log, ["p_name", "p_brand"])
+
+
+@query()
+def active_sampling(spark, sf_dir):
+    df = table(spark, sf_dir, "part", "p_partkey")
+    scored = S.weighted_scores(B.static_pairs(df, PART_KEYS), df, PART_FIELDS, 0.0)
+    return S.active_sample(materialize(scored), 100, "combined", 0.8)
+
+
+@query()
+def boosted_scores(spark, sf_dir):
+    df = table(spark, sf_dir, "part", "p_partkey")
+    pairs = materialize(B.static_pairs(df, PART_KEYS))
+    side = lambda s: df.select(F.col(ID).alias(f"id_{s}"), F.col("p_name").alias(s))
+    labels = pairs.join(side("a"), "id_a").join(side("b"), "id_b").select("id_a", "id_b", (F.col("a") == F.col("b")).cast("int").alias("label")).filter(F.pmod(F.xxhash64("id_a", "id_b"), F.lit(10)) == 0)
+    return S.boost(pairs, df, ["p_name", "p_type"], labels).withColumn("score", F.round("score", 4))
+
+
+@query()
+def reranked(spark, sf_dir):
+    df = table(spark, sf_dir, "part", "p_partkey")
+    scored = materialize(S.weighted_scores(B.static_pairs(df, PART_KEYS), df, PART_FIELDS, 0.8))
+    return S.rerank(scored, df, ["p_name", "p_type"], lambda a, b: sim.score(a, b, "token_sort"), 0.85)
+
+
+# -- clusters and golden records
+
+DOC_CLUSTERS = f"SELECT doc_id AS \"__row_id__\", min(doc_id) OVER (PARTITION BY {NORMAL_TEXT}) AS \"__cluster_id__\" FROM documents"
+
+
+def document_pairs(spark, sf_dir) -> DataFrame:
+    return B.exact_pairs(table(spark, sf_dir, "documents", "doc_id"), text_key())
+
+
+@query(DOC_CLUSTERS)
+def connected_documents(spark, sf_dir):
+    return K.membership_of(document_pairs(spark, sf_dir), table(spark, sf_dir, "documents", "doc_id"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey <> b.p_partkey AND ((a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_type = b.p_type) OR (a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_type = b.p_type))),
+r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node) SELECT node, min(root) AS component FROM r GROUP BY node""")
+def connected_parts(spark, sf_dir):
+    df = table(spark, sf_dir, "part", "p_partkey")
+    return connected_components(B.static_pairs(df, [{"fields": ["p_name", "p_brand", "p_type"]}, {"fields": ["p_brand", "p_size", "p_type"]}]))
+
+
+@query(f"""WITH m AS ({DOC_CLUSTERS}), s AS (SELECT "__cluster_id__", count(*) AS n FROM m GROUP BY 1)
+SELECT "__cluster_id__", CAST(n AS INTEGER) AS size, n > 100 AS oversized, 1.0::DOUBLE AS confidence, 'strong' AS cluster_quality FROM s""")
+def cluster_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id")
+    pairs = materialize(document_pairs(spark, sf_dir))
+    return K.cluster_stats(materialize(K.membership_of(pairs, docs)), pairs).drop("bottleneck_pair")
+
+
+@query()
+def split_clusters(spark, sf_dir):
+    df = table(spark, sf_dir, "part", "p_partkey")
+    pairs = materialize(S.weighted_scores(B.static_pairs(df, PART_KEYS), df, PART_FIELDS, 0.85))
+    return K.build_clusters(pairs, df, max_size=5)[1].groupBy("cluster_quality", "size").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH m AS ({DOC_CLUSTERS}) SELECT "__row_id__", CASE WHEN "__cluster_id__" % 2 = 0 THEN "__row_id__" ELSE "__cluster_id__" END AS "__cluster_id__" FROM m""")
+def incremental_clusters(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id")
+    pairs = materialize(document_pairs(spark, sf_dir))
+    full = materialize(K.membership_of(pairs, docs))
+    odd = full.filter(F.col(CID) % 2 == 1).select(ID)
+    old = docs.join(odd, ID, "left_anti").select(F.col(ID).alias(CID), ID)
+    new = pairs.join(odd.select(F.col(ID).alias("id_a")), "id_a", "left_semi")
+    return K.add_to_clusters(old, odd, new)
+
+
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY length(o_orderpriority) DESC, o_orderkey) AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS f FROM orders),
+v AS (SELECT o_custkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, min(o_orderkey)) AS k FROM orders GROUP BY 1, 2)
+SELECT o.o_custkey, max(CASE WHEN c = 1 THEN o_orderpriority END) AS o_orderpriority, max(CASE WHEN r = 1 THEN o_totalprice END) AS o_totalprice, max(CASE WHEN f = 1 THEN o_orderdate END) AS o_orderdate, max(v.o_orderstatus) AS o_orderstatus
+FROM o JOIN v ON o.o_custkey = v.o_custkey AND v.k = 1 GROUP BY o.o_custkey""")
+def golden_strategies(spark, sf_dir):
+    rules = {"o_orderpriority": {"strategy": "most_complete"}, "o_totalprice": {"strategy": "most_recent", "date_column": "o_orderdate"}, "o_orderdate": {"strategy": "first_non_null"}, "o_orderstatus": {"strategy": "majority_vote"}}
+    return G.build_golden(table(spark, sf_dir, "orders"), rules, order="o_orderkey", by="o_custkey", columns=list(rules)).drop("__golden_confidence__")
+
+
+@query("""WITH n AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2) SELECT o_custkey, round(CASE WHEN count(*) = 1 THEN 1.0 ELSE max(n) / sum(n) END, 6) AS "__golden_confidence__" FROM n GROUP BY 1""")
+def golden_confidence(spark, sf_dir):
+    return G.build_golden(table(spark, sf_dir, "orders"), default="majority_vote", order="o_orderkey", by="o_custkey", columns=["o_orderstatus"]).drop("o_orderstatus")
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderpriority, list_position(['2-HIGH', '1-URGENT', '3-MEDIUM'], o_orderpriority) AS p, o_orderkey, o_orderstatus FROM orders),
+k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY p, o_orderkey) AS n FROM r WHERE p > 0) SELECT c.o_custkey, k.o_orderstatus FROM (SELECT DISTINCT o_custkey FROM orders) c LEFT JOIN k ON c.o_custkey = k.o_custkey AND k.n = 1""")
+def golden_source_priority(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").withColumn("__source__", F.col("o_orderpriority"))
+    rule = {"o_orderstatus": {"strategy": "source_priority", "source_priority": ["2-HIGH", "1-URGENT", "3-MEDIUM"]}}
+    return G.build_golden(df, rule, order="o_orderkey", by="o_custkey", columns=["o_orderstatus"]).drop("__golden_confidence__")
+
+
+@query("""WITH n AS (SELECT o_custkey, count(*) AS c, arg_min(o_orderkey, o_orderkey) AS first FROM orders GROUP BY 1) SELECT o_custkey, first AS source_row_id, c AS candidates FROM n""")
+def golden_provenance(spark, sf_dir):
+    g = G.build_golden(table(spark, sf_dir, "orders"), default="first_non_null", order="o_orderkey", by="o_custkey", columns=["o_orderstatus"], provenance=True)
+    p = F.col("__provenance__")["o_orderstatus"]
+    return g.select("o_custkey", p["source_row_id"].alias("source_row_id"), F.size(p["candidates"]).cast("long").alias("candidates"))
+
+
+@query(f"""WITH m AS (SELECT *, min(doc_id) OVER (PARTITION BY {NORMAL_TEXT}) AS c FROM documents), n AS (SELECT *, count(*) OVER (PARTITION BY c) AS k FROM m), g AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY length(text) DESC, doc_id) AS r FROM n WHERE k > 1)
+SELECT c AS "__cluster_id__", text FROM g WHERE r = 1""")
+def document_golden(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id")
+    members = K.membership_of(document_pairs(spark, sf_dir))
+    return G.build_golden(docs.join(members, ID), columns=["text"]).select(CID, "text")
+
+
+@query(f"""WITH m AS (SELECT *, min(doc_id) OVER (PARTITION BY {NORMAL_TEXT}) AS c FROM documents), n AS (SELECT *, count(*) OVER (PARTITION BY c) AS k, first_value(lang) OVER (PARTITION BY c ORDER BY doc_id) AS gl, first_value(source) OVER (PARTITION BY c ORDER BY doc_id) AS gs FROM m)
+SELECT doc_id, k > 1 AND lang <> gl AS "__changed_lang__", k > 1 AND source <> gs AS "__changed_source__" FROM n""")
+def before_after_diff(spark, sf_dir):
+    diff = _diff(spark, sf_dir)
+    return diff.select("doc_id", "__changed_lang__", "__changed_source__")
+
+
+def _diff(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id")
+    members = materialize(K.membership_of(document_pairs(spark, sf_dir)))
+    golden = materialize(G.build_golden(docs.join(members, ID), default="first_non_null", columns=["lang", "source"]))
+    return G.before_after(docs, golden, members, ["lang", "source"])
+
+
+@query(f"""WITH m AS (SELECT *, min(doc_id) OVER (PARTITION BY {NORMAL_TEXT}) AS c FROM documents), n AS (SELECT *, first_value(lang) OVER (PARTITION BY c ORDER BY doc_id) AS gl, first_value(source) OVER (PARTITION BY c ORDER BY doc_id) AS gs FROM m)
+SELECT count(*) AS total, count(*) FILTER (WHERE lang <> gl OR source <> gs) AS affected, count(*) FILTER (WHERE lang <> gl) AS changed_lang, count(*) FILTER (WHERE source <> gs) AS changed_source FROM n""")
+def preview_of_merge(spark, sf_dir):
+    return G.merge_preview(_diff(spark, sf_dir), ["lang", "source"]).drop("risk")
+
+
+@query(f"""WITH m AS ({DOC_CLUSTERS}), s AS (SELECT count(*) AS n FROM m GROUP BY "__cluster_id__")
+SELECT CAST(sum(n) AS BIGINT) AS total_records, count(*) FILTER (WHERE n > 1) AS clusters, CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS matched_records, max(n) AS max_size, round(coalesce(avg(n) FILTER (WHERE n > 1), 0), 6) AS avg_size,
+ round(count(*) FILTER (WHERE n > 1) / sum(n), 6) AS cluster_rate, round(coalesce(sum(n) FILTER (WHERE n > 1), 0) / sum(n), 6) AS matched_rate FROM s""")
+def dedupe_report(spark, sf_dir):
+    return E.cluster_report(connected_documents(spark, sf_dir))
+
+
+@query()
+def dedupe_end_to_end(spark, sf_dir):
+    df = table(spark, sf_dir, "part", "p_partkey").drop("p_retailprice")
+    plan = Config([Matchkey("exact", "exact", [MatchField("p_name", ["lowercase", "strip"]), MatchField("p_brand"), MatchField("p_type"), MatchField("p_size")]),
+                   Matchkey("fuzzy", "weighted", [MatchField("p_name", ["lowercase"], "jaro_winkler", 2.0), MatchField("p_size", [], "exact", 1.0)], 0.9)], Blocking([BlockKey(["p_brand", "p_type"])]), GoldenRules("majority_vote", max_cluster_size=50))
+    return dedupe(df, plan).golden
+
+
+# -- evaluation
+
+
+@query("""WITH p AS (SELECT DISTINCT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_name = b.p_name AND a.p_brand = b.p_brand), t AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size),
+x AS (SELECT (SELECT count(*) FROM p JOIN t USING (a, b)) AS tp, (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM t) AS nt)
+SELECT tp, np - tp AS fp, nt - tp AS fn, round(tp / np, 6) AS precision, round(tp / nt, 6) AS recall, round(2 * tp / (np + nt), 6) AS f1 FROM x""")
+def evaluation(spark, sf_dir):
+    df = table(spark, sf_dir, "part", "p_partkey")
+    return E.evaluate_pairs(B.static_pairs(df, PART_KEYS[:1]), B.static_pairs(df, PART_KEYS[1:]))
+
+
+COMPARE_SQL = """WITH x AS (SELECT p_brand AS a, p_brand || p_type AS b FROM part), t AS (SELECT a, b, count(*) AS n FROM x GROUP BY 1, 2), f AS (SELECT *, sum(n) OVER (PARTITION BY a) AS na, count(*) OVER (PARTITION BY a) AS parts, sum(n) OVER (PARTITION BY b) AS nb FROM t),
+k AS (SELECT a, CASE WHEN max(parts) = 1 AND max(na) = max(nb) THEN 'unchanged' WHEN max(parts) = 1 THEN 'merged' WHEN min(CAST(n = nb AS INTEGER)) = 1 THEN 'partitioned' ELSE 'overlapping' END AS c FROM f GROUP BY a)
+SELECT count(*) AS n_a, count(*) FILTER (WHERE c = 'unchanged') AS unchanged, count(*) FILTER (WHERE c = 'merged') AS merged, count(*) FILTER (WHERE c = 'partitioned') AS partitioned, count(*) FILTER (WHERE c = 'overlapping') AS overlapping,
+ (SELECT count(DISTINCT b) FROM x) AS n_b, (SELECT count(*) FROM t) AS overlaps, round(sqrt(count(*) * (SELECT count(DISTINCT b) FROM x)) / (SELECT count(*) FROM t), 6) AS twi FROM k"""
+
+
+@query(COMPARE_SQL)
+def cluster_comparison(spark, sf_dir):
+    df = table(spark, sf_dir, "part", "p_partkey")
+    of = lambda *c: df.select(F.xxhash64(*c).alias(CID), ID)
+    return E.compare_clusters(of("p_brand"), of("p_brand", "p_type"))
+
+
+@query()
+def sensitivity_sweep(spark, sf_dir):
+    df = table(spark, sf_dir, "part", "p_partkey")
+    scored = S.weighted_scores(B.static_pairs(df, PART_KEYS), df, PART_FIELDS, 0.7)
+    return E.sensitivity(scored, df, [0.8, 0.9], 0.85)
+
+
+@query(f"""WITH c AS ({PART_PAIRS}), s AS (SELECT jaro_winkler_similarity(a.p_name, b.p_name) AS s FROM c JOIN part a ON a.p_partkey = id_a JOIN part b ON b.p_partkey = id_b) SELECT round(avg(CAST(s BETWEEN 0.8::DOUBLE - 0.02::DOUBLE AND 0.8::DOUBLE + 0.02::DOUBLE AS INTEGER)), 6) AS overlap FROM s""")
+def overlap_at_threshold(spark, sf_dir):
+    df = table(spark, sf_dir, "part", "p_partkey")
+    return E.threshold_overlap(S.weighted_scores(B.static_pairs(df, PART_KEYS), df, PART_FIELDS[:1], 0.0), 0.8)
+
+
+@query()
+def score_thresholds(spark, sf_dir):
+    df = table(spark, sf_dir, "part", "p_partkey")
+    scored = materialize(S.weighted_scores(B.static_pairs(df, PART_KEYS), df, PART_FIELDS[:1], 0.0))
+    low = S.link_thresholds(scored)
+    return spark.createDataFrame([(E.otsu_threshold(scored), E.valley(scored), low[0], low[1])], "otsu double, valley double, link double, review double")
+
+
+# -- domain, planning, explanations
+
+
+@query(r"""SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: length(w) > 2 AND w NOT IN ('the', 'a', 'an', 'on', 'in', 'of', 'for', 'and', 'to', 'with'))[1] AS title_key FROM documents""")
+def title_keys(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", D.title_key(F.col("text")).alias("title_key"))
+
+
+@query("""SELECT p_partkey, nullif(regexp_extract(v, '(?i)^(Sony|Canon)\\b', 1), '') AS brand, nullif(regexp_extract(v, '\\b([A-Z]{1,5}[-]?\\d{2,}[A-Z0-9]*(?:[-/]\\w+)?)\\b', 1), '') AS model, nullif(lower(regexp_extract(v, '(?i)\\b(black|white|silver|gold|red|blue|green)\\b', 1)), '') AS color
+FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Sony ' ELSE 'Canon ' END || p_name || ' DX-' || (p_partkey + 100) || ' 16 GB' AS v FROM part)""")
+def product_features(spark, sf_dir):
+    v = F.concat(F.when(F.col("p_partkey") % 2 == 0, "Sony ").otherwise("Canon "), "p_name", F.lit(" DX-"), (F.col("p_partkey") + 100).cast("string"), F.lit(" 16 GB"))
+    out = D.product_features(table(spark, sf_dir, "part").select("p_partkey", v.alias("v")), "v")
+    return out.select("p_partkey", F.col("__brand__").alias("brand"), F.col("__model__").alias("model"), F.col("__color__").alias("color"))
+
+
+@query()
+def software_features(spark, sf_dir):
+    v = F.concat(F.lit("Microsoft "), "p_name", F.lit(" Professional 6.5 for Windows "), (F.col("p_partkey") + 10000).cast("string"))
+    return D.software_features(table(spark, sf_dir, "part").select("p_partkey", v.alias("v")), "v")
+
+
+@query()
+def rulebook_features(spark, sf_dir):
+    v = F.concat("p_name", F.lit(" DX-"), (F.col("p_partkey") + 100).cast("string"), F.lit(" 512 GB"))
+    return D.extract_by_rulebook(table(spark, sf_dir, "part").select("p_partkey", v.alias("v")), "v", D.load_rulebook("electronics"))
+
+
+@query()
+def auto_plan(spark, sf_dir):
+    df = table(spark, sf_dir, "customer", "c_custkey")
+    plan = auto.auto_configure(df)
+    rows = [("matchkey", m.name, m.type) for m in plan.matchkeys] + ([("blocking", plan.blocking.strategy, str([k.fields for k in plan.blocking.keys + plan.blocking.passes]))] if plan.blocking else [])
+    return spark.createDataFrame(rows + [(f["check"], f["subject"], f["message"]) for f in auto.preflight(df, plan)], "kind string, name string, value string")
+
+
+@query()
+def schema_mapping(spark, sf_dir):
+    found = auto.map_schemas(table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier"), 0.4)
+    return spark.createDataFrame([(str(m["source"]), m["target"], m["score"], m["how"]) for m in found], "source string, target string, score double, how string")
+
+
+@query(f"""WITH c AS ({PART_PAIRS.split(chr(10))[0]}) SELECT id_a, id_b, round((jaro_winkler_similarity(a.p_name, b.p_name) + CASE WHEN a.p_type = b.p_type THEN 1 ELSE 0 END) / 2, 6) AS score, CASE WHEN a.p_type = b.p_type THEN 'identical' ELSE 'different' END AS type_diff
+FROM c JOIN part a ON a.p_partkey = id_a JOIN part b ON b.p_partkey = id_b""")
+def pair_explanations(spark, sf_dir):
+    df = table(spark, sf_dir, "part", "p_partkey")
+    fields = [{"field": "p_name", "scorer": "jaro_winkler", "weight": 1.0}, {"field": "p_type", "scorer": "exact", "weight": 1.0}]
+    return X.explain_pairs(B.static_pairs(df, PART_KEYS[:1]), df, fields).select("id_a", "id_b", "score", F.col("fields")[1]["diff"].alias("type_diff"))
+
+
+# -- privacy, graphs, streams
+
+
+@query()
+def private_linkage(spark, sf_dir):
+    c = table(spark, sf_dir, "customer", "c_custkey").select(ID, F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    other = c.select((F.col(ID) + 1_000_000).alias(ID), F.regexp_replace("name", "#0", "# ").alias("name"), "nation")
+    return pprl.link(c, other, ["name"], 0.9, key="shared", block=["nation"]).select("id_a", "id_b", F.round("score", 6).alias("score"))
+
+
+@query("""WITH m AS (SELECT DISTINCT o_orderpriority || o_orderdate AS k, o_custkey AS c FROM orders) SELECT DISTINCT a.c AS id_a, b.c AS id_b FROM m a JOIN m b ON a.k = b.k AND a.c < b.c""")
+def foreign_key_evidence(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders", "o_orderkey")
+    members = orders.select(F.xxhash64("o_orderpriority", "o_orderdate").alias(CID), ID)
+    return evidence(members, orders, "o_custkey", table(spark, sf_dir, "customer", "c_custkey"), "c_custkey")
+
+
+@query("""SELECT time_bucket(INTERVAL 1 hour, ts) AS start, time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour AS "end", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def tumbling_windows(spark, sf_dir):
+    return event_windows(table(spark, sf_dir, "events"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 minutes THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 minutes AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def session_windows(spark, sf_dir):
+    return event_sessions(table(spark, sf_dir, "events"))
+
+
+@query("""SELECT p_partkey AS "__row_id__", min(p_partkey) OVER (PARTITION BY lower(p_name), p_brand) AS "__cluster_id__" FROM part""")
+def streamed_clusters(spark, sf_dir):
+    """Parts as a stream of files: each micro-batch is matched with all before it."""
+    home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    parts = table(spark, sf_dir, "part", "p_partkey").select(ID, "p_name", "p_brand")
+    parts.repartition(3, ID).write.parquet(f"{home}/in")
+    plan = Config([Matchkey("exact", "exact", [MatchField("p_name", ["lowercase"]), MatchField("p_brand")])])
+    resolver = Resolver(spark, f"{home}/state", plan)
+    stream = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+    resolver.start(stream, f"{home}/checkpoint").awaitTermination()
+    return resolver.membership()

@@ -100,22 +100,37 @@ def _sorted(c: Column) -> Column:
     return F.array_join(F.array_sort(tokens(c)), " ")
 
 
-def _hex_bits(a: Column, b: Column, op: str) -> Column:
-    """Set bits of both hex strings combined, in words of 60 bits."""
-    words = F.sequence(F.lit(0), F.greatest(F.floor((F.length(a) - 1) / 15).cast("int"), F.lit(0)))
-    word = lambda c, i: F.coalesce(F.conv(F.substring(c, i * 15 + 1, 15), 16, 10).cast("bigint"), F.lit(0))
-    both = lambda i: word(a, i).bitwiseAND(word(b, i)) if op == "and" else word(a, i).bitwiseOR(word(b, i))
-    return F.aggregate(F.transform(words, lambda i: F.bit_count(both(i))), F.lit(0), lambda s, x: s + x)
+def hex_words(c: Column) -> Column:
+    """A hex string as numbers of 60 bits each; made once a record where many pairs are compared."""
+    places = F.sequence(F.lit(0), F.greatest(F.floor((F.length(c) - 1) / 15).cast("int"), F.lit(0)))
+    return F.transform(places, lambda i: F.coalesce(F.conv(F.substring(c, i * 15 + 1, 15), 16, 10).cast("bigint"), F.lit(0).cast("bigint")))
 
 
-def dice(a: Column, b: Column) -> Column:
-    total = _hex_bits(a, a, "and") + _hex_bits(b, b, "and")
-    return F.when(a.isNotNull() & b.isNotNull(), F.when(total == 0, 0.0).otherwise(2.0 * _hex_bits(a, b, "and") / total))
+def set_bits(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0), lambda s, x: s + F.bit_count(x))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    either = _hex_bits(a, b, "or")
-    return F.when(a.isNotNull() & b.isNotNull(), F.when(either == 0, 0.0).otherwise(_hex_bits(a, b, "and") / either))
+def shared_bits(a: Column, b: Column) -> Column:
+    return set_bits(F.zip_with(a, b, lambda x, y: F.coalesce(x.bitwiseAND(y), F.lit(0).cast("bigint"))))
+
+
+def dice_of(both: Column, n_a: Column, n_b: Column) -> Column:
+    return F.when(n_a + n_b == 0, 0.0).otherwise(2.0 * both / (n_a + n_b))
+
+
+def jaccard_of(both: Column, n_a: Column, n_b: Column) -> Column:
+    return F.when(n_a + n_b - both == 0, 0.0).otherwise(both / (n_a + n_b - both))
+
+
+def _hex(of: Callable) -> Callable[[Column, Column], Column]:
+    def build(a: Column, b: Column) -> Column:
+        x, y = hex_words(a), hex_words(b)
+        return F.when(a.isNotNull() & b.isNotNull(), of(shared_bits(x, y), set_bits(x), set_bits(y)))
+
+    return build
+
+
+dice, jaccard = _hex(dice_of), _hex(jaccard_of)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -69,8 +69,8 @@ def split_cluster(edges: list[tuple[int, int, float]], members: list[int], max_s
 def split_oversized(membership: DataFrame, pairs: DataFrame, max_size: int) -> tuple[DataFrame, DataFrame]:
     """(membership, ids of clusters that a split made); only oversized clusters leave the plan of built-ins."""
     big = membership.groupBy(CID).count().filter(F.col("count") > max_size).select(CID)
-    rows = membership.join(big, CID)
-    edges = pairs.join(rows.select(F.col(ID).alias("id_a"), CID), "id_a").select(CID, "id_a", "id_b", "score")
+    rows = materialize(membership.join(big, CID, "left_semi"))
+    edges = materialize(pairs.join(rows.select(F.col(ID).alias("id_a"), CID), "id_a").select(CID, "id_a", "id_b", "score"))
 
     def run(members: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         if not len(members):

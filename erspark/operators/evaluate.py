@@ -31,7 +31,7 @@ def cluster_pairs(membership: DataFrame) -> DataFrame:
 def evaluate_pairs(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: tp, fp, fn, precision, recall, f1."""
     p, t = canonical(predicted).withColumn("p", F.lit(1)), canonical(truth).withColumn("t", F.lit(1))
-    both = p.join(t, ["id_a", "id_b"], "full").agg(F.count_if("p = 1 and t = 1").alias("tp"), F.count_if("p = 1 and t is null").alias("fp"), F.count_if("p is null and t = 1").alias("fn"))
+    both = p.join(t, ["id_a", "id_b"], "full").agg(F.count_if(F.expr("p = 1 and t = 1")).alias("tp"), F.count_if(F.expr("p = 1 and t is null")).alias("fp"), F.count_if(F.expr("p is null and t = 1")).alias("fn"))
     ratio = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 6)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return both.select("tp", "fp", "fn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from erspark.functions.similarity import dice, jaccard
+from erspark.functions.similarity import dice_of, hex_words, jaccard_of, set_bits, shared_bits
 from erspark.functions.transforms import LEVELS, bloom_filter
 from erspark.operators.components import connected_components
 from erspark.plans.runtime import materialize
@@ -28,7 +28,8 @@ def link(a: DataFrame, b: DataFrame, columns: list[str], threshold: float = 0.85
     Without ``block`` every record of a meets every record of b, which is what the protocol
     asks for, over a grid of hash blocks of both sides; with it only records of equal (agreed, encoded) block keys meet.
     """
-    ea, eb = materialize(encode(a, columns, level, key, id_col)), materialize(encode(b, columns, level, key, id_col))
+    words = lambda d: encode(d, columns, level, key, id_col).select("id", hex_words(F.col("clk")).alias("w")).withColumn("n", set_bits(F.col("w")))
+    ea, eb = materialize(words(a)), materialize(words(b))
     if block:
         kb = lambda d, e: e.join(d.select(F.col(id_col).alias("id"), F.sha2(F.lower(F.concat_ws("|", *block)), 256).alias("k")), "id")
         left, right = kb(a, ea), kb(b, eb)
@@ -36,9 +37,10 @@ def link(a: DataFrame, b: DataFrame, columns: list[str], threshold: float = 0.85
         grid = max(1, -(-eb.count() // 4096))
         left = ea.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
         right = eb.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(grid)).cast("int"))
-    f = dice if metric == "dice" else jaccard
-    both = left.select(F.col("id").alias("id_a"), F.col("clk").alias("ca"), "k").join(right.select(F.col("id").alias("id_b"), F.col("clk").alias("cb"), "k"), "k")
-    out = both.select("id_a", "id_b", f(F.col("ca"), F.col("cb")).alias("score")).filter(F.col("score") >= threshold)
+    f = dice_of if metric == "dice" else jaccard_of
+    side = lambda d, s: d.select("k", F.col("id").alias(f"id_{s}"), F.col("w").alias(f"w_{s}"), F.col("n").alias(f"n_{s}"))
+    both = side(left, "a").join(side(right, "b"), "k")
+    out = both.select("id_a", "id_b", f(shared_bits(F.col("w_a"), F.col("w_b")), F.col("n_a"), F.col("n_b")).alias("score")).filter(F.col("score") >= threshold)
     return out.withColumn("score", F.lit(float(threshold))) if protocol == "smc" else out
 
 

@@ -184,18 +184,19 @@ def parse_blocks(df: DataFrame, lines: int) -> DataFrame:
     return df.withColumn("p", parts).filter(F.size("p") > 0).select(*(F.coalesce(F.get("p", F.lit(i)), F.lit("")).alias(f"line_{i + 1}") for i in range(lines)))
 
 
-def extract_entities(df: DataFrame, key: list[str], text: str = "text", near: int = 3) -> DataFrame:
+def extract_entities(df: DataFrame, key: list[str], text: str = "text", near: int = 3, kinds: tuple = tuple(ENTITIES)) -> DataFrame:
     """Entities of each text, those at most ``near`` lines apart in one record, the first of each kind.
 
     One pass over the lines, a window within each text, and one aggregation.
     """
     lines = df.select(*key, F.posexplode(F.split(F.col(text), "\r?\n")).alias("line", "s"))
-    kinds = F.array(*(F.transform(F.regexp_extract_all("s", F.lit(p), F.lit(0)), lambda v, i, k=k, o=o: F.struct(F.lit(o).alias("o"), i.alias("i"), F.lit(k).alias("kind"), v.alias("v"))) for o, (k, p) in enumerate(ENTITIES.items())))
-    hits = lines.select(*key, "line", F.explode(F.flatten(kinds)).alias("e")).select(*key, "line", "e.*")
+    hit = lambda o, k: lambda v, i: F.struct(F.lit(o).alias("o"), i.alias("i"), F.lit(k).alias("kind"), v.alias("v"))
+    found = F.array(*(F.transform(F.regexp_extract_all("s", F.lit(ENTITIES[k]), F.lit(0)), hit(o, k)) for o, k in enumerate(kinds)))
+    hits = lines.select(*key, "line", F.explode(F.flatten(found)).alias("e")).select(*key, "line", "e.*")
     w = Window.partitionBy(*key).orderBy("line", "o", "i")
     hits = hits.withColumn("far", F.when(F.col("line") - F.lag("line").over(w) <= near, 0).otherwise(1)).withColumn("grp", F.sum("far").over(w))
     first = lambda k: F.min_by(F.when(F.col("kind") == k, F.col("v")), F.when(F.col("kind") == k, F.struct("line", "o", "i")))
-    return hits.groupBy(*key, F.col("grp").cast("int").alias("group")).agg(*(F.coalesce(first(k), F.lit("")).alias(k) for k in ENTITIES))
+    return hits.groupBy(*key, F.col("grp").cast("int").alias("group")).agg(*(F.coalesce(first(k), F.lit("")).alias(k) for k in kinds))
 
 
 def parse_delimited(df: DataFrame, delimiter: str, names: list[str]) -> DataFrame:
