@@ -152,7 +152,7 @@ def fixed_width_columns(lines: list[str]) -> list[tuple[int, int]]:
     for i, b in enumerate([*blank, True]):
         if not b and at is None:
             at = i
-        elif b and at is not None and (i + 1 >= width or blank[i + 1] if i < width else True):
+        elif b and at is not None:
             spans.append((at, i))
             at = None
     return spans if len(spans) >= 2 else []
