@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from erspark.plans.runtime import ship
+
 _VOWELS = "AEIOU"
 #: Spellings at the start of a word.
 _FIRST = (("AE", "E"), ("GN", "N"), ("KN", "N"), ("PN", "N"), ("WR", "R"), ("X", "S"), ("WH", "W"))
@@ -112,6 +114,8 @@ def _word(w: str) -> str:
 
 
 def metaphone_column(c: Column) -> Column:
+    ship()
+
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         codes = {v: metaphone(v) for v in s.dropna().unique()}

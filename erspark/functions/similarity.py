@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from erspark.functions.transforms import soundex, tokens
+from erspark.plans.runtime import ship
 
 PLUGINS: dict[str, Callable[[Column, Column], Column]] = {}
 
@@ -72,6 +73,8 @@ def indel(a: str, b: str) -> float:
 
 def _arrow(score: Callable[[str, str], float]) -> Callable[[Column, Column], Column]:
     def build(a: Column, b: Column) -> Column:
+        ship()
+
         @F.pandas_udf(T.DoubleType())
         def run(x: pd.Series, y: pd.Series) -> pd.Series:
             memo: dict = {}
@@ -215,6 +218,8 @@ def register_sql(spark: SparkSession) -> None:
     """SQL functions ``er_score(a, b, scorer)``, null gives 0, and ``er_metaphone(a)``."""
     import erspark.functions.phonetic as phonetic
 
+    ship(spark)
+
     py = {"exact": lambda a, b: float(a == b), "jaro_winkler": jaro_winkler, "token_sort": lambda a, b: indel(" ".join(sorted(a.split())), " ".join(sorted(b.split())))}
 
     @F.pandas_udf(T.DoubleType())

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from erspark.functions.phonetic import metaphone_column
+from erspark.plans.runtime import ship
 
 #: Transforms added by ``register_transform``: name -> (Column -> Column).
 PLUGINS: dict[str, Callable[[Column], Column]] = {}
@@ -70,6 +71,8 @@ def clk(value: str | None, n: int, k: int, bits: int, key: str | None = None, pa
 
 
 def bloom_filter(c: Column, n: int = 2, k: int = 20, bits: int = 1024, key: str | None = None, pad: bool = False) -> Column:
+    ship()
+
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         memo: dict = {}

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from erspark.functions.transforms import apply_transforms, matchkey_column
 from erspark.operators.components import connected_components
-from erspark.plans.runtime import materialize
+from erspark.plans.runtime import materialize, ship
 
 ID = "__row_id__"
 #: Rows of a block that one task pairs with the rest.
@@ -124,6 +124,7 @@ def top_k_pairs(df: DataFrame, vector: str, k: int = 20, id_col: str = ID, block
     Rows fall into blocks; a task multiplies two blocks and keeps k a row, so memory is bounded by
     the block and never holds all vectors.
     """
+    ship(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
     blocks = max(1, -(-rows.count() // block))
     left = rows.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from erspark.operators.components import connected_components
-from erspark.plans.runtime import materialize
+from erspark.plans.runtime import materialize, ship
 
 ID, CID = "__row_id__", "__cluster_id__"
 
@@ -68,6 +68,7 @@ def split_cluster(edges: list[tuple[int, int, float]], members: list[int], max_s
 
 def split_oversized(membership: DataFrame, pairs: DataFrame, max_size: int) -> tuple[DataFrame, DataFrame]:
     """(membership, ids of clusters that a split made); only oversized clusters leave the plan of built-ins."""
+    ship(membership.sparkSession)
     big = membership.groupBy(CID).count().filter(F.col("count") > max_size).select(CID)
     rows = materialize(membership.join(big, CID, "left_semi"))
     edges = materialize(pairs.join(rows.select(F.col(ID).alias("id_a"), CID), "id_a").select(CID, "id_a", "id_b", "score"))

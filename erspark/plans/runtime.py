@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +64,20 @@ def join_split_hot(left: DataFrame, right: DataFrame, key: list[str], counts: Da
     warm = marked.filter(F.col("__hot__")).drop("__hot__")
     few = F.broadcast(right.join(hot, key, "left_semi"))
     return cold.join(right, key, how).unionByName(warm.join(few, key, how))
+
+
+def ship(spark: SparkSession | None = None) -> None:
+    """Send this package to the executors' Python, once a context, unless they find it by PYTHONPATH
+    (or, in local mode, by the working folder) anyhow."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None or getattr(spark.sparkContext, "_erspark_shipped", False):
+        return
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    known = {str(Path(p or ".").resolve()) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)} if os.environ.get("PYTHONPATH") else set()
+    if str(root) not in known and not (sc.master.startswith("local[") and Path.cwd() == root):
+        target = Path(tempfile.mkdtemp(prefix="erspark-")) / "erspark_package.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted((root / "erspark").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        sc.addPyFile(str(target))  # Spark's own file server hands it to executors
+    sc._erspark_shipped = True
