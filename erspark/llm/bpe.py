@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters worked on at once, and words that a worker remembers.
-BLOCK, REMEMBER = 1 << 22, 500_000
+BLOCK, REMEMBER = 1 << 20, 500_000
 #: Words of more symbols are merged one at a time with a heap.
 LONG = 256
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
