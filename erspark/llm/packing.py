@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from erspark.llm.bpe import Vocabulary, encoder
-from erspark.plans.runtime import materialize
+from erspark.plans.runtime import materialize, ship
 
 CAPACITY, BINS, TASK, ARRIVE = 4096, 512, 16384, 1024
 
 
 def encode_pieces(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
     """``(doc_id, piece, start, length, ids)``; ids are little-endian unsigned 32-bit numbers."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
     d = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     names = ["doc_id", "piece", "start", "length", "ids"]
@@ -91,6 +92,7 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY, bins: int = BINS) ->
 
 def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, bins: int = BINS, key: tuple = ("doc_id", "piece"), task: int = TASK) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; each length is from 1 to ``capacity``."""
+    ship(pieces.sparkSession)
     pieces = pieces.drop("sequence_id", "offset")
     tasks = max(1, -(-pieces.count() // task))
     names = pieces.columns

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from erspark.operators.components import connected_components
-from erspark.plans.runtime import join_split_hot, materialize
+from erspark.plans.runtime import join_split_hot, materialize, ship
 
 #: Words in a shingle, differing bits of a link, and the seed of the hash.
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -119,6 +119,7 @@ def simhash(blocks) -> int:
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
     """``(doc_id, fp)``, fp as a signed long."""
+    ship(df.sparkSession)
     d = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches):
@@ -197,6 +198,7 @@ def _link_runs(batches, radius: int, limit: int | None):
 
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``(a, b)`` of distinct fingerprints (column ``fp``): pairs within ``radius`` bits whose components are those of all such pairs."""
+    ship(fps.sparkSession)
     if radius > RADIUS:
         raise ValueError(f"the keys find pairs of up to {RADIUS} differing bits")
 
