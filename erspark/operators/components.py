@@ -22,31 +22,38 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: each larger end has one smaller, which is no larger end itself."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v")))
+    both = ends.groupBy("x").agg(F.sum("as_u").alias("n"), F.max("as_v").alias("v"))
+    return both.filter((F.col("n") > 1) | ((F.col("n") == 1) & (F.col("v") == 1))).isEmpty()
+
+
 def connected_components(edges: DataFrame, src: str = "id_a", dst: str = "id_b", rounds: int = 60) -> DataFrame:
     """``(node, component)`` of every node that an edge touches; component is the least node reachable.
 
     Edges may repeat, point either way or loop; those with a null end are dropped. Each round
-    is written to the shared folder, so no state lives on the driver or on one executor.
-    Raises RuntimeError if ``rounds`` do not suffice (each round at least halves path lengths).
+    is written to the shared folder, so no state lives on the driver or on one executor; the steps end when
+    only stars are left. Raises RuntimeError if ``rounds`` do not suffice.
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter(
         F.col(src).isNotNull() & F.col(dst).isNotNull())
-    loops = e.filter("u = v").select("u")
-    now = materialize(e.filter("u > v").distinct())
-    print_of = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    was = print_of(now)
+    now = materialize(e.distinct())
+    alone = now.filter("u = v").select(F.col("u").alias("node")).distinct()
+    now = now.filter("u > v")
     for _ in range(rounds):
+        if _settled(now):
+            break
         new = materialize(_star(_star(now, True), False))
-        seen = print_of(new)
         release(now)
         now = new
-        if seen == was:
-            break
-        was = seen
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node")).distinct()
     out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component")))
-    alone = loops.select(F.col("u").alias("node")).distinct().join(out.select("node"), "node", "left_anti")
+    if alone.isEmpty():
+        return out
+    alone = alone.join(out.select("node"), "node", "left_anti")
     return out.unionByName(alone.select("node", F.col("node").alias("component")))
