@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from erspark.plans.runtime import join_split_hot, materialize, release
+from erspark.plans.runtime import join_split_hot, materialize, release, ship
 
 SHARDS = 8
 #: Groups that one task combines; more only beyond MAX_PARTS of them.
@@ -76,6 +76,7 @@ def _part(pdf: pd.DataFrame, shards: int) -> pd.DataFrame:
 def assign_groups(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``(g1, g2, n, shard)`` of groups ``(g1, g2, n, bytes)``."""
     spark = groups.sparkSession
+    ship(spark)
     parts = max(1, min(MAX_PARTS, -(-groups.count() // PART)))
     dealt = groups.withColumn("part", F.pmod("g1", F.lit(parts)).cast("int"))
     binned = materialize(dealt.groupBy("part").applyInPandas(
