@@ -56,7 +56,7 @@ def line_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     """``df`` with ``text`` freed of repeated lines, ``n_lines`` (with a word) and ``n_removed``."""
     covered = repeated_windows(df, doc_id, text, window)
     k1, k2 = row_key(F.col(doc_id), F.col(text))
-    out = df.withColumns({"__k1": k1, "__k2": k2}).join(covered, ["__k1", "__k2"], "left").drop("__k1", "__k2")
+    out = df.withColumns({"__k1": k1, "__k2": k2}).join(covered.hint("merge"), ["__k1", "__k2"], "left").drop("__k1", "__k2")
     lines = _lines(text)
     # places among worded lines that go: the union of [p, p + window)
     gone = F.array_distinct(F.flatten(F.transform("covered", lambda p: F.sequence(p, p + window - 1))))
