@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from erspark.llm.simhash import fingerprint_links, shingle_hashes, simhash
 from erspark.llm.text import row_key
 from erspark.operators.components import connected_components
-from erspark.plans.runtime import materialize, ship
+from erspark.plans.runtime import join_split_hot, materialize, ship
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS, SLACK = 25, 5, 0.6
+BANDS, ROWS, SLACK, SURE = 25, 5, 0.6, 0.9
 _RNG = np.random.default_rng(7)
 _MUL = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -151,7 +151,7 @@ def text_groups(df: DataFrame, text: str = "text", size: int = SHINGLE, similari
     ship(df.sparkSession)
     texts = df.select(F.xxhash64(F.lit(3), F.col(text)).alias("node"), F.col(text).alias("text"))
     found = materialize(signatures(texts, "text", size))
-    nodes = materialize(found.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "sketch", "bands"))))
+    nodes = materialize(found.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "sketch", "bands")), F.count("*").alias("copies")))
     keyed = nodes.select(F.explode("bands").alias("key"), "node", "n").repartition("key").sortWithinPartitions("key", "n", "node")
     # fingerprints: one node stands for each, its others are linked to it
     by_fp = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")))
@@ -168,17 +168,24 @@ def text_groups(df: DataFrame, text: str = "text", size: int = SHINGLE, similari
             sets = [np.unique(np.concatenate(blocks)).tobytes() if (blocks := [*shingle_hashes(t, size)]) else b"" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 
-    # equal texts share a node: the texts' first comes before the sets are made
-    some = texts.join(ends, "node", "left_semi").mapInArrow(whole, "node long, set binary")
+    # equal texts share a node, and a third of all rows may be one text
+    copies = nodes.select("node", "copies")
+    total = nodes.agg(F.sum("copies")).first()[0] or 0
+    some = join_split_hot(texts, ends, ["node"], copies, total, count="copies").select("node", "text").mapInArrow(whole, "node long, set binary")
     sets = materialize(some.groupBy("node").agg(F.first("set").alias("set")))
-    best = near.groupBy("u").agg(F.max_by("v", F.struct("share", "v")).alias("v"))
-    first = materialize(_verified(best, sets, similarity))
-    groups = materialize(connected_components(first, "u", "v"))
+    # of candidates that surely hold the least, so that most links are stars from the start
+    best = near.groupBy("u").agg(F.max_by("v", F.struct(F.least("share", F.lit(SURE)), -F.col("v"))).alias("v"))
+    groups = materialize(connected_components(materialize(_verified(best, sets, similarity)), "u", "v"))
     of = lambda end: groups.select(F.col("node").alias(end), F.col("component").alias(f"root_{end}"))
-    apart = near.join(of("u"), "u", "left").join(of("v"), "v", "left").filter(
-        F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
-    links = first.unionByName(_verified(apart, sets, similarity))
-    return connected_components(links, "u", "v").select("node", F.col("component").alias("root"))
+    apart = near.join(of("u"), "u", "left").join(of("v"), "v", "left").withColumns({"ru": F.coalesce("root_u", "u"), "rv": F.coalesce("root_v", "v")}).filter("ru <> rv")
+    more = materialize(_verified(apart, sets, similarity))
+    if more.isEmpty():
+        return groups.select("node", F.col("component").alias("root"))
+    # the groups' own roots stand for them
+    joined = more.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
+    over = connected_components(joined, "u", "v").select(F.col("node").alias("component"), F.col("component").alias("above"))
+    known = groups.unionByName(over.select(F.col("component").alias("node"), "component")).distinct()
+    return known.join(over, "component", "left").select("node", F.coalesce("above", "component").alias("root")).distinct()
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
