@@ -3,11 +3,12 @@
 Candidates come from SimHash fingerprints linked by Golay keys (``simhash``). Four of 64
 bits hold only pairs of about 0.95 and more, so the same pass over the texts also takes
 BANDS x ROWS minima of the shingle hashes, and texts that share a band are candidates too: a
-pair at 0.8 shares none with a chance below 0.0001. Each bucket yields links of its members to
-the first and to the next one, so no bucket makes all its pairs. Candidates whose sketches
-agree in under ``SLACK`` of the minima, or whose numbers of shingles rule 0.8 out, go; what
-is left is verified exactly on the whole sets, first each text's best candidate, then those between
-groups that are still apart.
+pair at 0.8 shares none with a chance below 0.0001. Each bucket first yields links of its members to
+the first and to the next one. Candidates whose sketches agree in under ``SLACK`` of the minima, or whose
+numbers of shingles rule 0.8 out, go; what is left is verified exactly on the whole sets, first each
+text's best candidate, then those between groups that are still apart. Last, buckets of four and more whose
+members are not yet of one group are compared exactly, every two members of different groups: in
+blocks, two at a time, on whole sets, so that no bucket is the work of one task.
 
 Texts are nodes named by a 64-bit hash. Defined cases: texts without words are copies of each
 other; texts of fewer words than a shingle are one shingle; equal rows are one document; of
@@ -17,6 +18,7 @@ a group the row of smallest id stays, nulls first; an empty table gives an empty
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ from erspark.plans.runtime import join_split_hot, materialize, ship
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, SLACK, SURE = 25, 5, 0.6, 0.9
+#: Most members and shingles of a block of a large bucket.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 _RNG = np.random.default_rng(7)
 _MUL = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -79,35 +83,123 @@ def signatures(df: DataFrame, text: str, size: int) -> DataFrame:
     return d.mapInArrow(run, "node long, fp long, n long, sketch binary, bands array<long>")
 
 
+def _runs(batches, columns: int):
+    """Arrays of whole runs of the first column, which is sorted; a run is never cut."""
+    held = [[np.zeros(0, np.int64)] for _ in range(columns)]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(j).to_numpy() for j in range(columns)]
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        if cut or (len(held[0]) > 1 and held[0][-1][-1] != now[0][0]):
+            yield [np.concatenate([*h, x[:cut]]) for h, x in zip(held, now)]
+            held = [[np.zeros(0, np.int64), x[cut:]] for x in now]
+        else:
+            for h, x in zip(held, now):
+                h.append(x)
+    yield [np.concatenate(h) for h in held]
+
+
 def _bucket_edges(batches):
-    """From rows (key, node, n) sorted by key: links of members to the first and to the one before."""
-    def edges(key, node, n):
+    """From rows (key, node, n) sorted by key and n: links (u, v, null) of members to the first and to the one
+    before, which are all pairs of up to three; members (node, n, key) of larger buckets come too."""
+    for key, node, n in _runs(batches, 3):
         if len(key) < 2:
-            return
+            continue
         head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        first = np.repeat(head, np.diff(np.r_[head, len(key)]))
+        size = np.diff(np.r_[head, len(key)])
+        first = np.repeat(head, size)
         i = np.flatnonzero(first != np.arange(len(key)))
         u, v = np.r_[i, i], np.r_[first[i], i - 1]
         ok = np.minimum(n[u], n[v]) >= SIMILARITY * np.maximum(n[u], n[v])
         u, v = node[u[ok]], node[v[ok]]
         ok = u != v
-        if ok.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)[ok]), pa.array(np.minimum(u, v)[ok])], ["u", "v"])
+        more = np.flatnonzero(np.repeat(size > 3, size))
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.maximum(u, v)[ok], node[more]]), pa.array(np.r_[np.minimum(u, v)[ok], n[more]]),
+                                          pa.array(np.r_[np.zeros(ok.sum(), np.int64), key[more]], mask=np.r_[np.ones(ok.sum(), bool), np.zeros(len(more), bool)])], ["u", "v", "key"])
 
-    held = [np.zeros(0, np.int64)] * 3
-    for batch in batches:
-        now = [np.r_[h, batch.column(j).to_numpy()] for j, h in enumerate(held)]
-        if not len(now[0]):
+
+def _units(batches):
+    """From rows (key, node, n, root) sorted by key and n: rows (unit, node, root), so that any two members of a bucket
+    that are of different roots, and whose n do not rule the similarity out, share a unit.
+
+    A bucket falls into blocks of BLOCK members, and of BLOCK_SHINGLES unless one text has more; a unit is two blocks.
+    """
+    for key, node, n, root in _runs(batches, 4):
+        if not len(key):
             continue
-        # a bucket that goes on in the next batch keeps its first and last member only
-        cut = int(np.searchsorted(now[0], now[0][-1]))
-        yield from edges(*(x[:cut] for x in now))
-        tail = [x[cut:] for x in now]
-        if len(tail[0]) > 2:
-            yield from edges(*tail)
-            tail = [x[[0, -1]] for x in tail]
-        held = tail
-    yield from edges(*held)
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        for h, t in zip(head.tolist(), np.r_[head[1:], len(key)].tolist()):
+            if (root[h:t] == root[h]).all():
+                continue
+            starts, weight = [h], 0
+            for i, w in enumerate(n[h:t].tolist(), h):
+                if i > starts[-1] and (i - starts[-1] >= BLOCK or weight + w > BLOCK_SHINGLES):
+                    starts.append(i)
+                    weight = 0
+                weight += w
+            blocks = [slice(x, y) for x, y in zip(starts, [*starts[1:], t])]
+            for i, x in enumerate(blocks):
+                for j, y in enumerate(blocks[i:], i):
+                    if n[x.stop - 1] < SIMILARITY * n[y.start]:
+                        break  # so are all later ones
+                    at = np.r_[x, y] if j > i else np.r_[x]
+                    if (root[at] == root[at[0]]).all():
+                        continue
+                    unit = mix(mix(mix(key[h:h + 1].view(np.uint64) ^ _ADD[:1]) ^ np.uint64(i)) ^ np.uint64(j)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(unit, len(at))), pa.array(node[at]), pa.array(root[at])], ["unit", "node", "root"])
+
+
+def common_counts(sets: list[np.ndarray], often: int = 24) -> np.ndarray:
+    """How many values each two of the sets have in common: values of many sets by matrix products, others pair by pair."""
+    m = len(sets)
+    which = np.repeat(np.arange(m), [len(s) for s in sets])
+    value = np.concatenate(sets) if m else np.zeros(0, np.uint64)
+    order = np.argsort(value, kind="stable")
+    value, which = value[order], which[order]
+    head = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[head, len(value)])
+    out = np.zeros((m, m), np.float32)
+    columns = np.flatnonzero(size > often)
+    for at in range(0, len(columns), 2048):
+        some = columns[at:at + 2048]
+        dense = np.zeros((m, len(some)), np.float32)
+        for c, k in enumerate(some.tolist()):
+            dense[which[head[k]:head[k] + size[k]], c] = 1
+        out += dense @ dense.T
+    few = np.repeat((size > 1) & (size <= often), size)
+    value, which = value[few], which[few]
+    for d in range(1, often):
+        i = np.flatnonzero(value[d:] == value[:-d])
+        if not len(i):
+            break
+        times = np.bincount(which[i] * m + which[i + d], minlength=m * m).reshape(m, m)
+        out += times + times.T
+    return out
+
+
+def _unit_links(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Links that join the members of one unit as all its pairs of the similarity do; those of one root are joined already."""
+    rows = rows.drop_duplicates("node")
+    node, root = rows["node"].to_numpy(), rows["root"].to_numpy()
+    sets = [np.frombuffer(s, np.uint64) for s in rows["set"]]
+    n = np.array([len(s) for s in sets], np.float64)
+    common = common_counts(sets)
+    near = common >= similarity * (n[:, None] + n[None, :] - common) - 1e-9
+    u, v, open_ = [], [], np.ones(len(node), bool)
+    near |= root[:, None] == root[None, :]
+    while open_.any():
+        todo = [int(np.argmax(open_))]
+        open_[todo[0]] = False
+        while todo:
+            x = todo.pop()
+            found = np.flatnonzero(near[x] & open_)
+            open_[found] = False
+            todo.extend(found.tolist())
+            found = found[root[found] != root[x]]
+            u.append(np.maximum(node[found], node[x]))
+            v.append(np.minimum(node[found], node[x]))
+    return pd.DataFrame({"u": np.concatenate(u).astype(np.int64), "v": np.concatenate(v).astype(np.int64)})
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -144,6 +236,17 @@ def _agreeing(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "u long, v long, share double")
 
 
+def _joined(groups: DataFrame, more: DataFrame) -> DataFrame:
+    """``groups (node, root)`` after the links ``more (u, v)``; the groups' own roots stand for them."""
+    if more.isEmpty():
+        return groups
+    of = lambda end: groups.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    joined = more.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
+    over = connected_components(joined, "u", "v").select(F.col("node").alias("root"), F.col("component").alias("above"))
+    known = groups.unionByName(over.select(F.col("root").alias("node"), "root")).distinct()
+    return materialize(known.join(over, "root", "left").select("node", F.coalesce("above", "root").alias("root")).distinct())
+
+
 def text_groups(df: DataFrame, text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``(node, root)`` of texts that have a near-duplicate; node is ``xxhash64(3, text)``."""
     if similarity < SIMILARITY:
@@ -159,9 +262,9 @@ def text_groups(df: DataFrame, text: str = "text", size: int = SHINGLE, similari
     head = lambda end, name: by_fp.select(F.col("fp").alias(end), F.col("head").alias(name))
     hashed = linked.join(head("a", "u"), "a").join(head("b", "v"), "b").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).unionByName(
         nodes.join(by_fp, "fp").filter("node <> head").select(F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v")))
-    edges = keyed.mapInArrow(_bucket_edges, "u long, v long").unionByName(hashed).distinct()
+    dealt = materialize(keyed.mapInArrow(_bucket_edges, "u long, v long, key long"))
+    edges = dealt.filter("key is null").select("u", "v").unionByName(hashed).distinct()
     near = materialize(_agreeing(edges, nodes))
-    ends = near.select(F.explode(F.array("u", "v")).alias("node")).distinct()
 
     def whole(batches):
         for batch in batches:
@@ -171,21 +274,27 @@ def text_groups(df: DataFrame, text: str = "text", size: int = SHINGLE, similari
     # equal texts share a node, and a third of all rows may be one text
     copies = nodes.select("node", "copies")
     total = nodes.agg(F.sum("copies")).first()[0] or 0
-    some = join_split_hot(texts, ends, ["node"], copies, total, count="copies").select("node", "text").mapInArrow(whole, "node long, set binary")
-    sets = materialize(some.groupBy("node").agg(F.first("set").alias("set")))
+
+    def whole_sets(ends: DataFrame) -> DataFrame:
+        some = join_split_hot(texts, ends, ["node"], copies, total, count="copies").select("node", "text").mapInArrow(whole, "node long, set binary")
+        return materialize(some.groupBy("node").agg(F.first("set").alias("set")))
+
+    sets = whole_sets(near.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     # of candidates that surely hold the least, so that most links are stars from the start
     best = near.groupBy("u").agg(F.max_by("v", F.struct(F.least("share", F.lit(SURE)), -F.col("v"))).alias("v"))
-    groups = materialize(connected_components(materialize(_verified(best, sets, similarity)), "u", "v"))
-    of = lambda end: groups.select(F.col("node").alias(end), F.col("component").alias(f"root_{end}"))
+    groups = materialize(connected_components(materialize(_verified(best, sets, similarity)), "u", "v").withColumnRenamed("component", "root"))
+    of = lambda end: groups.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
     apart = near.join(of("u"), "u", "left").join(of("v"), "v", "left").withColumns({"ru": F.coalesce("root_u", "u"), "rv": F.coalesce("root_v", "v")}).filter("ru <> rv")
-    more = materialize(_verified(apart, sets, similarity))
-    if more.isEmpty():
-        return groups.select("node", F.col("component").alias("root"))
-    # the groups' own roots stand for them
-    joined = more.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
-    over = connected_components(joined, "u", "v").select(F.col("node").alias("component"), F.col("component").alias("above"))
-    known = groups.unionByName(over.select(F.col("component").alias("node"), "component")).distinct()
-    return known.join(over, "component", "left").select("node", F.coalesce("above", "component").alias("root")).distinct()
+    groups = _joined(groups, materialize(_verified(apart, sets, similarity)))
+    # large buckets, whose members met two others at most
+    crowd = dealt.filter("key is not null").select("key", F.col("u").alias("node"), F.col("v").alias("n")).join(groups, "node", "left")
+    crowd = crowd.select("key", "node", "n", F.coalesce("root", "node").alias("root")).repartition("key").sortWithinPartitions("key", "n", "node")
+    units = materialize(crowd.mapInArrow(_units, "unit long, node long, root long"))
+    if units.isEmpty():
+        return groups
+    sets = whole_sets(units.select("node").distinct())
+    links = units.join(sets, "node").groupBy("unit").applyInPandas(lambda rows: _unit_links(rows, similarity), "u long, v long")
+    return _joined(groups, materialize(links))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -209,6 +209,47 @@ def test_near_duplicates(spark, docs):
     assert neardup.near_duplicates(empty(docs)).count() == 0
 
 
+def test_near_duplicates_in_a_large_bucket_of_like_texts(spark):
+    # fourteen passages a text, three of them common, each other one of two, so that any two texts differ in two or more
+    pool = [[[f"p{i}v{v}w{w}" for w in range(20)] for v in range(2)] for i in range(14)]
+    texts = []
+    for k in range(1024):
+        code = [k >> i & 1 for i in range(10)]
+        own = [pool[i][v] for i, v in enumerate([0, 0, 0, *code, sum(code) % 2])]
+        texts.append(" ".join(w for p in own for w in p))
+        if k % 25 == 0:  # a hidden copy, one passage its own
+            own[3 + k % 11] = [f"k{k}w{w}" for w in range(20)]
+            texts.append(" ".join(w for p in own for w in p))
+    sets = [shingles(t) for t in texts]
+    hidden = [i for i, t in enumerate(texts) if " k" in t]
+    like = [len(sets[i] & s) / len(sets[i] | s) for i in hidden for s in sets[:i] + sets[i + 1:]]
+    assert sum(x >= 0.8 for x in like) == len(hidden) == 41 and sum(0.5 <= x < 0.8 for x in like) > 1000
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    assert got.count() == 1024
+
+
+def test_units_bring_all_members_together(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    rng = np.random.default_rng(3)
+    key = np.sort(rng.integers(0, 4, 200))
+    n, root = rng.integers(80, 160, 200), rng.integers(0, 40, 200)
+    at = np.lexsort((n, key))
+    n, node = n[at], np.arange(200)
+    table = [pa.RecordBatch.from_arrays([pa.array(x[i:i + 30]) for x in (key, node, n, root)], ["key", "node", "n", "root"]) for i in range(0, 200, 30)]
+    units = {}
+    for batch in neardup._units(table):
+        for r in batch.to_pylist():
+            units.setdefault(r["unit"], set()).add(r["node"])
+    assert max(map(len, units.values())) <= 10
+    met = {(a, b) for u in units.values() for a in u for b in u if a < b}
+    assert all((a, b) in met for a in range(200) for b in range(a + 1, 200) if key[a] == key[b] and root[a] != root[b] and n[a] >= 0.8 * n[b])
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 90)).astype(np.uint64)) for _ in range(60)]
+    common = neardup.common_counts(sets)
+    assert all(common[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(60) for j in range(60) if i != j)
+
+
 def brute_nearest(vectors, k=5):
     ok = {i: np.array(v, float) for i, v in vectors if v is not None and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)}
     out = {}
