@@ -440,7 +440,7 @@ DOC_CLUSTERS = f"SELECT doc_id AS \"__row_id__\", min(doc_id) OVER (PARTITION BY
 
 
 def document_pairs(spark, sf_dir) -> DataFrame:
-    return B.exact_pairs(table(spark, sf_dir, "documents", "doc_id"), text_key())
+    return B.exact_links(table(spark, sf_dir, "documents", "doc_id"), text_key())
 
 
 @query(DOC_CLUSTERS)

@@ -24,25 +24,31 @@ ID = "__row_id__"
 SALT_ROWS = 2048
 
 
-def exact_pairs(df: DataFrame, key: Column | str, id_col: str = ID, max_group: int = 5000, cross: str | None = None) -> DataFrame:
-    """Pairs of rows whose non-null keys are equal, score 1.0.
+def exact_pairs(df: DataFrame, key: Column | str, id_col: str = ID, max_group: int | None = None, cross: str | None = None) -> DataFrame:
+    """All pairs of rows whose non-null keys are equal, score 1.0.
 
-    Groups of over ``max_group`` rows, whose pairs would grow with its square, are linked to their
-    least id instead: the same components from as many links as rows. ``cross`` names a
-    column in which the rows of a pair must differ.
+    ``cross`` names a column in which the rows of a pair must differ. Only if ``max_group`` is given, and
+    without ``cross``, are groups of more rows linked to their least id instead, which keeps components but not pairs.
     """
     k = F.col(key) if isinstance(key, str) else key
     extra = [F.col(cross).alias("x")] if cross else []
     keyed = df.select(F.lit(0).alias("pass"), k.alias("key"), F.col(id_col).alias("id"), *extra).filter("key is not null")
-    sized = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")).filter("n > 1")
-    small = pairs_of_keys(keyed, max_size=max_group, extra=["x"] if cross else [])
-    large = keyed.join(sized.filter(F.col("n") > max_group), "key").filter("id <> least")
     if cross:
-        heads = keyed.select(F.col("id").alias("least"), F.col("x").alias("x_b"))
-        large = large.join(heads, "least").filter("x <> x_b")
-        small = small.filter("x_a <> x_b")
-    star = large.select(F.col("least").alias("id_a"), F.col("id").alias("id_b"))
-    return small.select("id_a", "id_b").unionByName(star).withColumn("score", F.lit(1.0))
+        return pairs_of_keys(keyed, extra=["x"]).filter("x_a <> x_b").select("id_a", "id_b").withColumn("score", F.lit(1.0))
+    small = pairs_of_keys(keyed, max_size=max_group).withColumn("score", F.lit(1.0))
+    if max_group is None:
+        return small
+    large = exact_links(df, key, id_col).filter(F.col("pairs") * 2 > max_group)
+    return small.unionByName(large.select("id_a", "id_b", "score"))
+
+
+def exact_links(df: DataFrame, key: Column | str, id_col: str = ID) -> DataFrame:
+    """``(id_a, id_b, score, pairs)``: each row of an exact group linked to the group's least id. A link stands for
+    ``pairs`` of all its pairs: n / 2, as n - 1 links stand for n (n - 1) / 2; ``cluster_stats`` counts them so."""
+    k = F.col(key) if isinstance(key, str) else key
+    keyed = df.select(k.alias("key"), F.col(id_col).alias("id")).filter("key is not null")
+    sized = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")).filter("n > 1")
+    return keyed.join(sized, "key").filter("id <> least").select(F.col("least").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("score"), (F.col("n") / 2).alias("pairs"))
 
 
 def key_relation(df: DataFrame, passes: list[dict], id_col: str = ID, drop_empty: bool = False) -> DataFrame:

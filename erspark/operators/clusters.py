@@ -84,9 +84,10 @@ def split_oversized(membership: DataFrame, pairs: DataFrame, max_size: int) -> t
 
 
 def cluster_stats(membership: DataFrame, pairs: DataFrame, max_size: int = 100, weak: float = 0.3, split: DataFrame | None = None) -> DataFrame:
-    """One aggregation over the pairs that lie within a cluster."""
+    """One aggregation over the pairs that lie within a cluster; a column ``pairs`` tells how many pairs a row stands for."""
+    times = F.col("pairs") if "pairs" in pairs.columns else F.lit(1)
     inside = pairs.join(membership.select(F.col(ID).alias("id_a"), F.col(CID).alias("ca")), "id_a").join(membership.select(F.col(ID).alias("id_b"), F.col(CID).alias("cb")), "id_b").filter("ca = cb")
-    edge = inside.groupBy(F.col("ca").alias(CID)).agg(F.min("score").alias("low"), F.avg("score").alias("mean"), F.count("*").alias("edges"),
+    edge = inside.groupBy(F.col("ca").alias(CID)).agg(F.min("score").alias("low"), (F.sum(F.col("score") * times) / F.sum(times)).alias("mean"), F.sum(times).alias("edges"),
                                                   F.min_by(F.struct(F.col("id_a").alias("a"), F.col("id_b").alias("b")), F.struct("score", "id_a", "id_b")).alias("bottleneck_pair"))
     out = membership.groupBy(CID).agg(F.count("*").alias("size")).join(edge, CID, "left")
     possible = F.col("size") * (F.col("size") - 1) / 2

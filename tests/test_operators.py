@@ -78,6 +78,16 @@ def test_exact_pairs_star_beyond_the_limit(spark):
     assert few.count() == 19 + 45 and K.membership_of(few).select(CID).distinct().count() == 2
 
 
+def test_exact_groups_of_any_size(spark):
+    df = spark.range(5101).select(F.col("id").alias(ID), F.lit("hot").alias("k"), F.when(F.col("id") < 5100, "A").otherwise("B").alias("__source__"))
+    pairs = B.exact_pairs(df, "k")
+    assert pairs.count() == 5101 * 5100 // 2
+    assert S.across_sources(pairs, df).count() == 5100
+    links = B.exact_links(df, "k")
+    r = K.cluster_stats(K.membership_of(links, df), links).first()
+    assert (r["size"], r.confidence, r.cluster_quality, tuple(r.bottleneck_pair)) == (5101, 1.0, "strong", (0, 1))
+
+
 def test_salted_blocks_make_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(B, "SALT_ROWS", 7)
     df = spark.range(50).select(F.col("id").alias(ID), (F.col("id") % 2).cast("string").alias("k"))
