@@ -5,42 +5,38 @@ overlapping windows (128 bits). The first window of each kind, by document id an
 stays; the lines of every later one are covered, covered positions are merged, and covered
 lines go. Any line that goes is still found where its window came first.
 
+Only documents with a covered line need their text beside their covered places, so only they are
+shuffled (``maybe_in``); the others pass as they are.
+
 Defined cases: a null text stays null; documents of fewer lines than a window and empty
 texts are unchanged; rows that repeat id and text count as one document and get the same
 result; among equal ids the order is by a hash of the text; blank lines are kept and don't
-break windows; input columns named like an output are replaced.
+break windows; input columns named like an output are replaced, and no other column is touched, whatever its name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from erspark.llm.text import row_key
+from erspark.llm.text import maybe_in, packed, row_key, unpacked
 from erspark.plans.runtime import join_split_hot, materialize, release
 
 #: Lines in a window.
 WINDOW = 3
-
-
-def _lines(text: str):
-    """Lines as (place among those with a word or null, line)."""
-    return F.split(F.col(text), "\n", -1)
-
-
-def _worded(lines):
-    trimmed = F.transform(lines, lambda x, i: F.struct(F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("t"), i.alias("i")))
-    return F.filter(trimmed, lambda x: x["t"] != "")
+#: A line with a word, from its first character other than white space to its last.
+LINE = r"[^\x20\x09-\x0D](?:[^\n]*[^\x20\x09-\x0D])?"
 
 
 def repeated_windows(df: DataFrame, doc_id: str, text: str, window: int) -> DataFrame:
     """``(__k1, __k2, covered)``: of each row with repeated lines, places of windows that came before."""
     k1, k2 = row_key(F.col(doc_id), F.col(text))
-    d = df.select(F.col(doc_id).alias("id"), k1, k2, _worded(_lines(text)).alias("l")).filter(F.size("l") >= window)
-    at = lambda p, salt: F.xxhash64(F.lit(salt), *(F.get("l", p + k)["t"] for k in range(window)))
+    lines = F.transform(F.regexp_extract_all(text, F.lit(LINE), F.lit(0)), lambda x: F.struct(F.xxhash64(F.lit(3), x).alias("a"), F.xxhash64(F.lit(5), x).alias("b")))
+    d = df.select(F.col(doc_id).alias("id"), k1, k2, lines.alias("l")).filter(F.size("l") >= window)
+    at = lambda p, side: F.xxhash64(*(F.get("l", p + k)[side] for k in range(window)))
     places = F.sequence(F.lit(0), F.size("l") - window)
     found = materialize(d.select("id", "__k1", "__k2", F.explode(F.transform(
-        places, lambda p: F.struct(p.alias("p"), at(p, 3).alias("h1"), at(p, 5).alias("h2")))).alias("w")).select("id", "__k1", "__k2", "w.*"))
+        places, lambda p: F.struct(p.alias("p"), at(p, "a").alias("h1"), at(p, "b").alias("h2")))).alias("w")).select("id", "__k1", "__k2", "w.*"))
     first = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "__k1", "__k2", "p")).alias("first")).filter("n > 1")
     first = materialize(first)
     total = found.count()
@@ -55,27 +51,24 @@ def repeated_windows(df: DataFrame, doc_id: str, text: str, window: int) -> Data
 def line_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """``df`` with ``text`` freed of repeated lines, ``n_lines`` (with a word) and ``n_removed``."""
     covered = repeated_windows(df, doc_id, text, window)
-    k1, k2 = row_key(F.col(doc_id), F.col(text))
-    out = df.withColumns({"__k1": k1, "__k2": k2}).join(covered.hint("merge"), ["__k1", "__k2"], "left").drop("__k1", "__k2")
-    lines = _lines(text)
+    rows = packed(df, __k1=row_key(F.col(doc_id), F.col(text))[0], __k2=row_key(F.col(doc_id), F.col(text))[1], text=text)
+    marked = maybe_in(rows, "__k1", covered, covered.count())
+    n_lines = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D][^\n]*")), F.lit(0)).cast("bigint")
+    same = unpacked(marked.filter(~F.col("maybe")), df, **{text: "text", "n_lines": n_lines, "n_removed": F.lit(0).cast("bigint")})
+    changed = marked.filter("maybe").drop("maybe").join(covered.hint("merge"), ["__k1", "__k2"], "left")
+    lines = F.split("text", "\n", -1)
     # places among worded lines that go: the union of [p, p + window)
     gone = F.array_distinct(F.flatten(F.transform("covered", lambda p: F.sequence(p, p + window - 1))))
-    worded = F.transform(_worded(lines), lambda x: x["i"])
-    out = out.withColumn("__gone", F.when(F.col("covered").isNotNull(), F.transform(gone, lambda p: F.get(worded, p))))
-    has = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
-    return out.withColumns({
-        "n_lines": F.coalesce(F.size(F.filter(lines, has)), F.lit(0)).cast("bigint"),
-        "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint"),
-        text: F.when(F.col("__gone").isNull(), F.col(text)).otherwise(_kept(lines)),
-    }).drop("__gone", "covered")
-
-
-def _kept(lines):
-    # the gone places as a set in a map: a lookup by binary search would need sorted keys; a flag a line is linear
-    n = F.size(lines)
-    sorted_gone = F.sort_array("__gone")
-    cuts = F.concat(F.array(F.lit(-1)), sorted_gone, F.array(n))
-    # runs of kept lines between neighbouring cuts
+    worded = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
+    changed = changed.withColumn("gone", F.when(F.col("covered").isNotNull(), F.transform(gone, lambda p: F.get(worded, p))))
+    done = unpacked(changed, df, **{text: F.when(F.col("gone").isNull(), F.col("text")).otherwise(_kept(lines, F.col("gone"))), "n_lines": n_lines,
+                                    "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("bigint")})
+    return same.unionByName(done)
+
+
+def _kept(lines: Column, gone: Column) -> Column:
+    """The text of ``lines`` without those at places ``gone``: runs of kept lines between neighbouring cuts."""
+    cuts = F.concat(F.array(F.lit(-1)), F.sort_array(gone), F.array(F.size(lines)))
     runs = F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts) - 1),
                       lambda a, b: F.slice(lines, a + 2, F.greatest(b - a - 1, F.lit(0))))
     return F.array_join(F.flatten(runs), "\n")
