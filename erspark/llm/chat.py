@@ -6,7 +6,8 @@ code points of the completion, that a loss covers: text and end mark of assistan
 
 Defined cases: null roles and texts are empty, null conversations have no turns; if one
 conversation begins with the other, the shorter's completion is empty, and both are if they are equal;
-repeated turns are kept, in the order of turn, role and text; input columns named like an output are replaced.
+repeated turns are kept, in the order of turn, role and text; input columns named like an output are replaced, and no other
+column is touched, whatever its name; turns of any length are rendered whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from erspark.llm.text import packed, unpacked
 from erspark.plans.runtime import join_split_hot, materialize
 
 TURN = "array<struct<role:string,text:string>>"
@@ -39,19 +41,16 @@ def _mask(turns: Column) -> Column:
 def format_preferences(df: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """``df`` with n_prompt_turns, prompt, and text and mask of both completions."""
     none = F.array().cast(TURN)
-    clean = lambda c: F.transform(F.coalesce(F.col(c), none), lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
-    df = df.withColumns({"__a": clean(chosen), "__b": clean(rejected)})
-    n = F.least(F.size("__a"), F.size("__b"))
-    same = F.zip_with(F.slice("__a", 1, n), F.slice("__b", 1, n), lambda x, y: x.eqNullSafe(y))
+    clean = lambda c: F.transform(F.coalesce(F.col(f"`{c}`"), none), lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+    rows = packed(df, a=clean(chosen), b=clean(rejected))
+    n = F.least(F.size("a"), F.size("b"))
+    same = F.zip_with(F.slice("a", 1, n), F.slice("b", 1, n), lambda x, y: x.eqNullSafe(y))
     first = F.array_position(same, False)
-    df = df.withColumn("n_prompt_turns", F.when(first > 0, first - 1).otherwise(n).cast("int"))
-    rest = lambda c: F.slice(c, F.col("n_prompt_turns") + 1, F.greatest(F.size(c), F.lit(0)))
-    df = df.withColumns({"__p": F.slice("__a", 1, F.col("n_prompt_turns")), "__a": rest("__a"), "__b": rest("__b")})
-    return df.withColumns({
-        "prompt": F.array_join(_rendered(F.col("__p")), ""),
-        "chosen_text": F.array_join(_rendered(F.col("__a")), ""), "chosen_mask": _mask(F.col("__a")),
-        "rejected_text": F.array_join(_rendered(F.col("__b")), ""), "rejected_mask": _mask(F.col("__b")),
-    }).drop("__p", "__a", "__b")
+    rows = rows.withColumn("n", F.when(first > 0, first - 1).otherwise(n).cast("int"))
+    rest = lambda c: F.slice(c, F.col("n") + 1, F.greatest(F.size(c), F.lit(0)))
+    rows = rows.withColumns({"p": F.slice("a", 1, F.col("n")), "a": rest("a"), "b": rest("b")})
+    text = lambda c: F.array_join(_rendered(F.col(c)), "")
+    return unpacked(rows, df, n_prompt_turns="n", prompt=text("p"), chosen_text=text("a"), chosen_mask=_mask(F.col("a")), rejected_text=text("b"), rejected_mask=_mask(F.col("b")))
 
 
 def preference_pairs(turns: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ words fails it if the feature lies outside [least, most]; None leaves a side ope
 are expressions over the whole text, so the table costs one scan and no shuffle.
 
 Defined cases: a null or empty text has no words and fails the length rule; ratios over
-nothing are 0; input columns named like an output are replaced; an empty table gives an
-empty one; rows are judged one by one, so repeated rows and ties don't matter.
+nothing are 0; input columns named like an output are replaced, and no other column is touched,
+whatever its name; texts of any length are worked through whole; an empty table gives an empty one; rows are judged one by one, so repeated rows and ties don't matter.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from erspark.llm.text import SPACE, words
+from erspark.llm.text import SPACE, packed, unpacked, words
 
 #: Frequent words of the four languages of the corpus.
 STOP_WORDS = (
@@ -37,6 +37,7 @@ RULES = (
 BASE = ("words", "repeated_words")
 #: Counts that ``features`` makes, in order, and the ratios made of them.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_exclaim")
+RATIOS = ("repeat_ratio", "mean_word_chars", "symbol_ratio", "exclaim_ratio", "stop_ratio", "dup_line_ratio")
 
 
 def _repeats(grams: Column, n: int) -> Column:
@@ -57,9 +58,9 @@ def _repeats(grams: Column, n: int) -> Column:
     return F.when(F.size(F.array_distinct(grams)) < size, covered[0]).otherwise(0)
 
 
-def features(df: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
-    """``df`` with the counts and ratios that rules refer to."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def _features(df: DataFrame, window: int = 5) -> DataFrame:
+    """``df``, whose names are the operator's own, with the counts and ratios that rules refer to."""
+    t = F.coalesce("text", F.lit(""))
     df = df.withColumn("__w", words(t)).withColumn(
         "__l", F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))
@@ -96,13 +97,14 @@ def _fails(rule: tuple) -> Column:
 
 def quality_rules(df: DataFrame, text: str = "text", rules: tuple = RULES, base: tuple = BASE) -> DataFrame:
     """``df`` with features, ``failed`` (names of failed rules), ``base_failed`` and ``kept``."""
-    df = features(df, text)
+    rows = _features(packed(df, text=text))
     names = F.array_compact(F.array(*(F.when(_fails(r), F.lit(r[0])) for r in rules))) if rules else F.array().cast("array<string>")
     lost = F.lit(False)
     for r in rules:
         if r[0] in base:
             lost = lost | _fails(r)
-    return df.withColumns({"failed": names, "base_failed": lost}).withColumn("kept", F.size("failed") == 0)
+    rows = rows.withColumns({"failed": names, "base_failed": lost}).withColumn("kept", F.size("failed") == 0)
+    return unpacked(rows, df, **{n: n for n in (*COUNTS, *RATIOS, "failed", "base_failed", "kept")})
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
