@@ -1,22 +1,24 @@
 """URL filters: rules by host suffix and path prefix, then logistic regression on hashed character n-grams.
 
-The model is trained from a small labelled table of urls (``labelled_urls``, fixed and bounded),
+The model is trained from a small labelled table of urls (``urllabels``, fixed and bounded),
 with hashed n-grams of host and path kept apart by a prefix. Rules win over the model.
 
 Defined cases: a null url, or one without "://", has an empty host and path, fits no rule and
 gets the model's verdict on nothing but the intercept; repeated rows are judged alike; input
-columns named like an output are replaced.
+columns named like an output are replaced, and no other column is touched, whatever its name; urls of any length are
+judged whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from erspark.llm.text import packed, unpacked
+from erspark.llm.urllabels import training_table
+
 #: (verdict, host, path)
 RULES = (
     ("allow", "com", "/"),
@@ -25,19 +27,15 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Labelled hosts and paths; every url is a host with a path. 1: unwanted.
-HOSTS = {
-    1: ("spam-farm", "cheap-pills", "ads-track", "casino-bonus", "free-winner", "adult-cams", "malware-drop", "click-bait", "track-ads", "pills-online", "spam-links", "win-casino"),
-    0: ("library", "news", "school", "wiki", "garden", "museum", "river", "thought", "nation", "weather", "theatre", "station", "gathering", "other", "handbook", "research"),
-}
-PATHS = {1: ("/buy-now/1", "/en/12?utm_source=feed", "/de/7"), 0: ("/article/1", "/en/25", "/fr/853/", "/es/76.html", "/de/41")}
-BUCKETS, GRAMS = 1 << 14, (3, 4)
+BUCKETS, GRAMS = 1 << 16, (3, 4, 5)
+#: Strength of the regularisation, the share of urls taken to be unwanted before one is seen (so a url that tells
+#: the model nothing is allowed), and the probability from which one is blocked.
+REGULARISATION, PRIOR, UNWANTED = 1e-3, 0.1, 0.5
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    rows = [(f"https://{sub}{h}.example.{tld}{p}", float(y)) for y in HOSTS for k, h in enumerate(HOSTS[y])
-            for p in PATHS[y] for sub, tld in ((("", "www.", "m.", "blog.")[k % 4], ("org", "com", "net")[k % 3]),)]
-    return reduce(DataFrame.unionAll, [spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(u).alias("url"), F.lit(y).alias("label")) for u, y in rows))).alias("r")).select("r.*")])
+def labelled_urls(spark: SparkSession, rows: list[tuple[str, str, int]] | None = None) -> DataFrame:
+    """``(host, path, label)`` of the labelled table, a fixed number of rows."""
+    return spark.createDataFrame([(h, p, float(y)) for h, p, y in rows or training_table()], "host string, path string, label double").coalesce(1)
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -55,27 +53,34 @@ def _grams(host: Column, path: Column) -> Column:
     return F.concat(*(of(s, tag, n) for s, tag in ((host, "h"), (path, "p")) for n in GRAMS))
 
 
-def train(spark: SparkSession):
-    """The fitted model; its input is column ``__grams``."""
-    host, path = host_path(F.col("url"))
-    table = HashingTF(numFeatures=BUCKETS, inputCol="__grams", outputCol="__f", binary=True).transform(
-        labelled_urls(spark).select("label", _grams(host, path).alias("__grams")))
-    return LogisticRegression(featuresCol="__f", predictionCol="__y", probabilityCol="__p", rawPredictionCol="__r", regParam=0.02, maxIter=50).fit(table)
+def _vectors(df: DataFrame) -> DataFrame:
+    return HashingTF(numFeatures=BUCKETS, inputCol="grams", outputCol="f", binary=True).transform(df.withColumn("grams", _grams(F.col("host"), F.col("path"))))
+
+
+def train(spark: SparkSession, rows: list[tuple[str, str, int]] | None = None):
+    """The model fitted on the labelled table, whose classes weigh as PRIOR says."""
+    table = _vectors(labelled_urls(spark, rows))
+    n, bad = table.agg(F.count("*"), F.sum("label")).first()
+    weight = F.when(F.col("label") == 1.0, PRIOR * n / bad).otherwise((1 - PRIOR) * n / (n - bad))
+    return LogisticRegression(featuresCol="f", predictionCol="y", probabilityCol="p", rawPredictionCol="r", weightCol="w", regParam=REGULARISATION, maxIter=60, threshold=UNWANTED).fit(table.withColumn("w", weight))
+
+
+def score_urls(df: DataFrame, model) -> DataFrame:
+    """``df (host, path, ...)`` with ``bad``, whether the model takes the url for unwanted; its other columns go."""
+    return model.transform(_vectors(df)).withColumn("bad", F.col("y") == 1.0).drop("grams", "f", "y", "p", "r")
 
 
 def url_filter(df: DataFrame, url: str = "url", rules: tuple = RULES, model=None) -> DataFrame:
     """``df`` with ``host``, ``path``, ``rule`` (of the longest that fits, else null) and ``verdict``."""
     model = model or train(df.sparkSession)
     host, path = host_path(F.col(url))
-    df = df.withColumns({"host": host, "path": path})
+    rows = packed(df, host=host, path=path)
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for v, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):  # the longest is asked first
         fits = ((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith(p)
         rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, v).otherwise(verdict)
-    scored = HashingTF(numFeatures=BUCKETS, inputCol="__grams", outputCol="__f", binary=True).transform(
-        df.withColumn("__grams", _grams(F.col("host"), F.col("path"))))
-    out = model.transform(scored)
-    return out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("__y") == 1.0, "block").otherwise("allow"))}).drop("__grams", "__f", "__y", "__p", "__r")
+    judged = F.coalesce(verdict, F.when(F.col("bad"), "block").otherwise("allow"))
+    return unpacked(score_urls(rows, model), df, host="host", path="path", rule=rule, verdict=judged)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
