@@ -7,11 +7,13 @@ of either turned: fingerprints 2 bits apart have a midpoint one bit from both, s
 pair of codewords. Keys are joined by a shuffle; members of a bucket are verified by counting
 differing bits, and what leaves a bucket is links that join its members, never all its pairs.
 Buckets above LIMIT members are dealt again by the five chunks of which linked
-fingerprints share one, so none is cut.
+fingerprints share one; what is still larger falls into blocks, of which every two meet in one task. None is cut,
+and no task holds more than two blocks of a bucket.
 
 Defined cases: a text without words, null ones too, has fingerprint 0; equal fingerprints are
 one node however many rows they have; null ids take no part in the least id, so a component of
-null ids alone has a null id; an empty table gives an empty one; repeated rows are linked.
+null ids alone has a null id; an empty table gives an empty one; repeated rows are linked;
+texts of any length are hashed whole; only the columns named are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from erspark.plans.runtime import join_split_hot, materialize, ship
 
 #: Words in a shingle, differing bits of a link, and the seed of the hash.
 SHINGLE, RADIUS, SEED = 4, 4, 42
-#: First bit and length of each segment; least length of an oversized bucket.
+#: First bit and length of each segment; most members of a bucket that are compared at once.
 SEGMENTS, LIMIT = ((0, 22), (22, 21), (43, 21)), 4096
 #: Fixed value: the generator polynomial of the Golay code.
 GOLAY = 0xC75
@@ -148,52 +150,78 @@ def bucket_links(fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.n
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def _link_runs(batches, radius: int, limit: int | None):
-    """From rows (key, fp), sorted: rows (linked, a, b), or (not linked, new key, fp) of oversized runs."""
-    def again(key: int, fp: np.ndarray):
-        chunk = np.array([0, 13, 26, 39, 52], np.uint64)
-        value = (fp[:, None] >> chunk[None, :] & np.uint64(0x1FFF)).astype(np.int64)
-        new = (value | np.arange(5)[None, :] << 13) ^ (np.int64(key) << 20)
-        return new.ravel(), np.repeat(fp, 5).view(np.int64)
+def _deal_again(key: int, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """New keys of the members of an oversized run: fingerprints of at most four differing bits share one of five chunks."""
+    chunk = np.array([0, 13, 26, 39, 52], np.uint64)
+    value = (fp[:, None] >> chunk[None, :] & np.uint64(0x1FFF)).astype(np.int64)
+    new = (value | np.arange(5)[None, :] << 13) ^ (np.int64(key) << 20)
+    return new.ravel(), np.repeat(fp, 5)
 
-    def table(linked: bool, a, b):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), linked)), pa.array(np.asarray(a).astype(np.int64, copy=False)), pa.array(np.asarray(b).astype(np.int64, copy=False))], ["linked", "a", "b"])
 
-    def done(key: np.ndarray, fp: np.ndarray):
-        if not len(key):
+def _table(kind: int, a: np.ndarray, b: np.ndarray, block: int = 0) -> pa.RecordBatch:
+    long = lambda x: pa.array(np.asarray(x).astype(np.int64, copy=False))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), long(a), long(b), pa.array(np.full(len(a), block, np.int64))], ["kind", "a", "b", "block"])
+
+
+LINKED, LARGE = 0, 1
+
+
+def _link_runs(batches, radius: int, limit: int, again: bool):
+    """From rows (key, fp), sorted: rows (LINKED, a, b, 0), or of runs above ``limit`` rows (LARGE, new key, fp, 0) if they are
+    dealt ``again``, else (LARGE, key, fp, block) in blocks of half the limit. At most ``limit`` rows of a run are held."""
+    key, held, large, seen = None, [], False, 0
+
+    def part(key: int, fp: np.ndarray):
+        nonlocal seen
+        if again:
+            yield _table(LARGE, *_deal_again(key, fp))
             return
-        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[head, len(key)])
-        few = np.repeat(size <= 6, size)
-        a, b = [], []
-        for d in range(1, 6):
-            i = np.flatnonzero(few[d:] & (key[d:] == key[:-d]))
-            i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= radius]
-            a.append(fp[i])
-            b.append(fp[i + d])
-        for h, s in zip(head[size > 6].tolist(), size[size > 6].tolist()):
-            if limit and s > limit:
-                yield table(False, *again(int(key[h]), fp[h:h + s]))
-            else:
-                x, y = bucket_links(fp[h:h + s], radius)
-                a.append(x)
-                b.append(y)
-        a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-        if len(a):
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            pair = np.unique(np.stack([low, high]), axis=1)
-            yield table(True, pair[0], pair[1])
-
-    left_key, left_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        half = max(1, limit // 2)
+        block = (seen + np.arange(len(fp))) // half
+        seen += len(fp)
+        for k in np.unique(block).tolist():
+            some = fp[block == k]
+            yield _table(LARGE, np.full(len(some), key), some.view(np.int64), k)
+
+    def finish():
+        fp = np.concatenate(held) if held else np.zeros(0, np.uint64)
+        if len(fp) and large:
+            yield from part(key, fp)
+        elif len(fp) > 1:
+            a, b = bucket_links(fp, radius)
+            if len(a):
+                low, high = np.minimum(a.view(np.int64), b.view(np.int64)), np.maximum(a.view(np.int64), b.view(np.int64))
+                yield _table(LINKED, low, high)
+
     for batch in batches:
-        key = np.r_[left_key, batch.column(0).to_numpy()]
-        fp = np.r_[left_fp, batch.column(1).to_numpy().view(np.uint64)]
-        if not len(key):
+        keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+        if not len(keys):
             continue
-        last = int(np.searchsorted(key, key[-1]))
-        yield from done(key[:last], fp[:last])
-        left_key, left_fp = key[last:], fp[last:]
-    yield from done(left_key, left_fp)
+        head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        stop = np.r_[head[1:], len(keys)]
+        inner = (head > 0) & (stop < len(keys)) & (stop - head <= 6)
+        if inner.any():  # the many small runs that lie within a batch, all at once
+            few = np.repeat(inner, stop - head)
+            a, b = [], []
+            for d in range(1, 6):
+                i = np.flatnonzero(few[d:] & few[:-d] & (keys[d:] == keys[:-d])) if len(keys) > d else np.zeros(0, np.int64)
+                i = i[np.bitwise_count(fps[i] ^ fps[i + d]) <= radius]
+                a.append(fps[i].view(np.int64))
+                b.append(fps[i + d].view(np.int64))
+            a, b = np.concatenate(a), np.concatenate(b)
+            if len(a):
+                pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield _table(LINKED, pair[0], pair[1])
+        for h, t in zip(head[~inner].tolist(), stop[~inner].tolist()):
+            if key is None or keys[h] != key:
+                yield from finish()
+                key, held, large, seen = int(keys[h]), [], False, 0
+            held.append(fps[h:t])
+            if large or sum(map(len, held)) > limit:
+                large = True
+                yield from part(key, np.concatenate(held))
+                held = []
+    yield from finish()
 
 
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -210,17 +238,32 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
                 row, key = golay_keys(part)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row].view(np.int64))], ["key", "fp"])
 
-    out = "linked boolean, a long, b long"
+    out = "kind byte, a long, b long, block long"
     sorted_by = lambda d: d.repartition("key").sortWithinPartitions("key", "fp")
-    first = materialize(sorted_by(fps.select("fp").mapInArrow(keys, "key long, fp long")).mapInArrow(lambda it: _link_runs(it, radius, LIMIT), out))
-    links = first.filter("linked").select("a", "b")
-    large = first.filter("not linked")
+    runs = lambda d, again: materialize(sorted_by(d).mapInArrow(lambda it: _link_runs(it, radius, LIMIT, again), out))
+    pairs = lambda d: d.filter(F.col("kind") == LINKED).select("a", "b")
+    first = runs(fps.select("fp").mapInArrow(keys, "key long, fp long"), True)
+    links, large = pairs(first), first.filter(F.col("kind") == LARGE)
     if not large.isEmpty():
-        links = links.unionByName(sorted_by(large.select(F.col("a").alias("key"), F.col("b").alias("fp"))).mapInArrow(
-            lambda it: _link_runs(it, radius, None), out).select("a", "b"))
+        second = runs(large.select(F.col("a").alias("key"), F.col("b").alias("fp")), False)
+        links, large = links.unionByName(pairs(second)), second.filter(F.col("kind") == LARGE)
+        if not large.isEmpty():
+            blocks = large.groupBy("a").agg(F.max("block").alias("last"))
+            both = join_split_hot(large.select("a", "b", "block"), blocks, ["a"], large.groupBy("a").agg(F.count("*").alias("n")), large.count())
+            other = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("last")), lambda k: F.xxhash64("a", F.least("block", k), F.greatest("block", k)))
+            units = materialize(both.select(F.explode(other).alias("key"), F.col("b").alias("fp")))
+            links = links.unionByName(sorted_by(units).mapInArrow(_unit_runs(radius), "a long, b long"))
     return links.distinct()
 
 
+def _unit_runs(radius: int):
+    """Links within each unit, two blocks of a large bucket."""
+    def run(batches):
+        for kind in _link_runs(batches, radius, 1 << 62, False):
+            yield kind.select(["a", "b"])
+    return run
+
+
 def simhash_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``(doc_id, fp, component_id)``: the smallest id reachable over links of fingerprints."""
     docs = materialize(fingerprints(df, doc_id, text, size))
@@ -228,10 +271,11 @@ def simhash_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     roots = connected_components(fingerprint_links(nodes, radius), "a", "b")
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("root"))
     placed = materialize(placed)
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    total = placed.agg(F.sum("n")).first()[0] or 0
-    named = materialize(placed.join(least, "root").select("fp", "n", "component_id"))
-    return join_split_hot(docs, named, ["fp"], None, total).select("doc_id", "fp", "component_id")
+    least = materialize(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps")))
+    total = placed.agg(F.sum("n").alias("n"), F.count("*").alias("fps")).first()
+    # one component may hold most fingerprints, and one fingerprint most rows
+    named = materialize(join_split_hot(placed, least, ["root"], None, total.fps, count="fps").select("fp", "n", "component_id"))
+    return join_split_hot(docs, named, ["fp"], None, total.n or 0).select("doc_id", "fp", "component_id")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
