@@ -7,8 +7,8 @@ if none does, a bin is opened, and when ``bins`` are open the fullest is closed
 Pieces arrive in falling length within windows of ``ARRIVE`` of them, so large ones meet small ones early.
 
 Defined cases: a null text is an empty one, a single end id; repeated rows are packed each;
-an empty table gives an empty one; other columns of a piece are carried through, and columns
-named like an output are replaced.
+an empty table gives an empty one; texts of any length are encoded whole; other columns of a piece are carried through, and columns
+named like an output are replaced. ``pack`` deals equal pieces apart by the place at which they are read.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from erspark.llm.bpe import Vocabulary, encoder
-from erspark.plans.runtime import materialize, ship
+from erspark.plans.runtime import materialize, ship, without
 
 CAPACITY, BINS, TASK, ARRIVE = 4096, 512, 16384, 1024
 
@@ -91,23 +91,29 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY, bins: int = BINS) ->
 
 
 def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, bins: int = BINS, key: tuple = ("doc_id", "piece"), task: int = TASK) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``; each length is from 1 to ``capacity``."""
+    """``pieces``, a stored table, with ``sequence_id`` and ``offset``; each length is from 1 to ``capacity``."""
     ship(pieces.sparkSession)
-    pieces = pieces.drop("sequence_id", "offset")
+    pieces = without(pieces, "sequence_id", "offset")
     tasks = max(1, -(-pieces.count() // task))
-    names = pieces.columns
-    dealt = pieces.withColumn("__order", F.xxhash64(*key)).withColumn("__task", F.pmod(F.xxhash64(F.lit(9), *key), F.lit(tasks)))
+    # columns are numbers meanwhile, so whatever they are called none meets another
+    names, schema = pieces.columns, pieces.schema
+    c = {n: f"c{i}" for i, n in enumerate(names)}
+    keys, size = [c[k] for k in key], c[length]
+    # keys may repeat, null ones above all: the place of a row where it is read tells equal ones apart. Rows are read from
+    # files, so a task that is run again numbers them as before
+    dealt = pieces.toDF(*c.values()).withColumn("at", F.monotonically_increasing_id()).withColumns({
+        "order": F.xxhash64(*keys, size, "at"), "task": F.pmod(F.xxhash64(F.lit(9), *keys, size, "at"), F.lit(tasks))}).drop("at")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__order", *key, length], ignore_index=True)
-        pdf = pdf.iloc[np.lexsort((np.arange(len(pdf)), -pdf[length], np.arange(len(pdf)) // ARRIVE))].reset_index(drop=True)
-        of, at = best_fit(pdf[length].tolist(), capacity, bins)
-        pdf["sequence_id"] = (int(pdf["__task"].iloc[0]) << 32) + of if len(pdf) else of
+        pdf = pdf.sort_values(["order", *keys, size], ignore_index=True)
+        pdf = pdf.iloc[np.lexsort((np.arange(len(pdf)), -pdf[size], np.arange(len(pdf)) // ARRIVE))].reset_index(drop=True)
+        of, at = best_fit(pdf[size].tolist(), capacity, bins)
+        pdf["sequence_id"] = (int(pdf["task"].iloc[0]) << 32) + of if len(pdf) else of
         pdf["offset"] = at
-        return pdf[[*names, "sequence_id", "offset"]]
+        return pdf[[*c.values(), "sequence_id", "offset"]]
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return dealt.groupBy("__task").applyInPandas(run, f"{out}, sequence_id long, offset long")
+    out = ", ".join(f"{c[f.name]} {f.dataType.simpleString()}" for f in schema.fields)
+    return dealt.groupBy("task").applyInPandas(run, f"{out}, sequence_id long, offset long").toDF(*names, "sequence_id", "offset")
 
 
 def pack_documents(df: DataFrame, vocabulary: str | None = None, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:

@@ -3,13 +3,13 @@
 Rows of equal text form a group. Groups are dealt by hash into parts of about ``PART`` groups;
 in each part, partial partitions (a tuple of shard sums each) are combined two at a time,
 those of largest spread first and oppositely ordered, until one is left. The parts' own
-tuples, ``shards`` numbers a part and at most MAX_PARTS parts, are combined in the same way on
-the driver. Rows then get their group's shard, and a place in it.
+tuples, ``shards`` numbers a part, are dealt and combined in the same way, level by level, by tasks
+of at most PARTS tuples each, until one tuple is left, whose bins are the shards. Rows then get their group's shard, and a place in it.
 
 Law: ``bytes``. A group is never cut, so a group above an eighth of all bytes sets the largest shard.
 
 Defined cases: null and empty texts have size 1 and are two groups; rows that repeat an id and a text stay in one
-group; an empty table gives an empty one; input columns named like an output are replaced.
+group, null ids too; texts of any length count whole; an empty table gives an empty one; only the columns named are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql.window import Window
 from erspark.plans.runtime import join_split_hot, materialize, release, ship
 
 SHARDS = 8
-#: Groups that one task combines; more only beyond MAX_PARTS of them.
-PART, MAX_PARTS = 8192, 4096
+#: Groups, and tuples of parts, that one task combines.
+PART, PARTS = 8192, 4096
 
 
 def differencing(sums: np.ndarray) -> np.ndarray:
@@ -73,21 +73,33 @@ def _part(pdf: pd.DataFrame, shards: int) -> pd.DataFrame:
     return pdf[["part", "g1", "g2", "n", "bytes", "bin"]]
 
 
-def assign_groups(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
+def _tuples(pdf: pd.DataFrame, shards: int) -> pd.DataFrame:
+    """Bins of the parts in one part of the next level."""
+    ids = np.unique(pdf["part"])
+    sums = np.zeros((len(ids), shards), np.int64)
+    sums[np.searchsorted(ids, pdf["part"]), pdf["bin"]] = pdf["bytes"]
+    return pd.DataFrame({"part": np.repeat(ids, shards), "bin": np.tile(np.arange(shards), len(ids)), "up": int(pdf["up"].iloc[0]), "up_bin": differencing(sums).ravel()})
+
+
+def assign_groups(groups: DataFrame, shards: int = SHARDS, part: int | None = None, parts: int | None = None) -> DataFrame:
     """``(g1, g2, n, shard)`` of groups ``(g1, g2, n, bytes)``."""
-    spark = groups.sparkSession
-    ship(spark)
-    parts = max(1, min(MAX_PARTS, -(-groups.count() // PART)))
-    dealt = groups.withColumn("part", F.pmod("g1", F.lit(parts)).cast("int"))
-    binned = materialize(dealt.groupBy("part").applyInPandas(
+    ship(groups.sparkSession)
+    part, parts = part or PART, parts or PARTS
+    n = max(1, -(-groups.count() // part))
+    binned = materialize(groups.withColumn("part", F.pmod("g1", F.lit(n)).cast("int")).groupBy("part").applyInPandas(
         lambda pdf: _part(pdf, shards), "part int, g1 long, g2 long, n long, bytes long, bin long"))
-    sums = np.zeros((parts, shards), np.int64)
-    for part, b, total in binned.groupBy("part", "bin").agg(F.sum("bytes")).collect():  # shards * MAX_PARTS rows at most
-        sums[part, b] = total
-    labels = differencing(sums)
-    chosen = spark.createDataFrame(pd.DataFrame({"part": np.repeat(np.arange(parts), shards), "bin": np.tile(np.arange(shards), parts),
-                                                 "shard": labels.ravel()}), "part int, bin long, shard int")
-    return binned.join(F.broadcast(chosen), ["part", "bin"]).select("g1", "g2", "n", "shard")
+    few = lambda d, n: F.broadcast(d) if n <= parts else d  # noqa: E731  # shards rows a part, so at most shards * parts
+    sums, first, chain = materialize(binned.groupBy("part", "bin").agg(F.sum("bytes").alias("bytes"))), n, None
+    while chain is None or n > 1:
+        below, n = n, -(-n // parts)
+        up = materialize(sums.withColumn("up", F.pmod("part", F.lit(n)).cast("int")).groupBy("up").applyInPandas(
+            lambda pdf: _tuples(pdf, shards), "part int, bin long, up int, up_bin long"))
+        sums = materialize(sums.join(few(up, below), ["part", "bin"]).groupBy(F.col("up").alias("part"), F.col("up_bin").alias("bin")).agg(F.sum("bytes").alias("bytes")))
+        if chain is not None:
+            step = up.select(F.col("part").alias("up"), F.col("bin").alias("up_bin"), F.col("up").alias("top"), F.col("up_bin").alias("top_bin"))
+            up = materialize(chain.join(few(step, below), ["up", "up_bin"]).select("part", "bin", F.col("top").alias("up"), F.col("top_bin").alias("up_bin")))
+        chain = up
+    return binned.join(few(chain, first), ["part", "bin"]).select("g1", "g2", "n", F.col("up_bin").cast("int").alias("shard"))
 
 
 def shard_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
