@@ -1,13 +1,14 @@
 """Similarity of two string columns, 0 to 1, null if either is null.
 
 Built-in expressions where Spark has them; Jaro-Winkler and the Indel ratio run as Arrow
-functions that score each distinct pair of a batch once.
+functions over matrices of letters that score all distinct pairs of a batch together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -71,22 +72,98 @@ def indel(a: str, b: str) -> float:
     return 2 * (len(a) - s.bit_count()) / (len(a) + len(b))
 
 
-def _arrow(score: Callable[[str, str], float]) -> Callable[[Column, Column], Column]:
+#: Cells of the matrices that pairs of strings are compared in, at once.
+CELLS = 1 << 16
+
+
+def letters(strings: list[str], width: int) -> np.ndarray:
+    """Code points, a row for each string, filled up with zeros."""
+    return np.array(strings, dtype=f"<U{width}").view(np.uint32).reshape(len(strings), width).copy()
+
+
+def jaro_winkler_many(a: list[str], b: list[str]) -> np.ndarray:
+    """``jaro_winkler`` of many pairs: one step over all pairs for each letter of the longest."""
+    la, lb = np.array([*map(len, a)]), np.array([*map(len, b)])
+    wa, wb = max(1, int(la.max())), max(1, int(lb.max()))
+    x, y, rows = letters(a, wa), letters(b, wb), np.arange(len(a))
+    reach = np.maximum(0, np.maximum(la, lb) // 2 - 1)
+    far, place, even = int(reach.max()), np.arange(wb), bool((reach == reach[0]).all())
+    # past its end a string has a mark that no string has, each side another
+    x[np.arange(wa) >= la[:, None]], y[place >= lb[:, None]] = 0xFFFFFFFF, 0xFFFFFFFE
+    free, mine = np.ones((len(a), wb), bool), np.zeros((len(a), wa), bool)
+    for i in range(wa):
+        lo, hi = max(0, i - far), min(wb, i + far + 1)
+        if lo >= hi:
+            break
+        fits = y[:, lo:hi] == x[:, i:i + 1]
+        fits &= free[:, lo:hi]
+        if not even:
+            fits &= np.abs(place[lo:hi] - i) <= reach[:, None]
+        at = fits.argmax(axis=1)
+        hit = fits[rows, at]
+        free[rows, at + lo] &= ~hit
+        mine[:, i] = hit
+    k = mine.sum(axis=1)
+    most = max(1, int(k.max()))
+    in_order = lambda m, flags: np.take_along_axis(m, np.argsort(~flags, axis=1, kind="stable")[:, :most], axis=1)
+    moved = ((in_order(x, mine) != in_order(y, ~free)) & (np.arange(most) < k[:, None])).sum(axis=1) // 2
+    safe = np.maximum(k, 1)
+    jaro = np.where(k > 0, (k / np.maximum(la, 1) + k / np.maximum(lb, 1) + (k - moved) / safe) / 3, 0.0)
+    n = min(4, wa, wb)
+    prefix = np.cumprod(x[:, :n] == y[:, :n], axis=1).sum(axis=1)
+    out = np.where(jaro > 0.7, jaro + 0.1 * prefix * (1 - jaro), jaro)
+    return np.where((la == lb) & (la == 0), 1.0, out)
+
+
+def indel_many(a: list[str], b: list[str]) -> np.ndarray:
+    """``indel`` of many pairs whose shorter strings have at most 64 letters, a bit each."""
+    short = [x if len(x) <= len(y) else y for x, y in zip(a, b)]
+    long = [y if len(x) <= len(y) else x for x, y in zip(a, b)]
+    ls, ll = np.array([*map(len, short)]), np.array([*map(len, long)])
+    x, y = letters(short, 64), letters(long, max(1, int(ll.max())))
+    full = np.where(ls >= 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << np.minimum(ls, 63).astype(np.uint64)) - np.uint64(1))
+    state = np.full(len(a), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for j in range(int(ll.max())):
+        here = np.packbits(x == y[:, j:j + 1], axis=1, bitorder="little").view("<u8").ravel() & full
+        met = state & here
+        state = np.where(j < ll, (state + met) | (state - met), state)
+    common = ls - np.bitwise_count(state & full)
+    return np.where(ls + ll == 0, 1.0, 2 * common / np.maximum(ls + ll, 1))
+
+
+def _many(score: Callable[[str, str], float], together: Callable, most: int | None = None) -> Callable[[list, list], np.ndarray]:
+    """Scores of lists of pairs, those of like length together; pairs whose shorter string is above ``most`` one by one."""
+    def run(a: list[str], b: list[str]) -> np.ndarray:
+        size = np.array([max(len(x), len(y)) for x, y in zip(a, b)], np.int64)
+        alone = np.array([most is not None and min(len(x), len(y)) > most for x, y in zip(a, b)], bool)
+        out = np.zeros(len(a))
+        out[alone] = [score(a[i], b[i]) for i in np.flatnonzero(alone)]
+        order = np.flatnonzero(~alone)
+        order = order[np.argsort(size[order], kind="stable")]
+        at = 0
+        while at < len(order):
+            n = int(max(1, min(len(order) - at, CELLS // max(64, int(size[order[at]]) * 2))))
+            while n > 1 and n * int(size[order[at + n - 1]]) > CELLS:
+                n //= 2
+            some = order[at:at + n]
+            out[some] = together([a[i] for i in some], [b[i] for i in some])
+            at += n
+        return out
+
+    return run
+
+
+def _arrow(many: Callable[[list, list], np.ndarray]) -> Callable[[Column, Column], Column]:
     def build(a: Column, b: Column) -> Column:
         ship()
 
         @F.pandas_udf(T.DoubleType())
         def run(x: pd.Series, y: pd.Series) -> pd.Series:
-            memo: dict = {}
-            out = []
-            for p in zip(x, y):
-                if p[0] is None or p[1] is None:
-                    out.append(None)
-                else:
-                    if p not in memo:
-                        memo[p] = score(*p)
-                    out.append(memo[p])
-            return pd.Series(out, dtype="float64")
+            (i, u), (j, v) = pd.factorize(x), pd.factorize(y)
+            pair, back = np.unique(i.astype(np.int64) * max(1, len(v)) + j, return_inverse=True)
+            if not len(pair):
+                return pd.Series([], dtype="float64")
+            return pd.Series(many([u[k] for k in pair // len(v)], [v[k] for k in pair % len(v)])[back])
 
         # the function gets no null, so its own nulls can't turn into NaN
         return F.when(a.isNotNull() & b.isNotNull(), run(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
@@ -147,7 +224,8 @@ def soundex_match(a: Column, b: Column) -> Column:
     return (soundex(a) == soundex(b)).cast("double")
 
 
-_JW, _INDEL = _arrow(jaro_winkler), _arrow(indel)
+JW_MANY, INDEL_MANY = _many(jaro_winkler, jaro_winkler_many), _many(indel, indel_many, 64)
+_JW, _INDEL = _arrow(JW_MANY), _arrow(INDEL_MANY)
 
 
 def token_sort(a: Column, b: Column) -> Column:
@@ -215,12 +293,20 @@ def boost_features(columns: list[str], left: str = "a_", right: str = "b_") -> l
 
 
 def register_sql(spark: SparkSession) -> None:
-    """SQL functions ``er_score(a, b, scorer)``, null gives 0, and ``er_metaphone(a)``."""
+    """SQL functions ``er_score(a, b, scorer)``, null gives 0, ``er_metaphone(a)``, ``er_score_pair(a, b, fields)`` of two JSON
+    records and a JSON object of field: scorer, and ``er_explain(a, b, fields)``, its parts as text."""
+    import json
+
     import erspark.functions.phonetic as phonetic
 
     ship(spark)
 
-    py = {"exact": lambda a, b: float(a == b), "jaro_winkler": jaro_winkler, "token_sort": lambda a, b: indel(" ".join(sorted(a.split())), " ".join(sorted(b.split())))}
+    by_tokens = lambda v: " ".join(sorted(v.split()))
+    py = {"exact": lambda a, b: float(a == b), "jaro_winkler": jaro_winkler, "token_sort": lambda a, b: indel(by_tokens(a), by_tokens(b))}
+
+    def parts(a: str | None, b: str | None, fields: str) -> dict[str, float]:
+        x, y = json.loads(a or "{}"), json.loads(b or "{}")
+        return {f: py[s](str(x[f]), str(y[f])) for f, s in json.loads(fields).items() if x.get(f) is not None and y.get(f) is not None}
 
     @F.pandas_udf(T.DoubleType())
     def er_score(a: pd.Series, b: pd.Series, s: pd.Series) -> pd.Series:
@@ -230,5 +316,13 @@ def register_sql(spark: SparkSession) -> None:
     def er_metaphone(a: pd.Series) -> pd.Series:
         return a.map(phonetic.metaphone)
 
-    spark.udf.register("er_score", er_score)
-    spark.udf.register("er_metaphone", er_metaphone)
+    @F.pandas_udf(T.DoubleType())
+    def er_score_pair(a: pd.Series, b: pd.Series, f: pd.Series) -> pd.Series:
+        return pd.Series([sum(p.values()) / len(p) if (p := parts(*r)) else 0.0 for r in zip(a, b, f)])
+
+    @F.pandas_udf(T.StringType())
+    def er_explain(a: pd.Series, b: pd.Series, f: pd.Series) -> pd.Series:
+        return pd.Series(["; ".join(f"{k}: {v:.3f}" for k, v in parts(*r).items()) for r in zip(a, b, f)])
+
+    for name, f in (("er_score", er_score), ("er_metaphone", er_metaphone), ("er_score_pair", er_score_pair), ("er_explain", er_explain)):
+        spark.udf.register(name, f)

@@ -24,8 +24,9 @@ def filled(c: Column) -> Column:
 
 
 def email(c: Column) -> Column:
+    """Lower case, if a dot comes behind the last @."""
     v = F.lower(strip(c))
-    return F.when(v.rlike(r"@[^@]+\."), v)
+    return F.when(v.contains("@") & F.substring_index(v, "@", -1).contains("."), v)
 
 
 def name_proper(c: Column) -> Column:
@@ -40,8 +41,8 @@ def phone(c: Column) -> Column:
 
 
 def zip5(c: Column) -> Column:
-    """Digits before a dash, five at most, filled with zeros from the left."""
-    d = F.substring(F.regexp_replace(F.substring_index(c, "-", 1), "[^0-9]", ""), 1, 5)
+    """Digits before a dash or a space, five at most, filled with zeros from the left."""
+    d = F.substring(F.regexp_replace(F.substring_index(F.substring_index(c, "-", 1), " ", 1), "[^0-9]", ""), 1, 5)
     return F.when(d != "", F.lpad(d, 5, "0"))
 
 
