@@ -7,6 +7,7 @@ block are spread over salts, so that no block is the work of one task.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 import numpy as np
@@ -17,43 +18,55 @@ from pyspark.sql.window import Window
 
 from erspark.functions.transforms import apply_transforms, matchkey_column
 from erspark.operators.components import connected_components
-from erspark.plans.runtime import materialize, ship
+from erspark.plans.runtime import join_split_hot, materialize, release, ship
 
 ID = "__row_id__"
 #: Rows of a block that one task pairs with the rest.
 SALT_ROWS = 2048
 
 
-def exact_pairs(df: DataFrame, key: Column | str, id_col: str = ID, max_group: int | None = None, cross: str | None = None) -> DataFrame:
-    """All pairs of rows whose non-null keys are equal, score 1.0.
+def exact_pairs(df: DataFrame, key: Column | str, id_col: str = ID, cross: str | None = None) -> DataFrame:
+    """All pairs of rows whose non-null keys are equal, score 1.0; ``cross`` names a column in which the rows of a pair must differ.
 
-    ``cross`` names a column in which the rows of a pair must differ. Only if ``max_group`` is given, and
-    without ``cross``, are groups of more rows linked to their least id instead, which keeps components but not pairs.
+    n rows of a key make n (n - 1) / 2 pairs: ``exact_links`` says the same in n - 1 links.
     """
     k = F.col(key) if isinstance(key, str) else key
     extra = [F.col(cross).alias("x")] if cross else []
     keyed = df.select(F.lit(0).alias("pass"), k.alias("key"), F.col(id_col).alias("id"), *extra).filter("key is not null")
-    if cross:
-        return pairs_of_keys(keyed, extra=["x"]).filter("x_a <> x_b").select("id_a", "id_b").withColumn("score", F.lit(1.0))
-    small = pairs_of_keys(keyed, max_size=max_group).withColumn("score", F.lit(1.0))
-    if max_group is None:
-        return small
-    large = exact_links(df, key, id_col).filter(F.col("pairs") * 2 > max_group)
-    return small.unionByName(large.select("id_a", "id_b", "score"))
-
-
-def exact_links(df: DataFrame, key: Column | str, id_col: str = ID) -> DataFrame:
-    """``(id_a, id_b, score, pairs)``: each row of an exact group linked to the group's least id. A link stands for
-    ``pairs`` of all its pairs: n / 2, as n - 1 links stand for n (n - 1) / 2; ``cluster_stats`` counts them so."""
+    out = pairs_of_keys(keyed, extra=["x"]).filter("x_a <> x_b").select("id_a", "id_b") if cross else pairs_of_keys(keyed, unique=True)
+    return out.withColumn("score", F.lit(1.0))
+
+
+def exact_links(df: DataFrame, key: Column | str, id_col: str = ID, cross: str | None = None) -> DataFrame:
+    """``(id_a, id_b, score, pairs)``: links whose components are those of all exact pairs, each standing for ``pairs`` of them;
+    ``cluster_stats`` counts them so. One form at every size.
+
+    Each row of a group is linked to the group's least id. With ``cross``, a column in which linked rows must differ, rows
+    are linked to the least id, those of that row's own value to the least id of another value; rows without a value take no part.
+    """
     k = F.col(key) if isinstance(key, str) else key
-    keyed = df.select(k.alias("key"), F.col(id_col).alias("id")).filter("key is not null")
-    sized = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")).filter("n > 1")
-    return keyed.join(sized, "key").filter("id <> least").select(F.col("least").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("score"), (F.col("n") / 2).alias("pairs"))
+    keyed = df.select(k.alias("key"), F.col(id_col).alias("id"), *([F.col(cross).alias("x")] if cross else [])).filter("key is not null")
+    if not cross:
+        sized = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")).filter("n > 1"))
+        total = sized.agg(F.sum("n")).first()[0] or 0
+        return join_split_hot(keyed, sized, ["key"], None, total).filter("id <> least").select(
+            F.col("least").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("score"), (F.col("n") / 2).alias("pairs"))
+    keyed = keyed.filter("x is not null")
+    per = materialize(keyed.groupBy("key", "x").agg(F.count("*").alias("c"), F.min("id").alias("least")))
+    whole = per.groupBy("key").agg(F.count("*").alias("xs"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.min(F.struct("least", "x")).alias("first")).filter("xs > 1")
+    second = per.join(whole, "key").filter(F.col("x") != F.col("first.x")).groupBy("key").agg(F.min("least").alias("second"))
+    sized = materialize(whole.join(second, "key"))
+    total = sized.agg(F.sum("n")).first()[0] or 0
+    to = F.when(F.col("x") == F.col("first.x"), F.col("second")).otherwise(F.col("first.least"))
+    met = join_split_hot(keyed, sized, ["key"], None, total).filter(F.col("id") != F.col("first.least"))
+    return met.select(F.least("id", to).alias("id_a"), F.greatest("id", to).alias("id_b"), F.lit(1.0).alias("score"),
+                      ((F.col("n") * F.col("n") - F.col("squares")) / 2 / (F.col("n") - 1)).alias("pairs"))
 
 
 def key_relation(df: DataFrame, passes: list[dict], id_col: str = ID, drop_empty: bool = False) -> DataFrame:
-    """``(pass, key, id)`` of block keys ``{fields, transforms}``; one scan whatever the number of passes."""
-    keys = [F.struct(F.lit(i).alias("pass"), matchkey_column([(c, p.get("transforms", [])) for c in p["fields"]]).alias("key")) for i, p in enumerate(passes)]
+    """``(pass, key, id)`` of block keys ``{fields, transforms}``, or ``{steps}`` with transforms for each field; one scan whatever the number of passes."""
+    steps = lambda p: p.get("steps") or [(c, p.get("transforms", [])) for c in p["fields"]]
+    keys = [F.struct(F.lit(i).alias("pass"), matchkey_column(steps(p)).alias("key")) for i, p in enumerate(passes)]
     out = df.select(F.col(id_col).alias("id"), F.explode(F.array(*keys)).alias("k")).select("k.pass", "k.key", "id").filter("key is not null")
     return out.filter("key <> ''") if drop_empty else out
 
@@ -66,18 +79,21 @@ def block_stats(keys: DataFrame) -> DataFrame:
                                  F.round(F.stddev_samp(two), 6).alias("std_size"), F.sum(F.expr("n * (n - 1) div 2")).alias("pairs"))
 
 
-def pairs_of_keys(keys: DataFrame, max_size: int | None = None, min_size: int = 2, extra: list[str] | None = None) -> DataFrame:
-    """Pairs that share a key; blocks outside the sizes are left out. ``extra`` columns come along as name_a and name_b."""
+def pairs_of_keys(keys: DataFrame, max_size: int | None = None, min_size: int = 2, extra: list[str] | None = None, unique: bool = False) -> DataFrame:
+    """Pairs that share a key; blocks outside the sizes are left out. ``extra`` columns come along as name_a and name_b.
+    ``unique`` says that an id has one key only, so that no pair can arise twice."""
     extra = extra or []
     sizes = keys.groupBy("pass", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_size)
     if max_size:
         sizes = sizes.filter(F.col("n") <= max_size)
-    sized = keys.join(sizes, ["pass", "key"]).withColumn("parts", F.ceil(F.col("n") / SALT_ROWS).cast("int"))
+    sizes = sizes.withColumn("parts", F.ceil(F.col("n") / SALT_ROWS).cast("int"))
+    sized = keys.join(sizes, ["pass", "key"])
     side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ["id", *extra]]
     left = sized.select("pass", "key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("salt"), *side("a"))
     right = sized.select("pass", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), *side("b"))
     out = left.join(right, ["pass", "key", "salt"]).filter("id_a < id_b")
-    return out.select("id_a", "id_b", *(f"{c}_{s}" for c in extra for s in "ab")).dropDuplicates(["id_a", "id_b"])
+    out = out.select("id_a", "id_b", *(f"{c}_{s}" for c in extra for s in "ab"))
+    return out if unique else out.dropDuplicates(["id_a", "id_b"])
 
 
 def static_pairs(df: DataFrame, keys: list[dict], id_col: str = ID, max_size: int | None = None) -> DataFrame:
@@ -162,46 +178,64 @@ def ann_blocks(df: DataFrame, vector: str, k: int = 20, threshold: float = 0.5,
     return pairs_of_keys(groups.select(F.lit(0).alias("pass"), F.col("component").cast("string").alias("key"), F.col("node").alias("id")))
 
 
-def tfidf_pairs(df: DataFrame, text: Column, loose: float, id_col: str = ID, max_df: int = 1000) -> DataFrame:
-    """Pairs of cosine ``loose`` or more of TF-IDF weighted character 3- and 4-grams, by an inverted index.
+def tfidf_vectors(df: DataFrame, text: Column, id_col: str = ID) -> tuple[DataFrame, DataFrame]:
+    """``(members(id, t), vectors(t, g, df, w))``: equal texts are one ``t``, and weights are those of a table with each row counted."""
+    rows = df.select(F.col(id_col).alias("id"), F.lower(text).alias("text"))
+    texts = materialize(rows.groupBy("text").agg(F.count("*").alias("n"), F.min("id").alias("t")))
+    total = texts.agg(F.sum("n")).first()[0] or 0
+    members = join_split_hot(rows, texts.select("text", "t", "n"), ["text"], None, total).select("id", "t")
+    padded = F.concat(F.lit(" "), "text", F.lit(" "))
+    of_size = lambda n: F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substring(padded, i, F.lit(n)))
+    grams = F.concat(*(F.when(F.length(padded) >= n, of_size(n)).otherwise(F.array().cast("array<string>")) for n in (3, 4)))
+    tf = texts.select("t", "n", F.explode(grams).alias("g")).groupBy("t", "g").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
+    dfs = tf.groupBy("g").agg(F.sum("n").alias("df"), F.count("*").alias("texts"))
+    w = tf.join(dfs, "g").withColumn("w", F.col("tf") * (F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1))
+    norm = w.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return materialize(members), materialize(w.join(norm, "t").select("t", "g", "texts", (F.col("w") / F.col("norm")).alias("w")))
 
-    Grams of over ``max_df`` rows make no candidates but count in the cosine.
+
+def tfidf_pairs(vectors: DataFrame, loose: float) -> DataFrame:
+    """``(id_a, id_b, score)`` of texts ``t`` whose cosine is ``loose`` or more, all of them.
+
+    Grams of a text are ordered from the rarest to the most frequent. What the grams from some place on weigh together
+    bounds the cosine of texts that share none before it (their part of a unit vector, by Cauchy and Schwarz), so only the
+    prefix up to the place where that falls below ``loose`` makes candidates: frequent grams do so only in texts that have no rarer ones.
     """
-    padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    grams = F.concat(*(F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i, n=n: F.substring(padded, i, n))).otherwise(F.array().cast("array<string>")) for n in (3, 4)))
-    tf = df.select(F.col(id_col).alias("id"), F.explode(grams).alias("g")).groupBy("id", "g").agg(F.count("*").alias("tf"))
-    total = df.count()
-    dfs = tf.groupBy("g").agg(F.count("*").alias("df"))
-    w = tf.join(dfs, "g").withColumn("w", F.col("tf") * (F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1))
-    norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    w = materialize(w.join(norm, "id").select("id", "g", "df", (F.col("w") / F.col("norm")).alias("w")))
-    rare = w.filter((F.col("df") > 1) & (F.col("df") <= max_df))
-    cand = rare.alias("a").join(rare.alias("b"), F.expr("a.g = b.g and a.id < b.id")).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-    side = lambda s: w.select(F.col("id").alias(f"id_{s}"), "g", F.col("w").alias(f"w_{s}"))
+    order = Window.partitionBy("t").orderBy("texts", "g")
+    rest = F.sqrt(1 - F.coalesce(F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) + 1e-9)
+    prefix = vectors.withColumn("rest", rest).filter((F.col("rest") >= loose) & (F.col("texts") > 1)).select(F.lit(0).alias("pass"), F.col("g").alias("key"), F.col("t").alias("id"))
+    cand = pairs_of_keys(materialize(prefix))
+    side = lambda s: vectors.select(F.col("t").alias(f"id_{s}"), "g", F.col("w").alias(f"w_{s}"))
     return cand.join(side("a"), "id_a").join(side("b"), ["id_b", "g"]).groupBy("id_a", "id_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("score")).filter(F.col("score") >= loose)
 
 
-def canopies(df: DataFrame, fields: list[str], loose: float = 0.3, tight: float = 0.7, max_size: int = 500, id_col: str = ID) -> DataFrame:
-    """``(canopy, id, score)``: centres in the order of a hash of the id; rows within ``tight`` of an
-    earlier centre are no centres, rows within ``loose`` of one belong to it, the ``max_size`` most similar."""
-    text = F.concat_ws(" ", *fields)
-    sim = materialize(tfidf_pairs(df, text, loose, id_col))
+def canopies(df: DataFrame, fields: list[str], loose: float = 0.3, tight: float = 0.7, max_size: int | None = 500, id_col: str = ID) -> DataFrame:
+    """``(canopy, id, score)`` of all rows: centres in the order of a hash of the id; rows within ``tight`` of an
+    earlier centre are no centres, rows within ``loose`` of one belong to it, the ``max_size`` most similar, or all of them.
+
+    Equal texts are one from start to end; a round settles every text whose earlier neighbours are settled, and as texts are
+    finite and ordered the rounds end.
+    """
+    members, vectors = tfidf_vectors(df, F.concat_ws(" ", *fields), id_col)
+    sim = materialize(tfidf_pairs(vectors, loose))
     both = sim.unionByName(sim.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "score"))
     order = lambda c: F.struct(F.xxhash64(F.lit(42), c), F.col(c))
-    close = both.filter((F.col("score") >= tight) & (order("id_b") < order("id_a"))).select(F.col("id_a").alias("id"), F.col("id_b").alias("earlier"))
-    state = materialize(df.select(F.col(id_col).alias("id"), F.lit("open").alias("s")))
-    while True:
+    close = materialize(both.filter((F.col("score") >= tight) & (order("id_b") < order("id_a"))).select(F.col("id_a").alias("id"), F.col("id_b").alias("earlier")))
+    state = materialize(members.select(F.col("t").alias("id"), F.lit("open").alias("s")).distinct())
+    while not state.filter("s = 'open'").isEmpty():
         near = close.join(state.select(F.col("id").alias("earlier"), F.col("s").alias("es")), "earlier").groupBy("id").agg(
             F.max((F.col("es") == "centre").cast("int")).alias("covered"), F.max((F.col("es") == "open").cast("int")).alias("waits"))
         new = materialize(state.join(near, "id", "left").select("id", F.when(F.col("s") != "open", F.col("s")).when(F.col("covered") == 1, "covered").when(
             F.coalesce("waits", F.lit(0)) == 0, "centre").otherwise("open").alias("s")))
+        release(state)
         state = new
-        if state.filter("s = 'open'").isEmpty():
-            break
     centres = state.filter("s = 'centre'").select(F.col("id").alias("canopy"))
-    members = both.join(centres, F.col("id_a") == F.col("canopy")).select("canopy", F.col("id_b").alias("id"), "score").unionByName(centres.select("canopy", F.col("canopy").alias("id"), F.lit(1.0).alias("score")))
+    near = both.join(centres, F.col("id_a") == F.col("canopy")).select("canopy", F.col("id_b").alias("t"), "score").unionByName(centres.select("canopy", F.col("canopy").alias("t"), F.lit(1.0).alias("score")))
+    out = near.join(members, "t").select("canopy", "id", "score")
+    if max_size is None:
+        return out
     rank = F.row_number().over(Window.partitionBy("canopy").orderBy(F.desc("score"), "id"))
-    return members.withColumn("r", rank).filter(F.col("r") <= max_size).drop("r")
+    return out.withColumn("r", rank).filter(F.col("r") <= max_size).drop("r")
 
 
 #: Predicates of learned blocking.
@@ -220,13 +254,39 @@ def evaluate_rules(df: DataFrame, rules: list[dict], true_pairs: DataFrame, id_c
                                                                          (1 - F.coalesce("blocked", F.lit(0)) / max(1, rows * (rows - 1) // 2)).alias("reduction"))
 
 
-def learn_rules(df: DataFrame, columns: list[str], true_pairs: DataFrame, min_recall: float = 0.95, min_reduction: float = 0.9, top: int = 3, id_col: str = ID) -> list[dict]:
-    """The best single predicates and their conjunctions of two, all evaluated in one pass."""
-    single = [{"fields": [c], "transforms": t, "name": f"{n}({c})"} for c in columns for n, t in PREDICATES.items()]
-    seen = {r["pass"]: r for r in evaluate_rules(df, single, true_pairs, id_col).collect()}
-    good = sorted((i for i in seen if seen[i].recall >= min_recall and seen[i].reduction >= min_reduction), key=lambda i: (-seen[i].reduction, i))
-    rest = sorted(seen, key=lambda i: (-seen[i].recall, -seen[i].reduction, i))
-    return [single[i] for i in [*good, *(i for i in rest if i not in good)][:top]]
+def learn_rules(df: DataFrame, columns: list[str], true_pairs: DataFrame, min_recall: float = 0.95, min_reduction: float = 0.9, top: int = 3, id_col: str = ID, most: int = 20) -> list[dict]:
+    """The best rules by recall, then reduction: single predicates that reach both, else conjunctions of two of the ``most``
+    singles of best recall that do, else the single of best recall. A rule's blocks are keys like any other."""
+    single = [{"fields": [c], "transforms": t, "steps": [(c, t)], "name": f"{n}({c})"} for c in columns for n, t in PREDICATES.items()]
+    best = lambda rules, seen: sorted(seen, key=lambda i: (-seen[i].recall, -seen[i].reduction, i))
+    measured = lambda rules: {r["pass"]: r for r in evaluate_rules(df, rules, true_pairs, id_col).collect()}
+    good = lambda seen: [i for i in seen if seen[i].recall >= min_recall and seen[i].reduction >= min_reduction]
+    seen = measured(single)
+    order = best(single, seen)
+    if good(seen):
+        return [single[i] for i in order if i in set(good(seen))][:top]
+    half = [single[i] for i in order if seen[i].recall >= 0.5 * min_recall][:most]
+    both = [{"steps": x["steps"] + y["steps"], "name": f"{x['name']} & {y['name']}"} for i, x in enumerate(half) for y in half[i + 1:]]
+    if both:
+        pairs = measured(both)
+        if good(pairs):
+            return [both[i] for i in best(both, pairs) if i in set(good(pairs))][:top]
+    return [single[order[0]]] if order else []
+
+
+def save_rules(rules: list[dict], path: str) -> None:
+    """Learned rules as JSON, for ``load_rules`` of a later run."""
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump([{"steps": [[c, t] for c, t in r["steps"]], "name": r["name"]} for r in rules], f, indent=1)
+
+
+def load_rules(path: str) -> list[dict] | None:
+    """Rules that ``save_rules`` wrote; None where there are none."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            return [{"steps": [(c, t) for c, t in r["steps"]], "name": r["name"]} for r in json.load(f)]
+    except FileNotFoundError:
+        return None
 
 
 def analyze_blocking(df: DataFrame, candidates: list[dict], target: int = 5000, id_col: str = ID) -> DataFrame:
@@ -249,10 +309,46 @@ def hybrid_candidates(*relations: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [r.select("id_a", "id_b") for r in relations]).distinct()
 
 
+def grid_join(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs ``(a, b)`` of two key relations ``(pass, key, id)``, whose ids are called so, that share a key."""
+    count = lambda d, n: d.groupBy("pass", "key").agg(F.count("*").alias(n))
+    parts = lambda n: F.ceil(F.col(n) / SALT_ROWS).cast("int")
+    sizes = count(left, "nt").join(count(right, "nr"), ["pass", "key"]).select("pass", "key", parts("nt").alias("pt"), parts("nr").alias("pr"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    x = left.join(sizes, ["pass", "key"]).select("pass", "key", a, own(a, "pt").alias("i"), every("pr").alias("j"))
+    y = right.join(sizes, ["pass", "key"]).select("pass", "key", b, own(b, "pr").alias("j"), every("pt").alias("i"))
+    return x.join(y, ["pass", "key", "i", "j"]).select(a, b)
+
+
 def cross_pairs(target: DataFrame, reference: DataFrame, keys: list[dict], id_col: str = ID, limit: int | None = None) -> DataFrame:
-    """Pairs ``(target_id, ref_id)`` of two tables that share a block key; at most ``limit`` a target if given."""
-    t, r = key_relation(target, keys, id_col), key_relation(reference, keys, id_col)
-    out = t.select("pass", "key", F.col("id").alias("target_id")).join(r.select("pass", "key", F.col("id").alias("ref_id")), ["pass", "key"]).select("target_id", "ref_id").distinct()
+    """Pairs ``(target_id, ref_id)`` of two tables that share a block key; at most ``limit`` a target if given.
+
+    A block of very many targets or references is dealt to a grid of salts, so none is the work of one task.
+    """
+    t, r = (key_relation(d, keys, id_col).withColumnRenamed("id", n) for d, n in ((target, "target_id"), (reference, "ref_id")))
+    out = grid_join(t, r, "target_id", "ref_id")
+    out = out.distinct() if len(keys) > 1 else out  # an id has one key a pass
     if limit:
         out = out.withColumn("r", F.row_number().over(Window.partitionBy("target_id").orderBy("ref_id"))).filter(F.col("r") <= limit).drop("r")
     return out
+
+
+def sub_blocks(df: DataFrame, keys: list[dict], column: str, max_size: int, top_k: int = 20, threshold: float = 0.5, id_col: str = ID) -> DataFrame:
+    """The key relation in which rows of blocks above ``max_size`` are parted by the components of their nearest neighbours
+    in ``column``, vectors made of their texts; equal texts are searched once, and rows without a neighbour leave their block."""
+    from erspark.functions.similarity import hashing_embedding
+
+    rel = materialize(key_relation(df, keys, id_col))
+    sizes = rel.groupBy("pass", "key").agg(F.count("*").alias("n"))
+    large = materialize(join_split_hot(rel, sizes.filter(F.col("n") > max_size), ["pass", "key"], None, rel.count()).drop("n"))
+    small = rel.join(sizes.filter(F.col("n") <= max_size), ["pass", "key"], "left_semi")
+    texts = large.join(df.select(F.col(id_col).alias("id"), F.lower(F.col(column).cast("string")).alias("text")), "id").filter("text is not null")
+    texts = materialize(texts.withColumn("t", F.xxhash64("pass", "key", "text")))
+    one = texts.groupBy("t").agg(F.first("text").alias("text"), F.first(F.xxhash64("pass", "key")).alias("block"))
+    near = top_k_pairs(one.select(F.col("t").alias(id_col), hashing_embedding(F.col("text")).alias("v")), "v", top_k, id_col, threshold=threshold)
+    at = lambda e: one.select(F.col("t").alias(e), F.col("block").alias(f"b_{e}"))
+    inside = near.join(at("id_a"), "id_a").join(at("id_b"), "id_b").filter("b_id_a = b_id_b")
+    group = connected_components(inside).select(F.col("node").alias("t"), "component")
+    parted = texts.join(group, "t", "left").select("pass", F.concat("key", F.lit("||"), F.coalesce("component", "t").cast("string")).alias("key"), "id")
+    return small.unionByName(parted)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from erspark.functions.transforms import strip
 
+# fixed values: strings that stand for nothing, and signs of made-up values
 NULL_STRINGS = ("", "NULL", "null", "N/A", "NA", "n/a", "None", "none", "-", ".", "nan", "NaN")
 FAKE_EMAILS = (r"^test@", r"^noreply@", r"^no-reply@", r"^donotreply@", r"^fake@", r"^example@", r"@example\.com$", r"@test\.com$",
                r"^admin@", r"^info@info\.", r"^asdf", r"^qwerty", r"^a{3,}@", r"^x{3,}@")
@@ -57,6 +58,19 @@ def auto_fix(df: DataFrame, drop_null_columns: bool = True) -> DataFrame:
     return out
 
 
+#: Optional steps of a run, each a function of a table: none unless one is registered.
+HOOKS: dict[str, list] = {"quality": [], "transform": []}
+
+
+def register_hook(kind: str, step) -> None:
+    """``step(df) -> df`` runs as part of ``prepare``: quality ones before the fixes, transform ones after."""
+    HOOKS[kind].append(step)
+
+
+def run_hooks(kind: str, df: DataFrame) -> DataFrame:
+    return reduce(lambda d, step: step(d), HOOKS[kind], df)
+
+
 def fix_log(df: DataFrame) -> DataFrame:
     """``(fix, column, rows_affected)`` of all fixes, counted in one pass."""
     counts = []
@@ -157,18 +171,35 @@ TYPES = {"email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$", "phone": r"^[\d\s().+-]{7,}$",
 
 
 def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """Per column: nulls, distinct values, lengths and a suspected type, all in one aggregation."""
-    distinct = F.approx_count_distinct if approximate else F.countDistinct
-    rows = []
-    for c in user_columns(df):
-        s = F.col(c).cast("string")
-        n = F.greatest(F.count(c), F.lit(1))
-        kind = F.lit("text")
-        for k in reversed(TYPES):
-            kind = F.when(F.count_if(s.rlike(TYPES[k])) / n > 0.6, k).otherwise(kind)
-        rows.append(F.struct(F.lit(c).alias("column"), F.count("*").alias("total"), (F.count("*") - F.count(c)).alias("nulls"), distinct(c).alias("n_unique"),
-                             F.min(F.length(s)).alias("min_length"), F.max(F.length(s)).alias("max_length"), F.round(F.avg(F.length(s)), 6).alias("avg_length"), kind.alias("suspected_type")))
-    return df.agg(F.array(*rows).alias("a")).select(F.explode("a").alias("a")).select("a.*")
+    """Per column: nulls, distinct values, lengths and a suspected type.
+
+    Exact distinct counts come from values counted first: a row for each column and value is what is shuffled, made
+    within each task before, and everything else is a sum over those rows.
+    """
+    names = user_columns(df)
+    if approximate:
+        rows = []
+        for c in names:
+            s, n = F.col(f"`{c}`").cast("string"), F.count(F.col(f"`{c}`"))
+            rows.append(F.struct(F.lit(c).alias("column"), F.count("*").alias("total"), (F.count("*") - n).alias("nulls"), F.approx_count_distinct(F.col(f"`{c}`")).alias("n_unique"),
+                                 F.min(F.length(s)).alias("min_length"), F.max(F.length(s)).alias("max_length"), F.round(F.avg(F.length(s)), 6).alias("avg_length"),
+                                 _suspected(lambda p, s=s: F.count_if(s.rlike(p)), n).alias("suspected_type")))
+        return df.agg(F.array(*rows).alias("a")).select(F.explode("a").alias("a")).select("a.*")
+    cells = F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("s")) for i, c in enumerate(names)))
+    values = df.select(F.explode(cells).alias("e")).groupBy("e.i", "e.s").agg(F.count("*").alias("n"))
+    filled, size = F.sum(F.when(F.col("s").isNotNull(), F.col("n")).otherwise(0)), F.length("s")
+    per = values.groupBy("i").agg(
+        F.sum("n").alias("total"), F.sum(F.when(F.col("s").isNull(), F.col("n")).otherwise(0)).alias("nulls"), F.count("s").alias("n_unique"), F.min(size).alias("min_length"), F.max(size).alias("max_length"),
+        F.round(F.sum(size * F.col("n")) / filled, 6).alias("avg_length"), _suspected(lambda p: F.sum(F.when(F.col("s").rlike(p), F.col("n")).otherwise(0)), filled).alias("suspected_type"))
+    return per.select(F.array(*(F.lit(c) for c in names))[F.col("i")].alias("column"), "total", "nulls", "n_unique", "min_length", "max_length", "avg_length", "suspected_type")
+
+
+def _suspected(hits, filled: Column) -> Column:
+    """The first type that over 60 % of the filled values look like."""
+    kind = F.lit("text")
+    for k in reversed(TYPES):
+        kind = F.when(hits(TYPES[k]) / F.greatest(filled, F.lit(1)) > 0.6, k).otherwise(kind)
+    return kind
 
 
 def profile_table(df: DataFrame) -> DataFrame:

@@ -37,6 +37,12 @@ def evaluate_pairs(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return both.select("tp", "fp", "fn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
+def gates(measured: DataFrame, min_f1: float | None = None, min_precision: float | None = None, min_recall: float | None = None) -> list[str]:
+    """What of an evaluation falls short, one text a measure; empty if all is well."""
+    r = measured.first()
+    return [f"{n} {r[n]:.4f} is below {least}" for n, least in (("f1", min_f1), ("precision", min_precision), ("recall", min_recall)) if least is not None and r[n] < least]
+
+
 def compare_clusters(a: DataFrame, b: DataFrame) -> DataFrame:
     """Cases of the clusters of ``a`` in ``b``, and the index sqrt(|a| |b|) / |overlaps|.
 

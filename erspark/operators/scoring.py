@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from erspark.functions.similarity import DEAR, score
 from erspark.functions.transforms import apply_transforms
+from erspark.plans.runtime import materialize, release
 
 ID = "__row_id__"
 
@@ -28,12 +29,16 @@ def field_score(f: dict) -> Column:
 
 
 def weighted_scores(pairs: DataFrame, df: DataFrame, fields: list[dict], threshold: float, id_col: str = ID, right: DataFrame | None = None) -> DataFrame:
-    """``(id_a, id_b, score)`` at or above the threshold: the weighted mean over fields filled on both sides.
+    """``(id_a, id_b, score)`` at or above the threshold: the weighted mean over fields filled on both sides."""
+    return score_rows(with_records(pairs.select("id_a", "id_b"), df, [f["field"] for f in fields], id_col, right), fields, threshold)
+
+
+def score_rows(rows: DataFrame, fields: list[dict], threshold: float) -> DataFrame:
+    """``weighted_scores`` of rows that have both records' fields beside each other.
 
     Cheap fields come first; a pair whose dear fields could not lift it over the threshold even
     at 1.0 is gone before Python sees it, which is safe as a perfect field never lowers the mean.
     """
-    rows = with_records(pairs.select("id_a", "id_b"), df, [f["field"] for f in fields], id_col, right)
     fields = sorted(enumerate(fields), key=lambda x: (x[1]["scorer"] in DEAR, x[0]))
     cheap = [(i, f) for i, f in fields if f["scorer"] not in DEAR]
     dear = [(i, f) for i, f in fields if f["scorer"] in DEAR]
@@ -86,8 +91,8 @@ def levels(f: dict) -> Column:
     return out
 
 
-def comparison_vectors(pairs: DataFrame, df: DataFrame, fields: list[dict], id_col: str = ID) -> DataFrame:
-    rows = with_records(pairs.select("id_a", "id_b"), df, [f["field"] for f in fields], id_col)
+def comparison_vectors(pairs: DataFrame, df: DataFrame, fields: list[dict], id_col: str = ID, right: DataFrame | None = None) -> DataFrame:
+    rows = with_records(pairs.select("id_a", "id_b"), df, [f["field"] for f in fields], id_col, right)
     return rows.select("id_a", "id_b", *(levels(f).alias(f"l{i}") for i, f in enumerate(fields)))
 
 
@@ -98,6 +103,12 @@ def sample_pairs(df: DataFrame, n: int = 5000, id_col: str = ID, seed: int = 42)
     return a.join(b, F.col("id_a") < F.col("id_b")).orderBy(F.xxhash64(F.lit(seed), "id_a", "id_b"), "id_a", "id_b").limit(n)
 
 
+def sample_cross(a: DataFrame, b: DataFrame, n: int = 5000, id_col: str = ID, seed: int = 42) -> DataFrame:
+    """Pairs of rows of two tables chosen by hash: at most sqrt(n) + 1 of each, so at most n or so pairs."""
+    few = lambda d, i: d.select(F.col(id_col).alias(i)).orderBy(F.xxhash64(F.lit(seed), i), i).limit(int(math.sqrt(n)) + 1)
+    return few(a, "id_a").join(F.broadcast(few(b, "id_b")))
+
+
 def sample_blocked(keys: DataFrame, n: int = 10_000, per_block: int = 100) -> DataFrame:
     """Pairs within blocks, of ``per_block`` rows by hash a block at most."""
     from erspark.operators.blocking import pairs_of_keys
@@ -145,7 +156,7 @@ def train_em(matched: DataFrame, random: DataFrame, fields: list[dict], blocking
             history.append(moved)
             if moved < tolerance:
                 break
-    weights = [np.log2(np.maximum(a, 1e-10) / np.maximum(b, 1e-10)) if not pin else np.linspace(-3, 3, k) if k > 1 else np.zeros(1) for a, b, pin, k in zip(m, u, pinned, n_levels)]
+    weights = [np.log2(np.maximum(a, 1e-10) / np.maximum(b, 1e-10)) if not pin else np.linspace(-3, 3, k) if k > 1 else np.full(1, 3.0) for a, b, pin, k in zip(m, u, pinned, n_levels)]
     return {"m": [v.tolist() for v in m], "u": [v.tolist() for v in u], "weights": [v.tolist() for v in weights], "moved": history}
 
 
@@ -157,29 +168,54 @@ def probabilistic_scores(vectors: DataFrame, model: dict, threshold: float = 0.5
     return vectors.select("id_a", "id_b", s.alias("score")).filter(F.col("score") >= threshold)
 
 
+def score_one(a: dict, b: dict, fields: list[dict], model: dict, spark=None) -> float:
+    """The scaled Fellegi-Sunter score of two records, each a dict of its fields."""
+    from pyspark.sql import SparkSession
+
+    spark = spark or SparkSession.getActiveSession()
+    text = lambda v: None if v is None else str(v)
+    names = list(dict.fromkeys(f["field"] for f in fields))
+    row = spark.createDataFrame([(*(text(a.get(n)) for n in names), *(text(b.get(n)) for n in names))], ", ".join(f"`{s}_{n}` string" for s in "ab" for n in names))
+    vector = row.select(F.lit(0).alias("id_a"), F.lit(1).alias("id_b"), *(levels(f).alias(f"l{i}") for i, f in enumerate(fields)))
+    return probabilistic_scores(vector, model, -1.0).first().score
+
+
 def train_continuous(scores: DataFrame, n_fields: int, rounds: int = 20, prior: float = 0.02) -> dict:
-    """Two normal distributions a field, fitted on at most 10 000 rows ``s0, s1, ...``."""
-    x = np.array([[v if v is not None else 0.0 for v in r] for r in scores.select(*(f"s{i}" for i in range(n_fields))).limit(10_000).collect()]).reshape(-1, n_fields)
-    mu, sd, p = np.array([np.full(n_fields, 0.9), np.full(n_fields, 0.2)]), np.full((2, n_fields), 0.2), prior
-    pdf = lambda k: -0.5 * ((x - mu[k]) / sd[k]) ** 2 - np.log(sd[k])
-    for _ in range(rounds if len(x) else 0):
-        r = 1 / (1 + np.exp(np.clip(pdf(1).sum(1) + np.log(1 - p) - pdf(0).sum(1) - np.log(p), -500, 500)))
-        for k, w in ((0, r), (1, 1 - r)):
-            t = max(w.sum(), 1e-9)
-            mu[k] = (w[:, None] * x).sum(0) / t
-            sd[k] = np.maximum(np.sqrt((w[:, None] * (x - mu[k]) ** 2).sum(0) / t), 0.01)
-        p = float(np.clip(r.mean(), 1e-4, 0.999))
-    return {"mu": mu.tolist(), "sd": sd.tolist(), "prior": p}
+    """Two normal distributions a field, fitted on all rows ``s0, s1, ...``: equal ones, to three places, are counted
+    once, and each round of EM is one aggregation over those counts."""
+    names = [f"s{i}" for i in range(n_fields)]
+    grouped = materialize(scores.select(*(F.round(F.coalesce(F.col(c), F.lit(0.0)), 3).alias(c) for c in names)).groupBy(*names).agg(F.count("*").alias("n")))
+    mu, sd, p = [[0.9] * n_fields, [0.2] * n_fields], [[0.2] * n_fields, [0.2] * n_fields], prior
+    n = grouped.agg(F.sum("n")).first()[0] or 0
+    for _ in range(rounds if n else 0):
+        r = _odds(mu, sd, p, names)
+        w = [F.col("n") * r, F.col("n") * (1 - r)]
+        sums = grouped.select(*names, w[0].alias("w0"), w[1].alias("w1")).agg(
+            *(F.sum(f"w{k}").alias(f"t{k}") for k in (0, 1)), *(F.sum(F.col(f"w{k}") * F.col(c)).alias(f"a{k}_{c}") for k in (0, 1) for c in names),
+            *(F.sum(F.col(f"w{k}") * F.col(c) * F.col(c)).alias(f"b{k}_{c}") for k in (0, 1) for c in names)).first()
+        for k in (0, 1):
+            t = max(sums[f"t{k}"], 1e-9)
+            mu[k] = [sums[f"a{k}_{c}"] / t for c in names]
+            sd[k] = [max(math.sqrt(max(sums[f"b{k}_{c}"] / t - m * m, 0.0)), 0.01) for c, m in zip(names, mu[k])]
+        p = min(0.999, max(1e-4, sums["t0"] / n))
+    release(grouped)
+    return {"mu": mu, "sd": sd, "prior": p}
+
+
+def _odds(mu: list, sd: list, prior: float, names: list[str]) -> Column:
+    """The chance of a match of a row of scores."""
+    log = F.lit(math.log(prior / (1 - prior)))
+    for i, c in enumerate(names):
+        for k, sign in ((0, 1), (1, -1)):
+            z = (F.col(c) - mu[k][i]) / sd[k][i]
+            log = log + sign * (-0.5 * z * z - math.log(sd[k][i]))
+    return 1 / (1 + F.exp(-F.greatest(F.least(log, F.lit(500.0)), F.lit(-500.0))))
 
 
 def continuous_scores(scores: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
-    log = F.lit(math.log(model["prior"] / (1 - model["prior"])))
-    for i in range(len(model["mu"][0])):
-        v = F.coalesce(f"s{i}", F.lit(0.0))
-        for k, sign in ((0, 1), (1, -1)):
-            mu, sd = model["mu"][k][i], model["sd"][k][i]
-            log = log + sign * (-0.5 * ((v - mu) / sd) * ((v - mu) / sd) - math.log(sd))
-    return scores.withColumn("score", 1 / (1 + F.exp(-log))).filter(F.col("score") >= threshold)
+    names = [f"s{i}" for i in range(len(model["mu"][0]))]
+    filled = scores.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in names})
+    return filled.withColumn("score", _odds(model["mu"], model["sd"], model["prior"], names)).filter(F.col("score") >= threshold)
 
 
 def link_thresholds(scored: DataFrame) -> tuple[float, float]:
@@ -191,12 +227,12 @@ def link_thresholds(scored: DataFrame) -> tuple[float, float]:
 # -- second opinions
 
 
-def rerank(scored: DataFrame, df: DataFrame, columns: list[str], model: Callable[[Column, Column], Column], threshold: float, band: float = 0.1, id_col: str = ID) -> DataFrame:
+def rerank(scored: DataFrame, df: DataFrame, columns: list[str], model: Callable[[Column, Column], Column], threshold: float, band: float = 0.1, id_col: str = ID, right: DataFrame | None = None) -> DataFrame:
     """Pairs within ``band`` of the threshold scored again by ``model`` on their record texts."""
     from erspark.functions.similarity import record_text
 
     edge = F.abs(F.col("score") - threshold) <= band
-    near = with_records(scored.filter(edge), df, columns, id_col)
+    near = with_records(scored.filter(edge), df, columns, id_col, right)
     again = near.select("id_a", "id_b", model(record_text(columns, prefix="a_"), record_text(columns, prefix="b_")).alias("score"))
     # names of the columns carry the side's prefix, the text doesn't
     return scored.filter(~edge).select("id_a", "id_b", "score").unionByName(again).filter(F.col("score") >= threshold)
@@ -239,6 +275,14 @@ def latest_corrections(log: DataFrame) -> DataFrame:
     return log.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
 
 
+def upsert_corrections(log: DataFrame, new: DataFrame) -> DataFrame:
+    """The log with new corrections: of a pair, ends in order, one stays, the most trusted and then the newest."""
+    ordered = lambda d: d.withColumns({"id_a": F.least("id_a", "id_b"), "id_b": F.greatest("id_a", "id_b"),
+                                       "hash_a": F.when(F.col("id_a") <= F.col("id_b"), F.col("hash_a")).otherwise(F.col("hash_b")),
+                                       "hash_b": F.when(F.col("id_a") <= F.col("id_b"), F.col("hash_b")).otherwise(F.col("hash_a"))})
+    return latest_corrections(ordered(log).unionByName(ordered(new)))
+
+
 def active_sample(scored: DataFrame, n: int, strategy: str = "uncertainty", threshold: float = 0.5) -> DataFrame:
     """Pairs worth labelling: nearest to the threshold, spread over score strata, or a mix."""
     h = F.xxhash64(F.lit(42), "id_a", "id_b")
