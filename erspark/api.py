@@ -69,5 +69,44 @@ def evaluate(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return E.evaluate_pairs(predicted, E.load_truth(truth))
 
 
+def gate(predicted: DataFrame, truth: DataFrame, min_f1: float | None = None, min_precision: float | None = None, min_recall: float | None = None) -> None:
+    """Raises ValueError if a measure falls short."""
+    short = E.gates(evaluate(predicted, truth), min_f1, min_precision, min_recall)
+    if short:
+        raise ValueError("; ".join(short))
+
+
+class Jobs:
+    """Runs by name, whose results are temporary views of the session: ``<name>_golden``, ``_clusters``, ``_membership`` and ``_pairs``,
+    or ``_matches`` and ``_unmatched``; SQL reads them by name."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.jobs = spark, {}
+
+    def dedupe(self, name: str, table: str | DataFrame, config: Config | str | None = None, **how) -> DataFrame:
+        r = dedupe_df(self.spark.table(table) if isinstance(table, str) else table, config, **how)
+        return self._keep(name, "dedupe", {"golden": r.golden, "clusters": r.clusters, "membership": r.membership, "pairs": r.pairs})["golden"]
+
+    def match(self, name: str, target: str | DataFrame, reference: str | DataFrame, config: Config | str | None = None, mode: str = "best", **how) -> DataFrame:
+        t, r = (self.spark.table(d) if isinstance(d, str) else d for d in (target, reference))
+        m = match_df(t, r, config, mode, **how)
+        return self._keep(name, "match", {"matches": m.matches, "unmatched": m.unmatched})["matches"]
+
+    def _keep(self, name: str, kind: str, parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        for part, df in parts.items():
+            df.createOrReplaceTempView(f"{name}_{part}")
+        self.jobs[name] = (kind, parts)
+        return parts
+
+    def list(self) -> DataFrame:
+        return self.spark.createDataFrame([(n, k, sorted(p)) for n, (k, p) in self.jobs.items()], "job string, kind string, parts array<string>")
+
+    def status(self, name: str) -> str:
+        return "done" if name in self.jobs else "unknown"
+
+    def get(self, name: str, part: str) -> DataFrame:
+        return self.jobs[name][1][part]
+
+
 def list_scorers() -> list[str]:
     return sorted(SCORERS)

@@ -7,7 +7,9 @@ import os
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# fixed values: patterns of the features
+from erspark.functions.transforms import strip
+
+# fixed values: patterns and words of the features
 BRANDS = ("Sony|Samsung|LG|Apple|HP|Dell|Canon|Nikon|Panasonic|Philips|Bose|JBL|Logitech|Microsoft|Intel|AMD|Asus|Acer|Lenovo|"
           "Toshiba|Epson|Brother|Xerox|Bosch|Makita|DeWalt|Nike|Adidas|Puma|Reebok|Under Armour")
 MODEL = r"\b([A-Z]{1,5}[-]?\d{2,}[A-Z0-9]*(?:[-/]\w+)?)\b"
@@ -19,7 +21,9 @@ SPECS = {
 }
 SW_VERSION = r"(?i)\b(?:v\.?\s*)?(\d+(?:\.\d+)+)\b|\b((?:cs|cc)\s*\d+)\b|\b(20[0-2]\d)\b"
 SW_EDITION = r"(?i)\b(professional|pro|standard|enterprise|premium|basic|ultimate|home|personal|academic|student|unlimited|plus|lite|express|starter|essentials?)\b"
-SW_PLATFORM = r"(?i)\b(windows?|win|mac(?:intosh)?|linux|unix|osx?|ios|android)\b"
+SW_PLATFORM = r"(?i)\b(windows?|win|mac(?:intosh)?|linux|unix|osx?|ios|android)\b|\b(win(?:/mac|\\mac))\b|\bfor\s+(pc|mac)\b"
+SW_PART, SW_UPGRADE = r"\b(\d{5,})\b", r"(?i)\b(upgrade|upg|update)\b"
+MODEL_REGIONS, MODEL_COLORS = "(NA|US|EU|UK|CA|AU|JP)$", "(BK|WH|BF|WF|SL|GR|BL|RD|GD|SV)$"
 SW_STOP = ("the a an for and or with by from to in of - inc inc. llc corp software edition version ver cd dvd rom cd-rom dvd-rom "
            "jewel case package complete license media").split()
 TITLE_STOP = "the a an on in of for and to with".split()
@@ -46,33 +50,44 @@ def detect_domain(columns: list[str]) -> tuple[str | None, float]:
 
 
 def normalize_model(c: Column) -> Column:
-    """Upper case without dashes, slashes and spaces; a colour or region suffix goes if four characters stay."""
-    m = F.regexp_replace(F.upper(c), r"[-/\s]", "")
-    short = F.regexp_replace(m, r"(?:/?(?:US|EU|UK|JP|AU|CA))$", "")
-    m = F.when(F.length(short) >= 4, short).otherwise(m)
-    bare = F.regexp_replace(m, r"(?:BK|WH|SL|BLK|WHT|SLV)$", "")
+    """Upper case without dashes, slashes and spaces, and without a region suffix; a colour suffix goes if four characters stay."""
+    m = F.regexp_replace(F.regexp_replace(F.upper(c), "[-/ ]", ""), MODEL_REGIONS, "")
+    bare = F.regexp_replace(m, MODEL_COLORS, "")
     return F.when(F.length(bare) >= 4, bare).otherwise(m)
 
 
+def evidence(*parts: tuple[Column, float], of: float) -> Column:
+    """The confidence of an extraction: the weights of the parts that were found, as a share of what speaks for it, 1.0 at most."""
+    return F.least(F.lit(1.0), sum((F.when(found_, F.lit(w)).otherwise(0.0) for found_, w in parts), F.lit(0.0)) / of)
+
+
 def product_features(df: DataFrame, text: str) -> DataFrame:
+    """Brand, model, SKU (looked for only where there is no model), colour, specs and text in brackets."""
     c = F.col(text)
-    brand, model, sku, color = found(c, rf"(?i)^({BRANDS})\b"), found(c, MODEL), found(c, SKU), F.lower(found(c, rf"(?i)\b({COLORS})\b"))
-    specs = F.array_compact(F.array(*(F.concat(F.lit(f"{k}="), found(c, "(?i)" + p)) for k, p in SPECS.items())))
-    n = sum(((x.isNotNull()).cast("int") for x in (brand, model, sku, color)), F.lit(0)) + (F.size(specs) > 0).cast("int")
+    brand, model, color = found(c, rf"(?i)^({BRANDS})\b"), found(c, MODEL), F.lower(found(c, rf"(?i)\b({COLORS})\b"))
+    sku = F.when(model.isNull(), found(c, SKU))
+    values = {k: found(c, "(?i)" + p) for k, p in SPECS.items()}
+    specs = F.array_compact(F.array(*(F.concat(F.lit(f"{k}="), v) for k, v in values.items())))
+    sure = evidence((brand.isNotNull(), 1.0), (model.isNotNull(), 1.0), (sku.isNotNull(), 0.5), (color.isNotNull(), 0.5), *((v.isNotNull(), 0.5) for v in values.values()), of=4.0)
     return df.withColumns({"__brand__": brand, "__model__": model, "__model_norm__": normalize_model(model), "__sku__": sku, "__color__": color, "__specs__": F.array_join(specs, ";"),
-                           "__paren__": found(c, r"\(([^)]+)\)"), "__confidence__": F.least(F.lit(1.0), n / 4)})
+                           "__paren__": found(c, r"\(([^)]+)\)"), "__confidence__": sure})
 
 
 def software_features(df: DataFrame, text: str) -> DataFrame:
+    """Name without noise, version, edition, platform, part number and whether it is an upgrade."""
     c = F.col(text)
-    version = F.coalesce(*(found(c, SW_VERSION, g) for g in (1, 2, 3)))
-    edition, platform, part = F.lower(found(c, SW_EDITION)), F.lower(found(c, SW_PLATFORM)), found(c, r"\b(\d{5,})\b")
-    bare = F.lower(c)
-    for p in (SW_VERSION, SW_EDITION, SW_PLATFORM, r"\b\d{5,}\b"):
+    any_of = lambda p, groups: F.lower(strip(F.coalesce(*(found(c, p, g) for g in groups))))
+    version, edition, platform, part = any_of(SW_VERSION, (1, 2, 3)), any_of(SW_EDITION, (1,)), any_of(SW_PLATFORM, (1, 2, 3)), found(c, SW_PART)
+    edition = F.when(edition == "professional", "pro").otherwise(edition)
+    platform = F.when(platform.startswith("win"), "win").otherwise(platform)
+    upgrade = F.coalesce(c.rlike(SW_UPGRADE), F.lit(False))
+    bare = F.lower(strip(c))
+    for p in (SW_VERSION, SW_EDITION, SW_PLATFORM, SW_PART, SW_UPGRADE, r"\([^)]*\)", r"(?U)[^\w\s]"):
         bare = F.regexp_replace(bare, p, " ")
-    name = F.array_join(F.filter(F.split(F.regexp_replace(bare, r"[^\w\s.-]", " "), r"\s+"), lambda w: (w != "") & ~w.isin(*SW_STOP)), " ")
-    n = sum(((x.isNotNull()).cast("int") for x in (version, edition, platform)), F.lit(0))
-    return df.withColumns({"__sw_name__": name, "__sw_version__": version, "__sw_edition__": edition, "__sw_platform__": platform, "__sw_part_num__": part, "__confidence__": n / 3})
+    name = F.array_join(F.filter(F.split(bare, r"(?U)\s+"), lambda w: (F.length(w) > 1) & ~w.isin(*SW_STOP)), " ")
+    name = F.when(name != "", name)
+    sure = evidence((version.isNotNull(), 1.0), (edition.isNotNull(), 0.5), (platform.isNotNull(), 0.3), (part.isNotNull(), 0.5), (upgrade, 0.2), (F.length(name) >= 3, 1.0), of=3.0)
+    return df.withColumns({"__sw_name__": name, "__sw_version__": version, "__sw_edition__": edition, "__sw_platform__": platform, "__sw_part_num__": part, "__sw_upgrade__": upgrade, "__confidence__": F.round(sure, 6)})
 
 
 def title_key(c: Column) -> Column:
@@ -85,9 +100,9 @@ def biblio_features(df: DataFrame, text: str) -> DataFrame:
     return df.withColumns({"__title_key__": title_key(c), "__year__": found(c, r"\b((?:19|20)\d{2})\b"), "__doi__": found(c, r"(10\.\d{4,}/\S+)")})
 
 
-def sub_domain(df: DataFrame, text: str, head: int = 200) -> str:
-    """Software or product by a vote over a bounded head."""
-    r = df.select(text).limit(head).agg(F.count_if(F.col(text).rlike(SW_EDITION) | F.col(text).rlike(SW_PLATFORM)).alias("s"), F.count_if(F.col(text).rlike(MODEL)).alias("p")).first()
+def sub_domain(df: DataFrame, text: str) -> str:
+    """Software or product by a vote of all rows."""
+    r = df.agg(F.count_if(F.col(text).rlike(SW_EDITION) | F.col(text).rlike(SW_PLATFORM)).alias("s"), F.count_if(F.col(text).rlike(MODEL)).alias("p")).first()
     return "software" if r.s > r.p else "product"
 
 
@@ -119,6 +134,24 @@ def load_rulebook(name_or_path: str) -> dict:
         return yaml.safe_load(f)
 
 
+def save_rulebook(book: dict, path: str) -> None:
+    import yaml
+
+    with open(os.path.expanduser(path), "w", encoding="utf-8") as f:
+        yaml.safe_dump(book, f, sort_keys=False)
+
+
+def find_rulebooks(*folders: str) -> dict[str, dict]:
+    """Built-in rulebooks and those of YAML files in folders, by name; a file goes before a built-in one."""
+    out = dict(PACKS)
+    for folder in folders:
+        folder = os.path.expanduser(folder)
+        for name in sorted(os.listdir(folder)) if os.path.isdir(folder) else ():
+            if name.endswith((".yaml", ".yml")):
+                out[name.rsplit(".", 1)[0]] = load_rulebook(os.path.join(folder, name))
+    return out
+
+
 def match_rulebook(columns: list[str], books: dict[str, dict] = PACKS) -> str | None:
     joined = " ".join(columns).lower()
     hits = {n: sum(s in joined for s in b.get("signals", [])) for n, b in books.items()}

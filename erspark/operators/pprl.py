@@ -11,7 +11,14 @@ from erspark.operators.components import connected_components
 from erspark.plans.runtime import materialize
 
 ID = "__row_id__"
-#: Names of person fields, and how useful they are beyond what counts say.
+# fixed values: how useful a field is for linkage
+#: By share of distinct values, from the highest: those above a bound get its score.
+DISTINCT = ((0.95, 0.0), (0.8, 0.3), (0.1, 0.8), (0.02, 0.5), (-1.0, 0.1))
+#: Weights of that score, of shortness and of being filled, the length that counts as long, and what is taken off.
+WEIGHTS, FULL_LENGTH = {"distinct": 0.4, "short": 0.3, "filled": 0.3}, 50
+OFF = {"id": 0.5, "mostly empty": 0.3, "long": 0.2}
+EMPTY, LONG = 0.5, 15
+ID_PARTS = ("_id", "reg_num", "rec_id", "key", "code_id")
 PERSON = {"first_name": 0.3, "last_name": 0.3, "given_name": 0.3, "surname": 0.3, "zip": 0.2, "postcode": 0.2, "birth_year": 0.2, "dob": 0.2, "gender": 0.2, "phone": 0.15, "email": 0.15, "ssn": 0.15}
 
 
@@ -50,24 +57,32 @@ def linked_clusters(pairs: DataFrame) -> DataFrame:
     return connected_components(joint).select(F.col("component").alias("cluster"), F.when(F.col("node") % 2 == 0, "a").otherwise("b").alias("party"), F.floor(F.col("node") / 2).cast("long").alias("id"))
 
 
-def profile_fields(df: DataFrame) -> list[dict]:
-    """String columns by usefulness: middling cardinality, short, filled, known person fields; ids are useless."""
+def field_profiles(df: DataFrame) -> DataFrame:
+    """``(column, avg_length, cardinality, nulls, usefulness)`` of the string columns that hold anything.
+
+    One aggregation gives a row of measures a column; the table of scores above is applied to them as an expression.
+    """
     names = [c for c, t in df.dtypes if t == "string" and not c.startswith("__")]
-    if not names:
-        return []
-    r = df.agg(F.count("*").alias("n"), *(x for i, c in enumerate(names) for x in (F.avg(F.length(c)).alias(f"l{i}"), F.approx_count_distinct(c, 0.02).alias(f"u{i}"), F.count(c).alias(f"f{i}")))).first()
-    out = []
-    for i, c in enumerate(names):
-        if not r[f"f{i}"]:
-            continue
-        ratio, length, nulls = r[f"u{i}"] / r["n"], r[f"l{i}"], 1 - r[f"f{i}"] / r["n"]
-        card = next(s for least, s in ((0.95, 0.0), (0.8, 0.3), (0.1, 0.8), (0.02, 0.5), (-1, 0.1)) if ratio > least)
-        use = 0.4 * card + 0.3 * max(0.0, 1 - length / 50) + 0.3 * (1 - nulls)
-        low = c.lower()
-        use -= 0.5 * any(p in low for p in ("_id", "reg_num", "rec_id", "key", "code_id")) + 0.3 * (nulls > 0.5) + 0.2 * (length > 15)
-        use = min(1.0, max(0.0, use) + PERSON.get(low, 0.0))
-        out.append({"column": c, "avg_length": length, "cardinality": ratio, "nulls": nulls, "usefulness": round(use, 4)})
-    return sorted(out, key=lambda x: (-x["usefulness"], x["column"]))
+    measures = [F.struct(F.lit(c).alias("column"), F.count("*").alias("n"), F.count(F.col(f"`{c}`")).alias("filled"), F.avg(F.length(F.col(f"`{c}`"))).alias("avg_length"),
+                         F.approx_count_distinct(F.col(f"`{c}`"), 0.02).alias("distinct")) for c in names]
+    if not measures:
+        return df.sparkSession.createDataFrame([], "column string, avg_length double, cardinality double, nulls double, usefulness double")
+    rows = df.agg(F.array(*measures).alias("m")).select(F.explode("m").alias("m")).select("m.*").filter("filled > 0").select(
+        "column", "avg_length", (F.col("distinct") / F.col("n")).alias("cardinality"), (1 - F.col("filled") / F.col("n")).alias("nulls"))
+    band = F.lit(None).cast("double")
+    for bound, points in reversed(DISTINCT):
+        band = F.when(F.col("cardinality") > bound, points).otherwise(band)
+    low = F.lower("column")
+    flag = lambda condition, points: F.when(condition, points).otherwise(0.0)
+    off = (flag(low.rlike("|".join(ID_PARTS)), OFF["id"]) + flag(F.col("nulls") > EMPTY, OFF["mostly empty"]) + flag(F.col("avg_length") > LONG, OFF["long"]))
+    plain = (WEIGHTS["distinct"] * band + WEIGHTS["short"] * F.greatest(F.lit(0.0), 1 - F.col("avg_length") / FULL_LENGTH) + WEIGHTS["filled"] * (1 - F.col("nulls")))
+    known = F.coalesce(F.create_map(*(F.lit(x) for pair in PERSON.items() for x in pair))[low], F.lit(0.0))
+    return rows.withColumn("usefulness", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), plain - off) + known), 4))
+
+
+def profile_fields(df: DataFrame) -> list[dict]:
+    """``field_profiles``, the most useful first: a row a column."""
+    return [r.asDict() for r in field_profiles(df).orderBy(F.desc("usefulness"), "column").collect()]
 
 
 def auto_configure(a: DataFrame, b: DataFrame, sample: int = 200) -> dict:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from erspark.operators.cleaning import TYPES, user_columns
 from erspark.operators.evaluate import size_percentiles, threshold_overlap, valley
 from erspark.plans.config import Blocking, BlockKey, Canopy, Config, Matchkey, MatchField
+from erspark.plans.runtime import materialize
 
-#: Column kinds by name, the first that fits.
+#: Column kinds by name, the first that fits.
 BY_NAME = (
     ("email", r"e.?mail"), ("phone", r"phone|tel|mobile|fax|cell"), ("zip", r"zip|postal|postcode"),
     ("date", r"date|_dt$|registr|created|updated|birth.?d|dob"), ("year", r"(^|_)(year|yr)(_|$)"),
@@ -20,12 +21,20 @@ BY_NAME = (
     ("price", r"price|cost|amount|revenue|salary|fee|charge|total|balance|acctbal"), ("address", r"address|street|addr"),
     ("geo", r"(?<![a-z])city|^state$|state.?cd|^country$|province|region|(?<![a-z])county|nation"), ("name", r"name|surname"),
 )
-#: Scorer, weight and transforms of a kind.
+#: Scorer, weight and transforms of a kind.
 SCORER_OF = {
     "email": ("exact", 1.0, ["lowercase", "strip"]), "phone": ("exact", 0.8, ["digits_only"]), "zip": ("exact", 0.5, ["strip"]), "name": ("ensemble", 1.0, ["lowercase", "strip"]),
     "address": ("token_sort", 0.8, ["lowercase", "strip"]), "identifier": ("exact", 1.0, ["strip"]), "geo": ("exact", 0.3, ["lowercase", "strip"]), "text": ("token_sort", 0.5, ["lowercase", "strip"]),
 }
-SAMPLE, MAX_COLUMNS = 1000, 40
+#: Scorers that a domain's columns get in place of those of their kind.
+DOMAIN_SCORERS = {
+    "product": {"__brand__": ("exact", 0.5, ["lowercase"]), "__model_norm__": ("exact", 1.0, []), "__color__": ("exact", 0.2, []), "__specs__": ("token_sort", 0.3, [])},
+    "software": {"__sw_name__": ("token_sort", 1.0, []), "__sw_version__": ("exact", 0.5, []), "__sw_edition__": ("exact", 0.3, []), "__sw_platform__": ("exact", 0.2, [])},
+    "biblio": {"__title_key__": ("exact", 0.5, []), "__year__": ("exact", 0.4, []), "__doi__": ("exact", 1.0, ["lowercase"])},
+}
+#: Columns that one aggregation measures.
+TOGETHER = 40
+#: Column names that mean the same.
 SYNONYMS = ({"first_name", "fname", "given_name", "forename"}, {"last_name", "lname", "surname", "family_name"}, {"email", "email_address", "mail"}, {"phone", "telephone", "phone_number", "mobile"},
             {"zip", "zip_code", "postcode", "postal_code"}, {"address", "street", "street_address", "addr"}, {"dob", "birth_date", "date_of_birth"})
 
@@ -37,23 +46,42 @@ def kind_by_name(column: str) -> str | None:
 def profile(df: DataFrame) -> dict[str, dict]:
     """Kind, share of distinct values, of nulls and mean length by column.
 
-    Shares are of the whole table, in one aggregation with sketches for distinct counts; kinds
-    that names don't tell come from a head of SAMPLE rows.
+    All of it is of the whole table and all columns: aggregations of TOGETHER columns each, with sketches for distinct counts. Kinds
+    that names don't tell come from the share of values that look like one.
     """
-    columns = user_columns(df)[:MAX_COLUMNS]
-    aggs = [x for i, c in enumerate(columns) for x in (F.approx_count_distinct(c, 0.02).alias(f"u{i}"), F.count(c).alias(f"n{i}"), F.avg(F.length(F.col(c).cast("string"))).alias(f"l{i}"))]
-    r = df.agg(F.count("*").alias("rows"), *aggs).first()
-    head = df.select(*columns).limit(SAMPLE).collect()
-    out = {}
-    for i, c in enumerate(columns):
-        kind = kind_by_name(c)
-        if kind is None:
-            values = [str(h[c]) for h in head if h[c] is not None]
-            kind = next((k for k, p in TYPES.items() if values and sum(bool(re.search(p, v)) for v in values) > 0.6 * len(values)), "text")
-        out[c] = {"kind": kind, "rows": r["rows"], "cardinality": min(1.0, r[f"u{i}"] / max(1, r[f"n{i}"])), "nulls": 1 - r[f"n{i}"] / max(1, r["rows"]), "length": r[f"l{i}"] or 0.0}
+    columns, out = user_columns(df), {}
+    for at in range(0, len(columns), TOGETHER):
+        some = columns[at:at + TOGETHER]
+        text = lambda c: F.col(f"`{c}`").cast("string")
+        open_ = [c for c in some if kind_by_name(c) is None]
+        aggs = [x for i, c in enumerate(some) for x in (F.approx_count_distinct(F.col(f"`{c}`"), 0.02).alias(f"u{i}"), F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.avg(F.length(text(c))).alias(f"l{i}"))]
+        aggs += [F.count_if(text(c).rlike(p)).alias(f"k{i}_{k}") for i, c in enumerate(some) if c in open_ for k, p in TYPES.items()]
+        r = df.agg(F.count("*").alias("rows"), *aggs).first()
+        for i, c in enumerate(some):
+            kind = kind_by_name(c) or next((k for k in TYPES if r[f"k{i}_{k}"] > 0.6 * r[f"n{i}"]), "text")
+            out[c] = {"kind": kind, "rows": r["rows"], "cardinality": min(1.0, r[f"u{i}"] / max(1, r[f"n{i}"])), "nulls": 1 - r[f"n{i}"] / max(1, r["rows"]), "length": r[f"l{i}"] or 0.0}
     return out
 
 
+def source_overlap(df: DataFrame, column: str, source: str = "__source__") -> DataFrame:
+    """One row: sources, values that all of them have, values of any, and the ratio; 1.0 with fewer than two sources or without a value."""
+    per = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("v"), F.col(source).alias("s")).distinct().groupBy("v").agg(F.count("*").alias("k"))
+    all_ = df.select(F.countDistinct(source).alias("sources"))
+    both = per.join(all_).groupBy().agg(F.max("sources").alias("m"), F.count_if(F.col("k") == F.col("sources")).alias("shared"), F.count("*").alias("values"))
+    return all_.join(both).select("sources", "shared", "values", F.round(F.when((F.col("sources") < 2) | (F.col("values") == 0), 1.0).otherwise(F.col("shared") / F.col("values")), 6).alias("overlap"))
+
+
+def shared_values(df: DataFrame, column: str, source: str = "__source__") -> DataFrame:
+    """The values of a column that every source has."""
+    sources = df.select(F.countDistinct(source).alias("n"))
+    return df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.countDistinct(source).alias("k")).join(sources).filter("k = n").select("value")
+
+
+def domain_matchkey(domain: str, threshold: float = 0.8) -> Matchkey:
+    """A weighted key over the columns that a domain's features give."""
+    return Matchkey(f"{domain}_features", "weighted", [MatchField(c, t, s, w) for c, (s, w, t) in DOMAIN_SCORERS[domain].items()], threshold)
+
+
 def adaptive_threshold(fields: list[MatchField], nulls: float = 0.0, length: float = 10.0) -> float:
     scorers = {f.scorer for f in fields}
     base = 0.95 if scorers <= {"exact"} else 0.70 if scorers & {"embedding", "record_embedding"} else 0.85 if len(fields) == 1 else 0.80
@@ -104,7 +132,7 @@ def auto_configure(df: DataFrame, probabilistic: bool = False) -> Config:
     plan = plan_blocking(df, found) if any(k.type != "exact" for k in keys) else None
     if plan and found and next(iter(found.values()))["rows"] >= 50_000 and plan.strategy == "static" and plan.keys:
         plan.strategy = "learned"
-    return Config(matchkeys=keys, blocking=plan).check()
+    return Config(matchkeys=keys, blocking=plan, planned=True).check()
 
 
 def preflight(df: DataFrame, config: Config) -> list[dict]:
@@ -147,10 +175,22 @@ def postflight(scored: DataFrame, sizes: DataFrame, threshold: float, strict: bo
 # -- schema matching
 
 
-def map_schemas(a: DataFrame, b: DataFrame, least: float = 0.5, head: int = 200) -> list[dict]:
-    """One-to-one pairs of columns by equal or synonymous names, name likeness, or values in common in bounded heads."""
-    rows_a, rows_b = a.limit(head).collect(), b.limit(head).collect()
-    values = lambda rows, c: {str(r[c]).lower() for r in rows if r[c] is not None}
+def value_overlap(a: DataFrame, b: DataFrame) -> dict[tuple[str, str], float]:
+    """The share of distinct values, in lower case, that each column of ``a`` has in common with each of ``b``: of whole tables, by one join on hashes."""
+    def cells(d: DataFrame, name: str) -> DataFrame:
+        parts = [F.struct(F.lit(c).alias("c"), F.lower(F.col(f"`{c}`").cast("string")).alias("v")) for c in user_columns(d)]
+        return d.select(F.explode(F.array(*parts)).alias("e")).filter("e.v is not null").select(F.col("e.c").alias(name), F.xxhash64("e.v").alias("h")).distinct()
+
+    if not user_columns(a) or not user_columns(b):
+        return {}
+    x, y = materialize(cells(a, "x")), materialize(cells(b, "y"))
+    nx, ny = ({r[0]: r[1] for r in d.groupBy(c).count().collect()} for d, c in ((x, "x"), (y, "y")))  # a row a column
+    return {(r.x, r.y): r["count"] / (nx[r.x] + ny[r.y] - r["count"]) for r in x.join(y, "h").groupBy("x", "y").count().collect()}
+
+
+def map_schemas(a: DataFrame, b: DataFrame, least: float = 0.5) -> list[dict]:
+    """One-to-one pairs of columns by equal or synonymous names, name likeness, or values in common."""
+    overlap = value_overlap(a, b)
     options = []
     for x in user_columns(a):
         for y in user_columns(b):
@@ -163,10 +203,8 @@ def map_schemas(a: DataFrame, b: DataFrame, least: float = 0.5, head: int = 200)
                 s, how = difflib.SequenceMatcher(None, u, v).ratio(), "name"
                 if u in v or v in u:
                     s = max(s, 0.9 * min(len(u), len(v)) / max(len(u), len(v)))
-                va, vb = values(rows_a, x), values(rows_b, y)
-                common = len(va & vb) / max(1, len(va | vb))
-                if common > s:
-                    s, how = common, "values"
+                if overlap.get((x, y), 0.0) > s:
+                    s, how = overlap[x, y], "values"
                 if kind_by_name(x) and kind_by_name(x) == kind_by_name(y):
                     s = min(1.0, s + 0.05)
             options.append((s, x, y, how))

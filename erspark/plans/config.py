@@ -37,6 +37,7 @@ class Matchkey:
     threshold: float | None = None
     rerank: bool = False
     rerank_band: float = 0.1
+    rerank_model: str = "token_sort"
     em_iterations: int = 20
     convergence_threshold: float = 0.001
     link_threshold: float | None = None
@@ -88,10 +89,13 @@ class Blocking:
     ann_column: str | None = None
     ann_top_k: int = 20
     ann_threshold: float = 0.5
+    ann_exact: bool = True
     canopy: Canopy | None = None
     learned_sample: int = 5000
     learned_min_recall: float = 0.95
     learned_min_reduction: float = 0.90
+    rules_path: str | None = None
+    sub_block_column: str | None = None
 
     def check(self) -> None:
         if self.strategy not in STRATEGIES:
@@ -129,6 +133,9 @@ class Config:
     across_files_only: bool = False
     domain: str | None = None
     domain_column: str | None = None
+    #: Whether the plan was made from data, so that scores may move its threshold after the run, and whether they must not.
+    planned: bool = False
+    strict: bool = False
 
     def check(self, df: DataFrame | None = None) -> Config:
         """Raises ValueError for what can't run, before any job starts."""

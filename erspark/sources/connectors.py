@@ -151,3 +151,11 @@ def golden_to_source(source: DataFrame, golden: DataFrame, membership: DataFrame
     g = golden.select("__cluster_id__", *(F.col(c).alias(f"__g_{c}") for c in columns))
     out = source.join(membership, key, "left").join(g, "__cluster_id__", "left")
     return out.withColumns({c: F.coalesce(f"__g_{c}", c) for c in columns}).drop("__cluster_id__", *(f"__g_{c}" for c in columns))
+
+
+def materialize_table(spark: SparkSession, source: str, target: str, config=None, part: str = "golden", **how) -> None:
+    """A table of the catalog deduplicated into another, as a step of a transformation project: golden records, clusters or membership."""
+    from erspark import api
+
+    r = api.dedupe_df(spark.table(source), config, **how)
+    getattr(r, part).write.mode("overwrite").saveAsTable(target)

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from erspark.functions.similarity import jaro_winkler
 
 DELIMITERS = (",", "\t", "|", ";")
-#: Kinds of entities in free text, in the order in which columns are made.
+#: Kinds of entities in free text, in the order in which columns are made.
 ENTITIES = {
     "email": r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}",
     "phone": r"(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}",
@@ -23,13 +23,22 @@ ENTITIES = {
 }
 
 
-def load_file(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8", header: bool = True, parse: str = "auto") -> DataFrame:
-    """A Parquet, CSV, ORC, JSON or text path, local or of any store that Spark reads (s3a, gs, abfs)."""
+def load_file(spark: SparkSession, path: str, delimiter: str = ",", encoding: str | None = None, header: bool = True, parse: str = "auto", sheet: str | int = 0,
+              header_row: int | None = None, skip_rows: list[int] | None = None) -> DataFrame:
+    """A Parquet, CSV, ORC, JSON, spreadsheet or text path, local or of any store that Spark reads (s3a, gs, abfs).
+
+    Without an encoding the first bytes tell it. ``header_row`` is the line that names the columns of a delimited file, and
+    ``skip_rows`` are lines that are no rows, both counted from 0; lines before the header are none either.
+    """
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "parquet":
         return spark.read.parquet(path)
     if kind in ("csv", "tsv"):
-        return spark.read.csv(path, sep="\t" if kind == "tsv" else delimiter, header=header, encoding=encoding, inferSchema=True)
+        sep = "\t" if kind == "tsv" else delimiter
+        encoding = encoding or detect_encoding(first_bytes(spark, path))
+        if header_row is not None or skip_rows:
+            return load_lines(spark, path, sep, encoding, header_row if header else None, skip_rows or [])
+        return spark.read.csv(path, sep=sep, header=header, encoding=encoding.replace("-sig", ""), inferSchema=True)
     if kind == "orc":
         return spark.read.orc(path)
     if kind in ("json", "jsonl"):
@@ -37,12 +46,39 @@ def load_file(spark: SparkSession, path: str, delimiter: str = ",", encoding: st
     if kind in ("xlsx", "xls"):
         import pandas as pd  # needs a spreadsheet reader, which is checked when one is asked for
 
-        return spark.createDataFrame(pd.read_excel(path, dtype=str))
+        return spark.createDataFrame(pd.read_excel(path, dtype=str, sheet_name=sheet, header=(header_row or 0) if header else None, skiprows=skip_rows))
     if kind in ("txt", "text", "log", "dat"):
         return smart_load(spark, path) if parse == "auto" else spark.read.text(path)
     raise ValueError(f"unknown kind of file: {path}")
 
 
+def first_bytes(spark: SparkSession, path: str, n: int = 4) -> bytes:
+    """Of a file, or of the first one of a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(p).isDirectory():
+        inside = sorted((f.getPath() for f in fs.listStatus(p) if f.isFile() and f.getLen() > 0 and f.getPath().getName()[0] not in "._"), key=str)
+        if not inside:
+            return b""
+        p = inside[0]
+    stream = fs.open(p)
+    try:
+        return bytes(x for x in (stream.read() for _ in range(n)) if x >= 0)
+    finally:
+        stream.close()
+
+
+def load_lines(spark: SparkSession, path: str, sep: str, encoding: str, header_row: int | None, skip_rows: list[int]) -> DataFrame:
+    """Rows of a delimited file by line number: a named header line, and lines left out."""
+    raw = spark.read.csv(path, sep="\u0001", quote="", encoding=encoding.replace("-sig", ""), schema="value string")
+    lines = add_row_ids(raw)
+    gone = [*skip_rows, *([] if header_row is None else range(header_row + 1))]
+    first = lines.filter(F.col("__row_id__") == (header_row if header_row is not None else 0)).first()
+    fields = (first.value or "").lstrip("\ufeff").split(sep) if first else []
+    names = fields if header_row is not None else [f"col_{i + 1}" for i in range(len(fields))]
+    return parse_delimited(lines.filter(~F.col("__row_id__").isin(*gone)).select("value") if gone else lines.select("value"), sep, names)
+
+
 def add_row_ids(df: DataFrame, offset: int = 0, source: str | None = None, order: list[str] | None = None) -> DataFrame:
     """``__row_id__``, dense from ``offset``, and ``__source__``.
 
@@ -115,28 +151,38 @@ def detect_delimiter(lines: list[str]) -> str | None:
     return best[1] if best else None
 
 
-def detect_header(rows: list[list[str]]) -> bool:
-    """Whether the first row looks like names: filled, different, no numbers, unlike the next rows."""
-    if not rows or not rows[0]:
-        return False
-    first = [x.strip() for x in rows[0]]
+def header_points(rows: list[list[str]], at: int) -> float:
+    """How much a row looks like names: filled, different, no numbers, unlike the next rows."""
+    first = [x.strip() for x in rows[at]]
+    if not first:
+        return -1.0
     number = lambda x: bool(re.fullmatch(r"[-+]?[\d.,]+", x))
     points = sum(bool(x) for x in first) / len(first) - 2 * sum(map(number, first)) / len(first) + (len(set(first)) == len(first)) * 0.5
-    below = [x.strip() for r in rows[1:4] for x in r]
+    below = [x.strip() for r in rows[at + 1:at + 4] for x in r]
     points += 0.5 if below and sum(map(number, below)) > 0 else 0.0
-    points += 0.5 if all(re.fullmatch(r"[A-Za-z_][\w .-]*", x) for x in first if x) else 0.0
-    return points >= 1.5
+    return points + (0.5 if all(re.fullmatch(r"[A-Za-z_][\w .-]*", x) for x in first if x) else 0.0)
+
+
+def detect_header(rows: list[list[str]], head: int = 20) -> int | None:
+    """The row of the first ``head`` ones that looks most like names, the first at a tie; None if none does."""
+    points = [header_points(rows, i) for i in range(min(head, len(rows)))]
+    best = max(range(len(points)), key=lambda i: points[i], default=None)
+    return best if best is not None and points[best] >= 1.5 else None
+
+
+#: How lines begin that are no rows.
+JUNK = r"(?i)^\s*(generated by|report:|page \d|total:|end of file|---|===)"
 
 
 def is_junk(line: str, columns: int, delimiter: str | None) -> bool:
     s = line.strip()
-    return not s or bool(re.fullmatch(r"[-=_*#]{3,}", s)) or bool(re.fullmatch(r"(?i)page \d+( of \d+)?", s)) or bool(delimiter and columns > 2 and s.count(delimiter) + 1 < columns / 2)
+    return not s or bool(re.fullmatch(r"[-=_*#\s]{3,}", s)) or bool(re.match(JUNK, s)) or bool(delimiter and columns > 1 and s.count(delimiter) + 1 < columns / 2)
 
 
 def _junk(value, columns: int, delimiter: str | None):
     s = F.trim(value)
-    out = (s == "") | s.rlike(r"^[-=_*#]{3,}$") | s.rlike(r"(?i)^page \d+( of \d+)?$")
-    if delimiter and columns > 2:
+    out = (s == "") | s.rlike(r"^[-=_*#\s]{3,}$") | s.rlike(JUNK)
+    if delimiter and columns > 1:
         out = out | (F.length(s) - F.length(F.replace(s, F.lit(delimiter), F.lit(""))) + 1 < columns / 2)
     return out
 
@@ -178,10 +224,12 @@ def parse_key_values(df: DataFrame, keys: list[str] | None = None, order: str =
     return joined.groupBy("file", "rec").pivot("key", keys).agg(F.first("t")).orderBy("file", "rec").drop("file", "rec")
 
 
-def parse_blocks(df: DataFrame, lines: int) -> DataFrame:
-    """Blocks, column ``value``, parted by blank lines: one row each, a column a line."""
+def parse_blocks(df: DataFrame, lines: int | None = None) -> DataFrame:
+    """Blocks, column ``value``, parted by blank lines: one row each, a column a line, as many as the longest block has."""
     parts = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return df.withColumn("p", parts).filter(F.size("p") > 0).select(*(F.coalesce(F.get("p", F.lit(i)), F.lit("")).alias(f"line_{i + 1}") for i in range(lines)))
+    df = df.withColumn("p", parts).filter(F.size("p") > 0)
+    lines = lines or df.agg(F.max(F.size("p"))).first()[0] or 1
+    return df.select(*(F.coalesce(F.get("p", F.lit(i)), F.lit("")).alias(f"line_{i + 1}") for i in range(lines)))
 
 
 def extract_entities(df: DataFrame, key: list[str], text: str = "text", near: int = 3, kinds: tuple = tuple(ENTITIES)) -> DataFrame:
@@ -200,14 +248,20 @@ def extract_entities(df: DataFrame, key: list[str], text: str = "text", near: in
 
 
 def parse_delimited(df: DataFrame, delimiter: str, names: list[str]) -> DataFrame:
-    """Lines of column ``value`` as columns: names made unique, blanks named, short rows filled with ''."""
+    """Lines of column ``value`` as columns: names made unique, blanks named, short rows filled with ''. Fields beyond the
+    names are kept, if any line has them, as ``extra``, on end as they are in the line."""
     seen: dict[str, int] = {}
     unique = []
     for n in (x.strip() or "unnamed" for x in names):
         seen[n] = seen.get(n, 0) + 1
         unique.append(n if seen[n] == 1 else f"{n}_{seen[n] - 1}")
-    parsed = F.from_csv("value", ", ".join(f"`{n}` string" for n in unique), {"sep": delimiter, "quote": '"', "mode": "PERMISSIVE"})
-    return df.select(parsed.alias("r")).select(*(F.coalesce(F.trim(F.col(f"r.`{n}`")), F.lit("")).alias(n) for n in unique))
+    how = {"sep": delimiter, "quote": '"', "mode": "PERMISSIVE"}
+    most = df.agg(F.max(F.length("value") - F.length(F.replace(F.col("value"), F.lit(delimiter), F.lit(""))))).first()[0] or 0
+    more = [f"\u0001{i}" for i in range(max(0, most + 1 - len(unique)))]  # as many fields as a line could have
+    parsed = F.from_csv("value", ", ".join(f"`{n}` string" for n in [*unique, *more]), how)
+    text = lambda n: F.coalesce(F.trim(F.col(f"r.`{n}`")), F.lit(""))
+    out = df.select(parsed.alias("r")).select(*(text(n).alias(n) for n in unique), *([F.concat_ws(delimiter, *(F.col(f"r.`{n}`") for n in more)).alias("extra")] if more else []))
+    return out if not more or not out.filter("extra <> ''").isEmpty() else out.drop("extra")
 
 
 def smart_load(spark: SparkSession, path: str, head: int = 200) -> DataFrame:
@@ -221,10 +275,12 @@ def smart_load(spark: SparkSession, path: str, head: int = 200) -> DataFrame:
         columns = max({len(r) for r in rows}, key=[len(r) for r in rows].count)
         full = [r for r in rows if len(r) >= columns / 2]
         if columns > 1 and len(full) >= 0.6 * len(rows):
-            header = detect_header(full)
-            names = full[0] if header else [f"col_{i + 1}" for i in range(columns)]
+            at = detect_header(full)
+            names = full[at] if at is not None else [f"col_{i + 1}" for i in range(columns)]
             body = raw.filter(~_junk(F.col("value"), columns, d))
-            return parse_delimited(body.filter(F.col("value") != d.join(full[0])) if header else body, d, names)
+            # what stands before the names, in the head that was read, is no row, nor are the names wherever they come again
+            before = [d.join(r) for r in full[:at + 1]] if at is not None else []
+            return parse_delimited(body.filter(~F.col("value").isin(*before)) if before else body, d, names)
     pairs = [x for x in solid if re.match(r"\s*[A-Za-z][\w .-]*?\s*[:=]\s*\S", x)]
     if solid and len(pairs) > 0.6 * len(solid):
         numbered = raw.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"), "value").filter("trim(value) <> ''")
@@ -235,7 +291,7 @@ def smart_load(spark: SparkSession, path: str, head: int = 200) -> DataFrame:
     blocks = [b for b in re.split(r"\n\s*\n", "\n".join(lines)) if b.strip()]
     sizes = [len([x for x in b.split("\n") if x.strip()]) for b in blocks]
     if len(blocks) > 1 and (len(set(sizes)) <= 2 or max(abs(s - sum(sizes) / len(sizes)) for s in sizes) <= 0.5 * sum(sizes) / len(sizes)):
-        return parse_blocks(spark.read.text(path, lineSep="\n\n"), max(sizes))
+        return parse_blocks(spark.read.text(path, lineSep="\n\n"))
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
     if any(re.search(ENTITIES[k], x) for x in solid for k in ("email", "phone")):
         return extract_entities(whole, ["file"]).drop("file", "group")
