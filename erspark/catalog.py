@@ -27,11 +27,13 @@ from erspark.operators import pprl
 from erspark.operators import scoring as S
 from erspark.operators.components import connected_components
 from erspark.operators.entity_graph import evidence
+from erspark.operators.reconcile import add_versions, reconcile
+from erspark.operators.vector_index import near_pairs
 from erspark.plans import auto
-from erspark.plans.config import Blocking, BlockKey, Config, GoldenRules, Matchkey, MatchField
+from erspark.plans.config import Blocking, BlockKey, Canopy, Config, GoldenRules, Matchkey, MatchField
 from erspark.plans.pipeline import dedupe, match
 from erspark.plans.runtime import materialize, shared_dir
-from erspark.sources.files import add_row_ids, extract_entities, suggest_column_mapping
+from erspark.sources.files import ENTITIES, add_row_ids, extract_entities, load_files, suggest_column_mapping
 from erspark.streaming.incremental import Resolver, event_sessions, event_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,8 +76,18 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey AS id, c_name AS name, 'customer' AS \"__source__\" FROM customer UNION ALL SELECT s_suppkey, s_name, 'supplier' FROM supplier")
 def load_and_tag(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("customer").alias("__source__"))
-    return c.unionByName(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("supplier").alias("__source__")))
+    both = load_files(spark, [(f"{sf_dir}/{t}.parquet", t) for t in ("customer", "supplier")])
+    return both.select(F.coalesce("c_custkey", "s_suppkey").alias("id"), F.coalesce("c_name", "s_name").alias("name"), "__source__")
+
+
+@query("SELECT 'customer' AS \"__source__\", CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer")
+def load_delimited(spark, sf_dir):
+    """Customers written as delimited text under a line of junk, loaded by header line."""
+    home = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}.csv"
+    rows = table(spark, sf_dir, "customer").select(F.concat_ws(";", F.col("c_custkey").cast("string"), "c_name").alias("value"), F.col("c_custkey").alias("k"))
+    head = spark.createDataFrame([("Report: customers", -2), ("id;name", -1)], "value string, k long")
+    head.unionByName(rows).coalesce(1).sortWithinPartitions("k").select("value").write.text(home)
+    return load_files(spark, [(home, "customer")], delimiter=";", header_row=1).select("__source__", "id", "name")
 
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment, c_custkey) + 99 AS \"__row_id__\" FROM customer")
@@ -83,20 +95,26 @@ def row_ids(spark, sf_dir):
     return add_row_ids(table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey"), offset=100, order=["c_mktsegment", "c_custkey"]).select("c_custkey", ID)
 
 
-@query("SELECT * FROM (VALUES ('CUSTOMER_NAME', 'customer_name'), ('phone_no', 'phone_num')) t(source, target)")
+@query("SELECT column_name AS source, upper(column_name) || '_' AS target FROM (DESCRIBE SELECT * FROM orders)")
 def column_mapping(spark, sf_dir):
-    found = suggest_column_mapping(["CUSTOMER_NAME", "phone_no", "zzz"], ["customer_name", "phone_num", "city"])
+    columns = table(spark, sf_dir, "orders").columns
+    found = suggest_column_mapping(columns, [f"{c.upper()}_" for c in columns] + ["city"])
     return spark.createDataFrame(list(found.items()), "source string, target string")
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
-e AS (SELECT doc_id, line, 0 AS o, generate_subscripts(m, 1) AS i, 'email' AS kind, unnest(m) AS v FROM (SELECT *, regexp_extract_all(s, '[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}') AS m FROM l)
- UNION ALL SELECT doc_id, line, 1, generate_subscripts(m, 1), 'phone', unnest(m) FROM (SELECT *, regexp_extract_all(s, '(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}') AS m FROM l)),
+#: Kinds whose patterns mean the same in both engines; ends of words beside letters with accents don't, which names have.
+_ENT = {k: p for k, p in ENTITIES.items() if k != "name"}
+_KIND_SQL = "UNION ALL SELECT doc_id, line, {o}, generate_subscripts(m, 1), '{k}', unnest(m) FROM (SELECT *, regexp_extract_all(s, '{p}') AS m FROM l)"
+_KINDS_SQL = "\n".join(_KIND_SQL.format(o=o, k=k, p=p) for o, (k, p) in enumerate(_ENT.items()))[len("UNION ALL "):]
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+e(doc_id, line, o, i, kind, v) AS ({_KINDS_SQL}),
 g AS (SELECT *, CASE WHEN line - lag(line) OVER (PARTITION BY doc_id ORDER BY line, o, i) <= 3 THEN 0 ELSE 1 END AS far FROM e),
 h AS (SELECT *, sum(far) OVER (PARTITION BY doc_id ORDER BY line, o, i) AS grp FROM g)
-SELECT doc_id, coalesce(arg_min(v, line * 1000000 + i) FILTER (WHERE kind = 'email'), '') AS email, coalesce(arg_min(v, line * 1000000 + i) FILTER (WHERE kind = 'phone'), '') AS phone FROM h GROUP BY doc_id, grp""")
+SELECT doc_id, CAST(grp AS INTEGER) AS "group", {", ".join(f"coalesce(arg_min(v, line * 1000000 + i) FILTER (WHERE kind = '{k}'), '') AS {k}" for k in _ENT)} FROM h GROUP BY doc_id, grp""")
 def entities_in_text(spark, sf_dir):
-    return extract_entities(table(spark, sf_dir, "documents"), ["doc_id"], kinds=("email", "phone")).select("doc_id", "email", "phone")
+    return extract_entities(table(spark, sf_dir, "documents"), ["doc_id"], kinds=tuple(_ENT))
 
 
 @query()
@@ -141,15 +159,15 @@ def matchkey(spark, sf_dir):
     return df.select("p_partkey", matchkey_column([("p_name", ["lowercase"]), ("p_brand", ["uppercase"]), ("s", [])]).alias("mk"))
 
 
-@query(r"""SELECT c_custkey, CASE WHEN regexp_matches(e, '@[^@]+\.') THEN lower(trim(e)) END AS email, upper(trim(n)) AS name_upper, lower(trim(n)) AS name_lower,
- CASE WHEN length(d) >= 7 THEN d END AS phone, lpad(left(regexp_replace(split_part(z, '-', 1), '[^0-9]', '', 'g'), 5), 5, '0') AS zip5, upper(trim(c_mktsegment)) AS state,
+@query(r"""SELECT c_custkey, CASE WHEN contains(string_split(e, '@')[-1], '.') THEN lower(trim(e)) END AS email, upper(trim(n)) AS name_upper, lower(trim(n)) AS name_lower,
+ CASE WHEN length(d) >= 7 THEN d END AS phone, lpad(left(regexp_replace(split_part(split_part(z, '-', 1), ' ', 1), '[^0-9]', '', 'g'), 5), 5, '0') AS zip5, upper(trim(c_mktsegment)) AS state,
  left(upper(c_mktsegment), 1) || lower(substring(c_mktsegment, 2)) AS name_proper, trim(n) AS strip
-FROM (SELECT *, regexp_replace(p, '[^0-9]', '', 'g') AS d FROM (SELECT *, ' ' || c_name || ' ' AS n, c_name || CASE WHEN c_custkey % 3 = 0 THEN '@Mail' ELSE '@mail.Example' END AS e, '(' || (c_custkey % 900 + 100) || ') 555' || CASE WHEN c_custkey % 2 = 0 THEN '-0100' ELSE '' END AS p, c_custkey || '-1234' AS z FROM customer))""")
+FROM (SELECT *, regexp_replace(p, '[^0-9]', '', 'g') AS d FROM (SELECT *, ' ' || c_name || ' ' AS n, c_name || CASE WHEN c_custkey % 3 = 0 THEN '@Mail' WHEN c_custkey % 3 = 1 THEN '@b.c@d' ELSE '@mail.Example' END AS e, '(' || (c_custkey % 900 + 100) || ') 555' || CASE WHEN c_custkey % 2 = 0 THEN '-0100' ELSE '' END AS p, c_custkey || CASE WHEN c_custkey % 2 = 0 THEN ' 45' ELSE '-1234' END AS z FROM customer))""")
 def standardizers(spark, sf_dir):
     k = F.col("c_custkey")
     df = table(spark, sf_dir, "customer").withColumns({
-        "n": F.concat(F.lit(" "), "c_name", F.lit(" ")), "e": F.concat("c_name", F.when(k % 3 == 0, "@Mail").otherwise("@mail.Example")),
-        "p": F.concat(F.lit("("), (k % 900 + 100).cast("string"), F.lit(") 555"), F.when(k % 2 == 0, "-0100").otherwise("")), "z": F.concat(k.cast("string"), F.lit("-1234"))})
+        "n": F.concat(F.lit(" "), "c_name", F.lit(" ")), "e": F.concat("c_name", F.when(k % 3 == 0, "@Mail").when(k % 3 == 1, "@b.c@d").otherwise("@mail.Example")),
+        "p": F.concat(F.lit("("), (k % 900 + 100).cast("string"), F.lit(") 555"), F.when(k % 2 == 0, "-0100").otherwise("")), "z": F.concat(k.cast("string"), F.when(k % 2 == 0, " 45").otherwise("-1234"))})
     of = {"email": "e", "name_upper": "n", "name_lower": "n", "phone": "p", "zip5": "z", "state": "c_mktsegment", "name_proper": "c_mktsegment", "strip": "n"}
     return df.select("c_custkey", *(STANDARDIZERS[s](F.col(c)).alias(s) for s, c in of.items()))
 
@@ -165,9 +183,11 @@ def autofix(spark, sf_dir):
     return C.auto_fix(table(spark, sf_dir, "documents"))
 
 
-@query(r"""SELECT * FROM (VALUES ('bom', 'text', 0), ('null_strings', 'text', 0), ('control', 'text', 0)) t(fix, "column", rows_affected)
-UNION ALL SELECT 'trim', 'text', count(*) FILTER (WHERE text <> trim(text, ' ' || chr(10) || chr(9))) FROM documents
-UNION ALL SELECT 'collapse', 'text', count(*) FILTER (WHERE regexp_matches(trim(text, ' ' || chr(10) || chr(9)), '\s{2,}')) FROM documents""")
+@query(r"""WITH t AS (SELECT text, replace(text, chr(65279), '') AS b FROM documents), u AS (SELECT *, trim(b, ' ' || chr(10) || chr(9)) AS s FROM t),
+v AS (SELECT *, CASE WHEN s NOT IN ('', 'NULL', 'null', 'N/A', 'NA', 'n/a', 'None', 'none', '-', '.', 'nan', 'NaN') THEN s END AS z FROM u), w AS (SELECT *, regexp_replace(z, '\s{2,}', ' ', 'g') AS c FROM v)
+SELECT 'bom' AS fix, 'text' AS "column", count(*) FILTER (WHERE text <> b) AS rows_affected FROM w UNION ALL SELECT 'trim', 'text', count(*) FILTER (WHERE b <> s) FROM w
+UNION ALL SELECT 'null_strings', 'text', count(*) FILTER (WHERE s IS NOT NULL AND z IS NULL) FROM w UNION ALL SELECT 'collapse', 'text', count(*) FILTER (WHERE z <> c) FROM w
+UNION ALL SELECT 'control', 'text', count(*) FILTER (WHERE regexp_matches(c, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]')) FROM w""")
 def autofix_log(spark, sf_dir):
     return C.fix_log(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -202,9 +222,14 @@ def anomalies(spark, sf_dir):
     return C.detect_anomalies(df)
 
 
-@query("SELECT " + " UNION ALL SELECT ".join(f"'{c}' AS \"column\", count(*) AS total, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS n_unique FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")))
+_PROFILED = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+_TYPE_SQL = " ".join(f"WHEN count(*) FILTER (WHERE regexp_matches(v, '{p}')) > 0.6 * count(v) THEN '{k}'" for k, p in C.TYPES.items())
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS total, count(*) - count(v) AS nulls, count(DISTINCT v) AS n_unique, CAST(min(length(v)) AS INTEGER) AS min_length, CAST(max(length(v)) AS INTEGER) AS max_length,
+ round(avg(length(v)), 6) AS avg_length, CASE {_TYPE_SQL} ELSE 'text' END AS suspected_type FROM (SELECT CAST({c} AS VARCHAR) AS v FROM orders)""" for c in _PROFILED))
 def profile_columns(spark, sf_dir):
-    return C.profile_columns(table(spark, sf_dir, "orders")).select("column", "total", "nulls", "n_unique")
+    return C.profile_columns(table(spark, sf_dir, "orders").select(*_PROFILED))
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS total_rows, CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT p_name, p_brand, p_type, p_size FROM part)) AS BIGINT) AS duplicate_rows, CAST(0 AS BIGINT) AS empty_rows FROM part")
@@ -220,15 +245,34 @@ def exact_match_pairs(spark, sf_dir):
     return B.exact_pairs(table(spark, sf_dir, "part", "p_partkey"), matchkey_column([("p_name", ["lowercase"]), ("p_brand", [])]))
 
 
+@query("""WITH k AS (SELECT o_orderkey AS id, o_orderkey % 2 AS key, o_orderstatus AS x FROM orders), p AS (SELECT key, x, count(*) AS c, min(id) AS least FROM k GROUP BY ALL),
+w AS (SELECT key, sum(c) AS n, sum(c * c) AS s, min(least) AS first, arg_min(x, least) AS fx FROM p GROUP BY key HAVING count(*) > 1), z AS (SELECT p.key, min(least) AS second FROM p JOIN w ON p.key = w.key AND p.x <> w.fx GROUP BY p.key),
+m AS (SELECT id, CASE WHEN k.x = w.fx THEN z.second ELSE w.first END AS other, (n * n - s) / 2 / (n - 1) AS pairs FROM k JOIN w ON k.key = w.key JOIN z ON k.key = z.key WHERE id <> w.first)
+SELECT least(id, other) AS id_a, greatest(id, other) AS id_b, 1.0::DOUBLE AS score, round(pairs, 6) AS pairs FROM m""")
+def exact_links_across(spark, sf_dir):
+    """Orders of even and odd keys linked across their states: two groups that hold the whole table, each of several sources."""
+    return B.exact_links(_parted_orders(spark, sf_dir), "k", cross="o_orderstatus").withColumn("pairs", F.round("pairs", 6))
+
+
+def _parted_orders(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders", "o_orderkey").withColumn("k", (F.col("o_orderkey") % 2).cast("string"))
+
+
+@query("""SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_orderkey % 2) AS component FROM orders""")
+def components_across(spark, sf_dir):
+    """Components of those links: every row of a group that several sources share, whatever its size."""
+    return connected_components(B.exact_links(_parted_orders(spark, sf_dir), "k", cross="o_orderstatus"))
+
+
 @query(PART_PAIRS)
 def multi_pass_pairs(spark, sf_dir):
     return B.static_pairs(table(spark, sf_dir, "part", "p_partkey"), PART_KEYS)
 
 
 @query("""WITH k AS (SELECT 0 AS pass, lower(p_name) || p_brand AS key FROM part UNION ALL SELECT 1, p_brand || '|' || p_type || '|' || p_size FROM part), n AS (SELECT pass, key, count(*) AS n FROM k GROUP BY ALL)
-SELECT pass, count(*) FILTER (WHERE n > 1) AS blocks, max(n) AS max_size, round(avg(n) FILTER (WHERE n > 1), 6) AS mean_size, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pairs FROM n GROUP BY pass""")
+SELECT pass, count(*) FILTER (WHERE n > 1) AS blocks, max(n) AS max_size, round(avg(n) FILTER (WHERE n > 1), 6) AS mean_size, round(stddev_samp(n) FILTER (WHERE n > 1), 6) AS std_size, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pairs FROM n GROUP BY pass""")
 def block_statistics(spark, sf_dir):
-    return B.block_stats(B.key_relation(table(spark, sf_dir, "part", "p_partkey"), PART_KEYS)).drop("std_size")
+    return B.block_stats(B.key_relation(table(spark, sf_dir, "part", "p_partkey"), PART_KEYS))
 
 
 @query("""WITH k AS (SELECT p_partkey AS id, p_brand AS key, p_type AS sub, count(*) OVER (PARTITION BY p_brand) AS n FROM part), m AS (SELECT id, CASE WHEN n > 70 THEN key || '||' || sub ELSE key END AS key FROM k)
@@ -255,10 +299,22 @@ def ann_block_pairs(spark, sf_dir):
     return B.ann_blocks(table(spark, sf_dir, "embeddings", "vec_id"), "embedding", k=3, threshold=0.4)
 
 
+@query()
+def near_vector_pairs(spark, sf_dir):
+    """The approximate form of top_k_cosine_pairs; recall is held in the tests."""
+    return near_pairs(table(spark, sf_dir, "embeddings", "vec_id"), "embedding", k=5, probes=16).withColumn("score", F.round("score", 6))
+
+
+@query()
+def ann_sub_blocks(spark, sf_dir):
+    df = table(spark, sf_dir, "part", "p_partkey").withColumn("n", F.concat_ws(" ", "p_name", "p_type"))
+    return B.sub_blocks(df, [{"fields": ["p_brand"]}], "n", 70, top_k=3, threshold=0.6).groupBy("key").agg(F.count("*").alias("n"))
+
+
 @query()
 def canopy_members(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select("p_name", "p_type").distinct().withColumn("n", F.concat_ws(" ", "p_name", "p_type"))
-    return B.canopies(names.withColumn(ID, F.xxhash64("n")), ["n"])
+    parts = table(spark, sf_dir, "part", "p_partkey")
+    return B.canopies(parts, ["p_name", "p_type"], max_size=None).withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -349,9 +405,66 @@ def _list_match(spark, sf_dir, mode, threshold=0.6):
     return match(t, r, plan, mode)
 
 
-@query("""SELECT s_suppkey AS id FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM customer WHERE s_nationkey = c_nationkey AND jaro_winkler_similarity(s_name, c_name) >= 0.7)""")
+@query("""SELECT s_suppkey AS id FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM customer WHERE s_nationkey = c_nationkey AND jaro_winkler_similarity(s_name, c_name) >= 0.77)""")
 def list_match_unmatched(spark, sf_dir):
-    return _list_match(spark, sf_dir, "all", 0.7).unmatched.select(F.col(ID).alias("id"))
+    return _list_match(spark, sf_dir, "all", 0.77).unmatched.select(F.col(ID).alias("id"))
+
+
+HALVES = "(SELECT p_partkey, p_name, p_type, p_brand, p_size FROM part WHERE p_partkey % 2 = 0) t JOIN (SELECT p_partkey, p_name, p_type, p_brand, p_size FROM part WHERE p_partkey % 2 = 1) r"
+NAME_SCORE = "jaro_winkler_similarity(t.p_name, r.p_name)"
+
+
+def _halves(spark, sf_dir, plan: Blocking, kind: str = "weighted", threshold: float = 0.9) -> DataFrame:
+    """Parts of even keys matched with those of odd keys."""
+    parts = table(spark, sf_dir, "part", "p_partkey").drop("p_retailprice")
+    key = Matchkey("name", kind, [MatchField("p_name", [], "jaro_winkler", 1.0), *([MatchField("p_size", [], "exact")] if kind == "probabilistic" else [])], threshold if kind == "weighted" else None)
+    out = match(parts.filter("p_partkey % 2 = 0"), parts.filter("p_partkey % 2 = 1"), Config([key], plan, auto_fix=False), "all").matches
+    return out.select("__target_row_id__", "__ref_row_id__", F.round("__match_score__", 6).alias("__match_score__"))
+
+
+_HALF_SQL = f"""SELECT t.p_partkey AS "__target_row_id__", r.p_partkey AS "__ref_row_id__", round({NAME_SCORE}, 6) AS "__match_score__" FROM {HALVES} ON """
+
+
+@query(_HALF_SQL + f"t.p_type = r.p_type AND t.p_brand = r.p_brand AND {NAME_SCORE} >= 0.9")
+def list_match_static(spark, sf_dir):
+    return _halves(spark, sf_dir, Blocking([BlockKey(["p_brand", "p_type"])]))
+
+
+@query(_HALF_SQL + f"(t.p_type = r.p_type AND t.p_brand = r.p_brand OR t.p_brand = r.p_brand AND t.p_size = r.p_size) AND {NAME_SCORE} >= 0.9")
+def list_match_multi_pass(spark, sf_dir):
+    return _halves(spark, sf_dir, Blocking(strategy="multi_pass", passes=[BlockKey(["p_brand", "p_type"]), BlockKey(["p_brand", "p_size"])]))
+
+
+@query(f"""WITH n AS (SELECT *, count(*) OVER (PARTITION BY p_brand) AS n FROM part), k AS (SELECT *, CASE WHEN n > 70 THEN p_brand || '||' || p_type ELSE p_brand END AS key FROM n)
+SELECT t.p_partkey AS "__target_row_id__", r.p_partkey AS "__ref_row_id__", round({NAME_SCORE}, 6) AS "__match_score__" FROM k t JOIN k r ON t.p_partkey % 2 = 0 AND r.p_partkey % 2 = 1 AND t.key = r.key AND {NAME_SCORE} >= 0.9""")
+def list_match_adaptive(spark, sf_dir):
+    return _halves(spark, sf_dir, Blocking([BlockKey(["p_brand"])], "adaptive", max_block_size=70, sub_block_keys=[BlockKey(["p_type"])]))
+
+
+@query(f"""WITH o AS (SELECT *, row_number() OVER (ORDER BY p_type, CASE WHEN p_partkey % 2 = 0 THEN p_partkey * 2 ELSE p_partkey * 2 + 1 END) AS p FROM part)
+SELECT t.p_partkey AS "__target_row_id__", r.p_partkey AS "__ref_row_id__", round({NAME_SCORE}, 6) AS "__match_score__" FROM o t JOIN o r ON t.p_partkey % 2 = 0 AND r.p_partkey % 2 = 1 AND abs(t.p - r.p) BETWEEN 1 AND 9 AND {NAME_SCORE} >= 0.9""")
+def list_match_neighborhood(spark, sf_dir):
+    return _halves(spark, sf_dir, Blocking(strategy="sorted_neighborhood", sort_key=[BlockKey(["p_type"])], window_size=10))
+
+
+@query()
+def list_match_canopy(spark, sf_dir):
+    return _halves(spark, sf_dir, Blocking(strategy="canopy", canopy=Canopy(["p_type", "p_name"], max_canopy_size=50)))
+
+
+@query()
+def list_match_learned(spark, sf_dir):
+    return _halves(spark, sf_dir, Blocking([BlockKey(["p_brand"])], "learned", learned_sample=2000))
+
+
+@query()
+def list_match_suggested(spark, sf_dir):
+    return _halves(spark, sf_dir, Blocking(auto_suggest=True))
+
+
+@query()
+def list_match_probabilistic(spark, sf_dir):
+    return _halves(spark, sf_dir, Blocking([BlockKey(["p_brand", "p_type"])]), "probabilistic")
 
 
 @query(f"""WITH c AS ({PART_PAIRS}) SELECT id_a, id_b FROM c WHERE NOT EXISTS (SELECT 1 FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand WHERE a.p_partkey = id_a AND b.p_partkey = id_b)""")
@@ -455,12 +568,82 @@ def connected_parts(spark, sf_dir):
     return connected_components(B.static_pairs(df, [{"fields": ["p_name", "p_brand", "p_type"]}, {"fields": ["p_brand", "p_size", "p_type"]}]))
 
 
-@query(f"""WITH m AS ({DOC_CLUSTERS}), s AS (SELECT "__cluster_id__", count(*) AS n FROM m GROUP BY 1)
-SELECT "__cluster_id__", CAST(n AS INTEGER) AS size, n > 100 AS oversized, 1.0::DOUBLE AS confidence, 'strong' AS cluster_quality FROM s""")
+@query(f"""WITH m AS ({DOC_CLUSTERS}), s AS (SELECT "__cluster_id__", count(*) AS n, min("__row_id__") FILTER (WHERE "__row_id__" <> "__cluster_id__") AS b FROM m GROUP BY 1)
+SELECT "__cluster_id__", CAST(n AS INTEGER) AS size, n > 100 AS oversized, 1.0::DOUBLE AS confidence, 'strong' AS cluster_quality, CASE WHEN n > 1 THEN "__cluster_id__" END AS low_a, b AS low_b FROM s""")
 def cluster_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id")
     pairs = materialize(document_pairs(spark, sf_dir))
-    return K.cluster_stats(materialize(K.membership_of(pairs, docs)), pairs).drop("bottleneck_pair")
+    return _with_bottleneck(K.cluster_stats(materialize(K.membership_of(pairs, docs)), pairs))
+
+
+def _with_bottleneck(stats: DataFrame) -> DataFrame:
+    return stats.select("*", F.col("bottleneck_pair.a").alias("low_a"), F.col("bottleneck_pair.b").alias("low_b")).drop("bottleneck_pair")
+
+
+@query("""WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_brand AS k1, a.p_type AS k2, a.p_size AS k3, jaro_winkler_similarity(a.p_name, b.p_name) AS s FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size),
+e AS (SELECT k1, k2, k3, min(s) AS low, avg(s) AS mean, count(*) AS edges, arg_min(a, s * 1e12 + a * 1e5 + b) AS x FROM p GROUP BY ALL), g AS (SELECT p_brand AS k1, p_type AS k2, p_size AS k3, min(p_partkey) AS c, count(*) AS n FROM part GROUP BY ALL)
+SELECT c AS "__cluster_id__", CAST(n AS INTEGER) AS size, n > 100 AS oversized, round(CASE WHEN n = 1 THEN 1.0 ELSE (0.4 * low + 0.3 * mean + 0.3) * CASE WHEN mean - low > 0.3 THEN 0.7 ELSE 1.0 END END, 6) AS confidence,
+ CASE WHEN mean - low > 0.3 THEN 'weak' ELSE 'strong' END AS cluster_quality FROM g LEFT JOIN e ON g.k1 = e.k1 AND g.k2 = e.k2 AND g.k3 = e.k3""")
+def cluster_quality_scored(spark, sf_dir):
+    df = table(spark, sf_dir, "part", "p_partkey")
+    scored = materialize(S.weighted_scores(B.static_pairs(df, PART_KEYS[1:]), df, PART_FIELDS[:1], 0.0))
+    return K.cluster_stats(materialize(K.membership_of(scored, df)), scored).drop("bottleneck_pair")
+
+
+@query("""WITH g AS (SELECT c_custkey AS id, c_custkey % 3 AS f, c_nationkey AS k FROM customer), m AS (SELECT id, min(id) OVER (PARTITION BY k, f) AS c FROM g WHERE id % 10 <> 0),
+x AS (SELECT g.id, h.f = g.f AS same, m.c FROM g JOIN g h ON g.k = h.k AND (h.f = g.f OR g.id % 20 = 0) JOIN m ON m.id = h.id WHERE g.id % 10 = 0),
+b AS (SELECT id, coalesce(min(c) FILTER (WHERE same), min(c)) AS best, count(DISTINCT c) AS bridged FROM x GROUP BY id)
+SELECT g.id AS "__row_id__", CASE WHEN best IS NULL THEN 'new' WHEN bridged > 1 THEN 'conflict' ELSE 'merged' END AS action, coalesce(best, g.id) AS cluster, CAST(coalesce(bridged, 0) AS BIGINT) AS bridged FROM g LEFT JOIN b ON g.id = b.id WHERE g.id % 10 = 0""")
+def reconcile_conflicts(spark, sf_dir):
+    """New customers that bridge clusters which together are too large: each joins the cluster of its best score."""
+    return _reconciled(spark, sf_dir, 2)[1]
+
+
+@query("""WITH g AS (SELECT c_custkey AS id, c_custkey % 3 AS f, c_nationkey AS k FROM customer), w AS (SELECT k, bool_or(id % 20 = 0) AS bridge FROM g GROUP BY k),
+m AS (SELECT id, k, f, min(id) FILTER (WHERE id % 10 <> 0) OVER (PARTITION BY k, f) AS kf, min(id) OVER (PARTITION BY k) AS kk, min(id) OVER (PARTITION BY k, f) AS kff FROM g)
+SELECT id AS "__row_id__", CASE WHEN bridge THEN kk WHEN kf IS NULL THEN id ELSE kff END AS "__cluster_id__" FROM m JOIN w ON m.k = w.k""")
+def reconcile_merges(spark, sf_dir):
+    """The same without a largest size: a bridge makes one cluster of all that it matches."""
+    return _reconciled(spark, sf_dir, 1 << 40)[0].select(ID, CID)
+
+
+def _reconciled(spark, sf_dir, most: int):
+    g = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 3).alias("f"), F.col("c_nationkey").alias("k"))
+    old, new = g.filter("id % 10 <> 0"), g.filter("id % 10 = 0")
+    first = old.groupBy("k", "f").agg(F.min("id").alias("c"))
+    members = materialize(old.join(first, ["k", "f"]).select(F.col("c").alias(CID), F.col("id").alias(ID)))
+    # a new row matches the first of its own cluster, every second one those of its nation's other clusters too, with a lower score
+    met = new.select(F.col("id").alias("id_a"), "k", F.col("f").alias("g")).join(first, "k").filter("f = g or id_a % 20 = 0")
+    return reconcile(members, new.select(F.col("id").alias(ID)), met.select("id_a", F.col("c").alias("id_b"), F.when(F.col("f") == F.col("g"), 1.0).otherwise(0.8).alias("score")), most)
+
+
+@query("""WITH o AS (SELECT o_custkey AS c, o_orderkey, o_orderstatus AS s, o_orderkey % 2 AS h FROM orders), a AS (SELECT c, arg_min(s, o_orderkey) AS s FROM o WHERE h = 0 GROUP BY c), b AS (SELECT c, arg_min(s, o_orderkey) AS s, bool_or(h = 1) AS more FROM o GROUP BY c)
+SELECT c AS "__cluster_id__", s AS o_orderstatus, 1 AS "__version__", NOT coalesce((SELECT more FROM b WHERE b.c = a.c), false) AS "__is_current__", 0::BIGINT AS "__run__" FROM a
+UNION ALL SELECT b.c, b.s, CASE WHEN a.c IS NULL THEN 1 ELSE 2 END, true, 1::BIGINT FROM b LEFT JOIN a ON a.c = b.c WHERE more""")
+def golden_versions(spark, sf_dir):
+    """Orders that come in two halves: customers that the second half touches get a new version."""
+    o = table(spark, sf_dir, "orders", "o_orderkey").withColumn(CID, F.col("o_custkey"))
+    of = lambda d: G.build_golden(d, default="first_non_null", columns=["o_orderstatus"]).select(CID, "o_orderstatus")
+    first, second = o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 2 = 1")
+    history = materialize(add_versions(None, of(first), first.select(CID), 0))
+    touched = o.join(second.select(CID).distinct(), CID, "left_semi")
+    return add_versions(history, of(touched), o.select(CID), 1)
+
+
+@query("""WITH v AS (SELECT o_orderpriority AS s, o_custkey % 50 AS v, o_custkey FROM orders WHERE o_custkey % 50 <> 7 OR o_orderpriority <> '1-URGENT'), n AS (SELECT count(DISTINCT s) AS n FROM v), k AS (SELECT v, count(DISTINCT s) AS k FROM v GROUP BY v)
+SELECT (SELECT n FROM n) AS sources, count(*) FILTER (WHERE k = (SELECT n FROM n)) AS shared, count(*) AS "values", round(count(*) FILTER (WHERE k = (SELECT n FROM n)) / count(*), 6) AS overlap FROM k""")
+def source_overlap(spark, sf_dir):
+    return auto.source_overlap(_overlapping(spark, sf_dir), "v")
+
+
+def _overlapping(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders").filter("o_custkey % 50 <> 7 or o_orderpriority <> '1-URGENT'")
+    return o.select((F.col("o_custkey") % 50).alias("v"), F.col("o_orderpriority").alias("__source__"))
+
+
+@query("""WITH v AS (SELECT o_orderpriority AS s, o_custkey % 50 AS v FROM orders WHERE o_custkey % 50 <> 7 OR o_orderpriority <> '1-URGENT') SELECT v AS value FROM v GROUP BY v HAVING count(DISTINCT s) = (SELECT count(DISTINCT s) FROM v)""")
+def shared_values(spark, sf_dir):
+    return auto.shared_values(_overlapping(spark, sf_dir), "v")
 
 
 @query()
@@ -496,18 +679,19 @@ def golden_confidence(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT o_custkey, o_orderpriority, list_position(['2-HIGH', '1-URGENT', '3-MEDIUM'], o_orderpriority) AS p, o_orderkey, o_orderstatus FROM orders),
-k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY p, o_orderkey) AS n FROM r WHERE p > 0) SELECT c.o_custkey, k.o_orderstatus FROM (SELECT DISTINCT o_custkey FROM orders) c LEFT JOIN k ON c.o_custkey = k.o_custkey AND k.n = 1""")
+k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY p, o_orderkey) AS n FROM r WHERE p > 0)
+SELECT c.o_custkey, k.o_orderstatus, round(CASE WHEN c.u = 1 THEN 1.0 ELSE coalesce(greatest(0.1, 1.0 - 0.1 * (k.p - 1)), 0.0) END, 6)::DOUBLE AS "__golden_confidence__" FROM (SELECT o_custkey, count(DISTINCT o_orderstatus) AS u FROM orders GROUP BY 1) c LEFT JOIN k ON c.o_custkey = k.o_custkey AND k.n = 1""")
 def golden_source_priority(spark, sf_dir):
     df = table(spark, sf_dir, "orders").withColumn("__source__", F.col("o_orderpriority"))
     rule = {"o_orderstatus": {"strategy": "source_priority", "source_priority": ["2-HIGH", "1-URGENT", "3-MEDIUM"]}}
-    return G.build_golden(df, rule, order="o_orderkey", by="o_custkey", columns=["o_orderstatus"]).drop("__golden_confidence__")
+    return G.build_golden(df, rule, order="o_orderkey", by="o_custkey", columns=["o_orderstatus"])
 
 
-@query("""WITH n AS (SELECT o_custkey, count(*) AS c, arg_min(o_orderkey, o_orderkey) AS first FROM orders GROUP BY 1) SELECT o_custkey, first AS source_row_id, c AS candidates FROM n""")
+@query("""SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) AS value, min(o_orderkey) AS source_row_id, 'first_non_null' AS strategy, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN 1.0 ELSE 0.6 END::DOUBLE AS confidence, count(*) AS candidates FROM orders GROUP BY 1""")
 def golden_provenance(spark, sf_dir):
     g = G.build_golden(table(spark, sf_dir, "orders"), default="first_non_null", order="o_orderkey", by="o_custkey", columns=["o_orderstatus"], provenance=True)
     p = F.col("__provenance__")["o_orderstatus"]
-    return g.select("o_custkey", p["source_row_id"].alias("source_row_id"), F.size(p["candidates"]).cast("long").alias("candidates"))
+    return g.select("o_custkey", p["value"].alias("value"), p["source_row_id"].alias("source_row_id"), p["strategy"].alias("strategy"), p["confidence"].alias("confidence"), F.size(p["candidates"]).cast("long").alias("candidates"))
 
 
 @query(f"""WITH m AS (SELECT *, min(doc_id) OVER (PARTITION BY {NORMAL_TEXT}) AS c FROM documents), n AS (SELECT *, count(*) OVER (PARTITION BY c) AS k FROM m), g AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY length(text) DESC, doc_id) AS r FROM n WHERE k > 1)
@@ -533,9 +717,10 @@ def _diff(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""WITH m AS (SELECT *, min(doc_id) OVER (PARTITION BY {NORMAL_TEXT}) AS c FROM documents), n AS (SELECT *, first_value(lang) OVER (PARTITION BY c ORDER BY doc_id) AS gl, first_value(source) OVER (PARTITION BY c ORDER BY doc_id) AS gs FROM m)
-SELECT count(*) AS total, count(*) FILTER (WHERE lang <> gl OR source <> gs) AS affected, count(*) FILTER (WHERE lang <> gl) AS changed_lang, count(*) FILTER (WHERE source <> gs) AS changed_source FROM n""")
+SELECT count(*) AS total, count(*) FILTER (WHERE lang <> gl OR source <> gs) AS affected, count(*) FILTER (WHERE lang <> gl) AS changed_lang, count(*) FILTER (WHERE source <> gs) AS changed_source,
+ CASE WHEN count(*) FILTER (WHERE lang <> gl OR source <> gs) > 0.5 * count(*) THEN 'high' WHEN count(*) FILTER (WHERE lang <> gl OR source <> gs) > 0.2 * count(*) THEN 'medium' ELSE 'low' END AS risk FROM n""")
 def preview_of_merge(spark, sf_dir):
-    return G.merge_preview(_diff(spark, sf_dir), ["lang", "source"]).drop("risk")
+    return G.merge_preview(_diff(spark, sf_dir), ["lang", "source"])
 
 
 @query(f"""WITH m AS ({DOC_CLUSTERS}), s AS (SELECT count(*) AS n FROM m GROUP BY "__cluster_id__")
@@ -606,18 +791,30 @@ def title_keys(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", D.title_key(F.col("text")).alias("title_key"))
 
 
-@query("""SELECT p_partkey, nullif(regexp_extract(v, '(?i)^(Sony|Canon)\\b', 1), '') AS brand, nullif(regexp_extract(v, '\\b([A-Z]{1,5}[-]?\\d{2,}[A-Z0-9]*(?:[-/]\\w+)?)\\b', 1), '') AS model, nullif(lower(regexp_extract(v, '(?i)\\b(black|white|silver|gold|red|blue|green)\\b', 1)), '') AS color
-FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Sony ' ELSE 'Canon ' END || p_name || ' DX-' || (p_partkey + 100) || ' 16 GB' AS v FROM part)""")
+_SPEC_SQL = {k: f"nullif(regexp_extract(v, '(?i){p}', 1), '')" for k, p in D.SPECS.items()}
+_PRODUCT_SQL = f"""SELECT p_partkey, v, nullif(regexp_extract(v, '(?i)^({D.BRANDS})\\b', 1), '') AS brand, nullif(regexp_extract(v, '{D.MODEL}', 1), '') AS model, nullif(regexp_extract(v, '{D.SKU}', 1), '') AS any_sku,
+ nullif(lower(regexp_extract(v, '(?i)\\b({D.COLORS})\\b', 1)), '') AS color, {", ".join(f"{x} AS {k}" for k, x in _SPEC_SQL.items())}
+FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Sony ' ELSE 'Acme ' END || p_name || CASE p_partkey % 3 WHEN 0 THEN ' DX-' || (p_partkey + 100) WHEN 1 THEN ' ' || (p_partkey + 1000000) ELSE '' END || ' 16 GB 27 inch' AS v FROM part)"""
+
+
+@query(f"""WITH f AS ({_PRODUCT_SQL}), g AS (SELECT *, CASE WHEN model IS NULL THEN any_sku END AS sku FROM f)
+SELECT p_partkey, brand, model, sku, color, array_to_string(list_filter([{", ".join(f"'{k}=' || {k}" for k in D.SPECS)}], lambda x: x IS NOT NULL), ';') AS specs,
+ round(least(1.0, ((brand IS NOT NULL)::INT + (model IS NOT NULL)::INT + 0.5 * (sku IS NOT NULL)::INT + 0.5 * (color IS NOT NULL)::INT + 0.5 * ({" + ".join(f"({k} IS NOT NULL)::INT" for k in D.SPECS)})) / 4), 6)::DOUBLE AS confidence FROM g""")
 def product_features(spark, sf_dir):
-    v = F.concat(F.when(F.col("p_partkey") % 2 == 0, "Sony ").otherwise("Canon "), "p_name", F.lit(" DX-"), (F.col("p_partkey") + 100).cast("string"), F.lit(" 16 GB"))
+    k = F.col("p_partkey")
+    code = F.when(k % 3 == 0, F.concat(F.lit(" DX-"), (k + 100).cast("string"))).when(k % 3 == 1, F.concat(F.lit(" "), (k + 1_000_000).cast("string"))).otherwise("")
+    v = F.concat(F.when(k % 2 == 0, "Sony ").otherwise("Acme "), "p_name", code, F.lit(" 16 GB 27 inch"))
     out = D.product_features(table(spark, sf_dir, "part").select("p_partkey", v.alias("v")), "v")
-    return out.select("p_partkey", F.col("__brand__").alias("brand"), F.col("__model__").alias("model"), F.col("__color__").alias("color"))
+    return out.select("p_partkey", *(F.col(f"__{c}__").alias(c) for c in ("brand", "model", "sku", "color", "specs")), F.round("__confidence__", 6).alias("confidence"))
 
 
-@query()
+@query("""SELECT p_partkey, 'microsoft ' || array_to_string(list_filter(string_split(lower(p_name), ' '), lambda w: length(w) > 1), ' ') AS name, '6.5' AS version, CASE WHEN p_partkey % 2 = 0 THEN 'pro' ELSE 'home' END AS edition,
+ CASE WHEN p_partkey % 3 = 0 THEN 'mac' ELSE 'win' END AS platform, CAST(p_partkey + 10000 AS VARCHAR) AS part_num, p_partkey % 5 = 0 AS upgrade, round(least(1.0, (1 + 0.5 + 0.3 + 0.5 + CASE WHEN p_partkey % 5 = 0 THEN 0.2 ELSE 0 END + 1) / 3), 6)::DOUBLE AS confidence FROM part""")
 def software_features(spark, sf_dir):
-    v = F.concat(F.lit("Microsoft "), "p_name", F.lit(" Professional 6.5 for Windows "), (F.col("p_partkey") + 10000).cast("string"))
-    return D.software_features(table(spark, sf_dir, "part").select("p_partkey", v.alias("v")), "v")
+    k = F.col("p_partkey")
+    v = F.concat(F.lit("Microsoft "), "p_name", F.when(k % 2 == 0, " Professional").otherwise(" Home"), F.lit(" v6.5 (new box) for "), F.when(k % 3 == 0, "Mac").otherwise("Windows"), F.lit(" "), (k + 10000).cast("string"), F.when(k % 5 == 0, " Upgrade").otherwise(" software"))
+    out = D.software_features(table(spark, sf_dir, "part").select("p_partkey", v.alias("v")), "v")
+    return out.select("p_partkey", *(F.col(f"__sw_{c}__").alias(c) for c in ("name", "version", "edition", "platform", "part_num", "upgrade")), F.col("__confidence__").alias("confidence"))
 
 
 @query()
@@ -679,10 +876,19 @@ def session_windows(spark, sf_dir):
 @query("""SELECT p_partkey AS "__row_id__", min(p_partkey) OVER (PARTITION BY lower(p_name), p_brand) AS "__cluster_id__" FROM part""")
 def streamed_clusters(spark, sf_dir):
     """Parts as a stream of files: each micro-batch is matched with all before it."""
+    return _streamed(spark, sf_dir, Config([Matchkey("exact", "exact", [MatchField("p_name", ["lowercase"]), MatchField("p_brand")])]))
+
+
+@query()
+def streamed_probabilistic(spark, sf_dir):
+    fields = [MatchField("p_name", [], "jaro_winkler", levels=3), MatchField("p_size", [], "exact")]
+    return _streamed(spark, sf_dir, Config([Matchkey("fs", "probabilistic", fields, link_threshold=0.95)], Blocking([BlockKey(["p_brand", "p_type"])])))
+
+
+def _streamed(spark, sf_dir, plan: Config) -> DataFrame:
     home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    parts = table(spark, sf_dir, "part", "p_partkey").select(ID, "p_name", "p_brand")
+    parts = table(spark, sf_dir, "part", "p_partkey").select(ID, "p_name", "p_brand", "p_type", "p_size")
     parts.repartition(3, ID).write.parquet(f"{home}/in")
-    plan = Config([Matchkey("exact", "exact", [MatchField("p_name", ["lowercase"]), MatchField("p_brand")])])
     resolver = Resolver(spark, f"{home}/state", plan)
     stream = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
     resolver.start(stream, f"{home}/checkpoint").awaitTermination()

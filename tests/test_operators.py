@@ -1,7 +1,9 @@
 """Cleaning, blocking, scoring, clusters, golden records and planning on small tables."""
 
+import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,11 +14,16 @@ from erspark.operators import domain as D
 from erspark.operators import evaluate as E
 from erspark.operators import explain as X
 from erspark.operators import golden as G
+from erspark.operators import judging as J
 from erspark.operators import pprl
 from erspark.operators import scoring as S
 from erspark.operators.components import connected_components
 from erspark.operators.entity_graph import resolve_graph
+from erspark.operators.reconcile import add_versions, reconcile
+from erspark.operators.review import ReviewQueue
+from erspark.operators.vector_index import VectorIndex, near_pairs
 from erspark.plans import auto
+from erspark.plans import runtime as R
 from erspark.plans.config import config_from, config_of
 from erspark.sources import files
 
@@ -71,11 +78,46 @@ def test_anomalies(people):
     assert C.detect_anomalies(df, sensitivity="low").select("type").distinct().collect()[0].type == "fake_email"
 
 
-def test_exact_pairs_star_beyond_the_limit(spark):
-    df = spark.range(30).select(F.col("id").alias(ID), F.when(F.col("id") < 20, "hot").otherwise("k").alias("k"))
-    assert B.exact_pairs(df, "k").count() == 190 + 45
-    few = B.exact_pairs(df, "k", max_group=12)
-    assert few.count() == 19 + 45 and K.membership_of(few).select(CID).distinct().count() == 2
+def test_exact_links_across_sources(spark):
+    rows = [(i, "hot", "ABA"[i % 3]) for i in range(6000)] + [(6000, "hot", None), (7000, "x", "A"), (7001, "x", "A"), (7002, "y", "B"), (7003, "y", "C"), (7004, None, "A")]
+    df = spark.createDataFrame(rows, f"{ID} long, k string, __source__ string")
+    links = B.exact_links(df, "k", cross="__source__")
+    assert links.join(df.select(F.col(ID).alias("id_a"), F.col("__source__").alias("a")), "id_a").join(df.select(F.col(ID).alias("id_b"), F.col("__source__").alias("b")), "id_b").filter("a = b").isEmpty()
+    got = {r[ID]: r[CID] for r in K.membership_of(links).collect()}
+    assert got == {**{i: 0 for i in range(6000)}, 7002: 7002, 7003: 7002}
+    assert round(links.agg(F.sum("pairs")).first()[0]) == 4000 * 2000 + 1
+    assert B.exact_pairs(df.filter(F.col(ID) < 300), "k", cross="__source__").count() == 200 * 100
+
+
+def test_hot_joins_and_scopes(spark, tmp_path):
+    left = spark.range(20_000).select((F.col("id") % 3 * (F.col("id") % 2)).alias("k"), "id").unionByName(spark.range(5).select(F.lit(None).cast("long").alias("k"), "id"))
+    right = left.filter("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.sum("id").alias("s"))
+    for how in ("inner", "left"):
+        got = R.join_split_hot(left, right, ["k"], None, 20_005, how)
+        assert got.columns == ["k", "id", "n", "s"]
+        assert got.count() == (20_000 if how == "inner" else 20_005) and got.select("id", "k").distinct().count() == got.count()
+    with R.scratch() as keep:
+        gone = R.materialize(spark.range(3))
+        kept = keep(gone.filter("id > 0"))
+        with R.scratch() as inner:
+            up = inner(R.materialize(spark.range(9)))
+        assert up.count() == 9
+    assert kept.count() == 2
+    for d in (gone, up):
+        assert not os.path.exists(d._erspark_path.removeprefix("file://"))
+    R.release(kept)
+    assert not os.path.exists(kept._erspark_path.removeprefix("file://"))
+    assert R.fresh(spark.createDataFrame([(1,)], "__A int"), "a") == ["__a_"]
+
+    class Far:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        R.shared_dir(Far)
 
 
 def test_exact_groups_of_any_size(spark):
@@ -221,7 +263,7 @@ def test_domain_features(spark):
     p = D.product_features(df, "t").collect()
     assert (p[0]["__brand__"], p[0]["__color__"], p[0]["__paren__"]) == ("Sony", "black", "body") and p[2]["__brand__"] is None
     s = D.software_features(df, "t").collect()[1]
-    assert (s["__sw_version__"], s["__sw_edition__"], s["__sw_platform__"], s["__sw_part_num__"]) == ("9.4", "professional", "windows", "12345")
+    assert (s["__sw_version__"], s["__sw_edition__"], s["__sw_platform__"], s["__sw_part_num__"], s["__sw_upgrade__"]) == ("9.4", "pro", "win", "12345", True)
     assert D.detect_domain(["brand", "model_no", "sku"])[0] == "product" and D.match_rulebook(["upc", "price"]) == "retail"
     assert D.extract_by_rulebook(df, "t", D.load_rulebook("software")).first()["__domain_version__"] is None
 
@@ -311,3 +353,178 @@ def test_write_output(spark, tmp_path):
     for fmt in ("parquet", "csv", "json"):
         path = files.write_output(spark.range(3).withColumn("a", F.array("id")), f"file://{tmp_path}", "run", "golden", fmt)
         assert files.load_file(spark, path).count() == 3
+
+
+def test_canopies_of_frequent_grams_by_brute_force(spark):
+    import math
+    from collections import Counter
+
+    words = ["red ring", "hot ring", "red rings", "blue stone", "blue stones", "red ring"]
+    rows = [(i, words[i % 6]) for i in range(1500)]  # every gram is in hundreds of rows
+    df = spark.createDataFrame(rows, f"{ID} long, n string")
+    members, vectors = B.tfidf_vectors(df, F.col("n"))
+    name = {r.t: words[r.t % 6] for r in members.select("t").distinct().collect()}
+    grams = {w: Counter(f" {w} "[i:i + k] for k in (3, 4) for i in range(len(w) + 3 - k)) for w in set(words)}
+    df_of = Counter(g for _, w in rows for g in grams[w])
+    unit = {}
+    for w, c in grams.items():
+        v = {g: n * (math.log(1501 / (df_of[g] + 1)) + 1) for g, n in c.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        unit[w] = {g: x / size for g, x in v.items()}
+    cosine = lambda a, b: sum(x * unit[b].get(g, 0) for g, x in unit[a].items())
+    for loose in (0.1, 0.3, 0.6):
+        got = {(name[r.id_a], name[r.id_b]): r.score for r in B.tfidf_pairs(vectors, loose).collect()}
+        want = {(a, b): cosine(a, b) for a in unit for b in unit if a != b and cosine(a, b) >= loose}
+        assert {tuple(sorted(p)) for p in got} == {tuple(sorted(p)) for p in want}
+        assert all(abs(s - cosine(*p)) < 1e-9 for p, s in got.items())
+    out = B.canopies(df, ["n"], max_size=None)
+    assert out.select("id").distinct().count() == 1500
+    centre = {r.canopy for r in out.collect()}
+    assert all(cosine(name[a], name[b]) < 0.7 for a in centre for b in centre if a != b)
+
+
+def test_learned_conjunctions_and_saved_rules(spark, tmp_path):
+    rows = [(i, f"c{i % 8}", f"d{i // 8 % 8}") for i in range(128)]
+    df = spark.createDataFrame(rows, f"{ID} long, a string, b string")
+    truth = B.static_pairs(df, [{"fields": ["a", "b"]}])
+    rules = B.learn_rules(df, ["a", "b"], truth, min_recall=0.95, min_reduction=0.95, top=2)
+    assert all(" & " in r["name"] for r in rules)
+    B.save_rules(rules, f"{tmp_path}/rules.json")
+    again = B.load_rules(f"{tmp_path}/rules.json")
+    assert B.load_rules(f"{tmp_path}/none.json") is None
+    assert rows_of(B.static_pairs(df, again)) == rows_of(B.static_pairs(df, rules))
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_judging(people):
+    scored = people.sparkSession.createDataFrame([(i, i + 1000, 0.75 + i / 500) for i in range(100)], "id_a long, id_b long, score double")
+    assert J.separating_threshold([(0.8, True), (0.7, False)]) == 0.75 and J.separating_threshold([(0.8, True)]) < 0.8 < J.separating_threshold([(0.8, False)])
+    labels = [(0.1, False), (0.2, True), (0.3, False), (0.4, True), (0.5, True)]
+    cut = J.separating_threshold(labels)
+    assert sum((s >= cut) != ok for s, ok in labels) == 1
+    budget = J.Budget(max_calls=3, prices={"m": (1.0, 2.0)}, escalation_model="big")
+    threshold, labelled = J.calibrate(scored, lambda pairs: [s >= 0.871 for _, _, s in pairs], sample=12, budget=budget)
+    assert abs(threshold - 0.87) < 0.011 and budget.calls <= 3 and len(labelled) <= 36
+    got = {r.id_a: r.score for r in J.apply_calibration(scored, threshold, labelled).collect()}
+    assert got[0] == 0.0 and got[99] == 1.0
+    assert budget.model_for(0.85, "small") == "big" and budget.model_for(0.5, "small") == "small" and budget.price(1000, 500, "m") == 2.0
+    budget.max_cost = 1.0
+    assert not J.Budget(max_calls=0).allows()
+
+
+def test_judged_clusters_and_labels(spark):
+    df = spark.createDataFrame([(i, f"name {i % 2}") for i in range(6)], f"{ID} long, name string")
+    scored = spark.createDataFrame([(0, 2, 0.8), (2, 4, 0.8), (0, 1, 0.8), (1, 3, 0.97), (3, 5, 0.2)], "id_a long, id_b long, score double")
+
+    def cluster(texts):
+        return [([i for i, t in enumerate(texts) if t == u], 0.9) for u in sorted(set(texts))]
+
+    got = {(r.id_a, r.id_b): r.score for r in J.judge_clusters(scored, df, ["name"], cluster).collect()}
+    assert got == {(0, 2): 0.9, (2, 4): 0.9, (0, 1): 0.0, (1, 3): 1.0, (3, 5): 0.2}
+    tries = []
+
+    def ask(a, b):
+        tries.append(1)
+        if len(tries) == 1:
+            raise OSError("busy")
+        return a == b
+
+    assert dict(((a, b), ok) for a, b, ok in J.label_pairs(scored, df, ["name"], ask)) == {(0, 2): True, (2, 4): True, (0, 1): False, (1, 3): True, (3, 5): True}
+    low = spark.createDataFrame([("a b", None, 0.1), ("c d", "kept", 0.1), ("e f", None, 0.9)], "text string, brand string, __confidence__ double")
+    more = J.extract_more(low, "text", lambda ts: [{"brand": t.split()[0]} for t in ts], ["brand"])
+    assert {r.text: r.brand for r in more.collect()} == {"a b": "a", "c d": "kept", "e f": None}
+    assert J.suggested_kinds({"x": {"kind": "text"}}, lambda p: {"x": "name", "y": "zip"}, ("name", "zip"))["x"]["kind"] == "name"
+    assert J.suggested_blocking(["a", "b"], lambda c: [["a"], ["z"], ["a", "b"]]) == [{"fields": ["a"], "transforms": ["lowercase", "strip"]}, {"fields": ["a", "b"], "transforms": ["lowercase", "strip"]}]
+
+
+def test_augmented_pairs(spark):
+    pairs = spark.createDataFrame([(f"name: a{i} b c d e | city: x{i}", f"name: a{i} b c d | city: y", i % 2) for i in range(60)], "text_a string, text_b string, label int")
+    out = J.augment(pairs, times=3).collect()
+    assert len(out) == 240 and rows_of(J.augment(pairs, times=3)) == sorted(tuple(r) for r in out)
+    originals = {(r.text_a, r.text_b) for r in out if r.variant == 0}
+    assert len(originals) == 60 and sum((r.text_a, r.text_b) not in originals for r in out) > 120
+    assert all(r.text_a and r.text_b for r in out)
+
+
+def test_review_queue(spark, tmp_path):
+    q = ReviewQueue(spark, f"file://{tmp_path}/reviews")
+    assert q.stats("j") == {"pending": 0, "approved": 0, "rejected": 0}
+    q.add("j", spark.createDataFrame([(1, 2, 0.8), (3, 4, 0.9), (5, 6, 0.99), (7, 8, 0.1)], "id_a long, id_b long, score double"))
+    q.approve("j", 1, 2, "me")
+    q.reject("j", 3, 4, "me", "no")
+    q.approve("j", 9, 9, "me")
+    assert q.stats("j") == {"pending": 0, "approved": 1, "rejected": 1} and q.pending("k").isEmpty()
+
+
+def test_vector_index(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 12))
+    rows = [(i, [float(x) for x in centres[i % 20] + 0.2 * rng.normal(size=12)]) for i in range(1500)] + [(9000, [0.0] * 12), (9001, None)]
+    df = spark.createDataFrame(rows, f"{ID} long, v array<double>")
+    x = np.array([v for _, v in rows[:1500]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = VectorIndex(spark, f"file://{tmp_path}/index").load_or_build(df.filter(F.col(ID) < 1000))
+    index.load_or_build(df.filter(F.col(ID) < 1500))
+    assert index.entries().count() == 1500 and index.coverage(df) > 0.99
+    got = {}
+    for r in index.search(df.filter(F.col(ID) < 60), k=5).collect():
+        got.setdefault(r["query"], set()).add(r.id)
+    s = x[:60] @ x.T
+    s[np.arange(60), np.arange(60)] = -1
+    assert sum(len(got[q] & set(np.argsort(-s[q])[:5].tolist())) for q in range(60)) >= 0.9 * 300
+    exact = {(r.id_a, r.id_b) for r in B.top_k_pairs(df.filter(F.col(ID) < 400), "v", 3).collect()}
+    near = {(r.id_a, r.id_b) for r in near_pairs(df.filter(F.col(ID) < 400), "v", 3).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_gates(spark):
+    t = spark.createDataFrame([(1, 2), (3, 4)], "id_a long, id_b long")
+    assert E.gates(E.evaluate_pairs(t, t), 0.9, 0.9, 0.9) == []
+    assert len(E.gates(E.evaluate_pairs(t.limit(1), t), 0.9, 0.9, 0.9)) == 2
+
+
+def test_hooks(people):
+    from erspark.plans.config import Config
+    from erspark.plans.pipeline import prepare
+
+    C.register_hook("quality", lambda d: d.filter("zip is not null"))
+    try:
+        assert prepare(people.withColumn("zip", F.lit(None).cast("string")), Config())[0].count() == 0
+    finally:
+        C.HOOKS["quality"].clear()
+
+
+def test_reconcile_and_versions(spark):
+    members = spark.createDataFrame([(0, 0), (0, 1), (5, 5), (5, 6), (8, 8)], f"{CID} long, {ID} long")
+    new = spark.createDataFrame([(10,), (11,), (12,), (13,)], f"{ID} long")
+    matches = spark.createDataFrame([(10, 1, 0.9), (10, 5, 0.8), (11, 8, 0.7), (12, 13, 0.9)], "id_a long, id_b long, score double")
+    got, actions = reconcile(members, new, matches, 100)
+    assert {r[ID]: r.action for r in actions.collect()} == {10: "merged", 11: "merged", 12: "new", 13: "merged"}
+    assert {r[ID]: r[CID] for r in got.collect()} == {0: 0, 1: 0, 5: 0, 6: 0, 10: 0, 8: 8, 11: 8, 12: 12, 13: 12}
+    got, actions = reconcile(members, new, matches, 3)
+    assert {r[ID]: r.action for r in actions.collect()} == {10: "conflict", 11: "merged", 12: "new", 13: "merged"}
+    assert {r[ID]: r[CID] for r in got.collect()} == {0: 0, 1: 0, 10: 0, 5: 5, 6: 5, 8: 8, 11: 8, 12: 12, 13: 12}
+    gold = spark.createDataFrame([(0, "a"), (5, "b")], f"{CID} long, v string")
+    one = add_versions(None, gold, members, 0)
+    two = add_versions(one, spark.createDataFrame([(0, "c")], f"{CID} long, v string"), members.filter(f"{CID} = 0"), 1)
+    assert sorted((r[CID], r.v, r["__version__"], r["__is_current__"]) for r in two.collect()) == [(0, "a", 1, False), (0, "c", 2, True), (5, "b", 1, False)]
+
+
+def test_value_overlap_of_whole_tables(spark):
+    a = spark.createDataFrame([(str(i),) for i in range(900)], "x string")
+    b = spark.createDataFrame([(str(i + 300),) for i in range(900)], "y string")
+    assert auto.value_overlap(a, b) == {("x", "y"): 600 / 1200}
+
+
+def test_header_far_down_and_longer_blocks(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("Report: things\nGenerated by hand\nname,age\nann,3\nbob,4\n---\nTotal: 2,x\nend of file\n")
+    got = files.smart_load(spark, f"file://{tmp_path}/a.txt")
+    assert got.columns == ["name", "age"] and rows_of(got) == [("ann", "3"), ("bob", "4")]
+    (tmp_path / "b.csv").write_bytes("\ufeffskip me\nid;n\n1;x\nno\n2;y;z\n".encode())
+    got = files.load_file(spark, f"file://{tmp_path}/b.csv", delimiter=";", header_row=1, skip_rows=[3])
+    assert got.columns == ["id", "n", "extra"] and rows_of(got) == [("1", "x", ""), ("2", "y", "z")]
+    raw = spark.createDataFrame([("a\nb",), ("c\nd\ne\nf",)], "value string")
+    assert len(files.parse_blocks(raw).columns) == 4
