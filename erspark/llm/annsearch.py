@@ -1,6 +1,6 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
-Equal vectors are one entry that keeps its smallest ids, one more than neighbours asked for,
+Lists are of vectors nearest to a centroid by cosine. Equal vectors are one entry that keeps its smallest ids, one more than neighbours asked for,
 which is all that any query can return of them. Centroids and codebooks are fitted on a sample
 of at most SAMPLE entries; every entry is indexed. A query visits its nearest lists, a share PROBED of all,
 scores their codes from its asymmetric distance tables, and the best RERANK of all lists
@@ -8,7 +8,7 @@ are measured exactly, in double precision, on the original vectors. A task holds
 entries together, or a part of a larger one, and a block of query vectors, equal ones once.
 
 Defined cases: null and zero vectors, and those holding null or non-finite components, take no
-part, nor do vectors of another length than most of the sample; null ids take no part; with
+part; shorter vectors count as filled up with zeros; null ids take no part; other columns are not read; with
 fewer candidates than neighbours all found are returned; ties go to the smaller id; an empty
 table gives an empty one; rows that repeat an id count once.
 """
@@ -24,55 +24,83 @@ from pyspark.sql.window import Window
 
 from erspark.plans.runtime import join_split_hot, materialize, ship
 
-#: Share of the lists that a query visits, and entries measured exactly. Vectors without clear clusters spread their
-#: neighbours over many lists: at 0.55 of them recall was 0.88 to 0.94 on the tables at hand, at 0.75 it was 0.92 to 0.98.
-PROBED, RERANK = 0.85, 128
-#: Entries that centroids are fitted on, entries of a task, query vectors of a task, lists at most, dimensions of a code.
-SAMPLE, SPLIT, QUERIES, LISTS, SUB = 20_000, 16_384, 4096, 4096, 4
+#: Share of the lists that a query visits, and entries measured exactly. Vectors without clusters spread their neighbours
+#: over many lists; README has the recall measured at several shares and sizes.
+PROBED, RERANK = 0.5, 192
+#: Entries that centroids are fitted on, entries of a task, query vectors of a task, lists at most and entries a list
+#: at least, dimensions of a code, and vectors that are compared with centroids at once.
+SAMPLE, SPLIT, QUERIES, LISTS, IN_LIST, SUB, CHUNK = 20_000, 16_384, 4096, 4096, 8, 4, 1024
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Centroids of the rows of ``x``; starts from evenly spread rows, so equal inputs give equal results."""
+def nearest_centroid(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """By distance; of unit centroids that is by cosine."""
+    half = 0.5 * (c * c).sum(1)
+    return np.concatenate([np.argmax(x[i:i + CHUNK] @ c.T - half, axis=1) for i in range(0, len(x), CHUNK)]) if len(x) else np.zeros(0, np.int64)
+
+
+def kmeans(x: np.ndarray, k: int, rounds: int, spherical: bool = False) -> np.ndarray:
+    """Centroids of the rows of ``x``, of length 1 if spherical; starts from evenly spread rows, so equal inputs give equal results."""
     k = max(1, min(k, len(x)))
-    c = x[np.linspace(0, len(x) - 1, k).astype(np.int64)].astype(np.float64)
+    c = x[np.linspace(0, len(x) - 1, k).astype(np.int64)].astype(np.float32)
     for _ in range(rounds):
-        near = np.argmax(x @ c.T - 0.5 * (c * c).sum(1), axis=1)
-        total = np.zeros_like(c)
+        near = nearest_centroid(x, c)
+        total = np.zeros_like(c, np.float64)
         np.add.at(total, near, x)
         n = np.bincount(near, minlength=k)
-        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+        new = total / np.maximum(np.linalg.norm(total, axis=1) if spherical else n, 1e-12)[:, None]
+        c = np.where(n[:, None] > 0, new, c).astype(np.float32)
     return c
 
 
 def fit(sample: np.ndarray, n: int, sub: int = SUB) -> dict:
     """Coarse centroids and residual codebooks of unit vectors."""
-    coarse = kmeans(sample, min(LISTS, max(1, int(np.sqrt(n)))))
-    near = np.argmax(sample @ coarse.T - 0.5 * (coarse * coarse).sum(1), axis=1)
-    residual = sample - coarse[near]
+    sample = sample.astype(np.float32)
+    coarse = kmeans(sample, min(LISTS, max(1, n // IN_LIST)), 6, True)
+    residual = sample - coarse[nearest_centroid(sample, coarse)]
     cuts = [slice(i, min(i + sub, sample.shape[1])) for i in range(0, sample.shape[1], sub)]
     return {"coarse": coarse, "cuts": cuts, "books": [kmeans(residual[:, c], 256, 8) for c in cuts]}
 
 
 def encode(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The list of each unit vector, and the codes of its residual."""
-    c = model["coarse"]
-    near = np.argmax(x @ c.T - 0.5 * (c * c).sum(1), axis=1)
-    residual = x - c[near]
-    codes = np.stack([np.argmax(residual[:, s] @ b.T - 0.5 * (b * b).sum(1), axis=1) for s, b in zip(model["cuts"], model["books"])], axis=1)
+    x = x.astype(np.float32)
+    near = nearest_centroid(x, model["coarse"])
+    residual = x - model["coarse"][near]
+    codes = np.stack([nearest_centroid(residual[:, s], b) for s, b in zip(model["cuts"], model["books"])], axis=1)
     return near, codes.astype(np.uint8)
 
 
-def unit(lists: list) -> np.ndarray:
-    x = np.array(lists, np.float64)
+def unit(lists, dim: int) -> np.ndarray:
+    """Rows of an Arrow list column, or of lists, scaled to length 1."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False) if hasattr(lists, "flatten") else np.concatenate([np.asarray(v, np.float64) for v in lists])
+    x = flat.astype(np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square runs over
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def probes_of(model: dict, x: np.ndarray, share: float) -> np.ndarray:
+    """Whether each of the unit vectors visits each list: the ``share`` of lists whose centroids are nearest."""
+    c = model["coarse"]
+    n = max(1, int(np.ceil(share * len(c))))
+    near = x.astype(np.float32) @ c.T
+    out = np.zeros(near.shape, bool)
+    np.put_along_axis(out, np.argsort(-near, axis=1, kind="stable")[:, :n], True, axis=1)
+    return out
+
+
 def valid_vectors(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     e = F.col(embedding).cast("array<double>")
     bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists(e, lambda x: x != 0)
-    return (df.select(F.col(vec_id).cast("long").alias("vec_id"), e.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
-            .filter(~bad & some).select("vec_id", "v", F.xxhash64(F.lit(3), "v").alias("k1"), F.xxhash64(F.lit(5), "v").alias("k2")))
+    good = df.select(F.col(vec_id).cast("long").alias("vec_id"), e.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(~bad & some)
+    return good
+
+
+def of_one_length(good: DataFrame) -> tuple[DataFrame, int]:
+    """``(vec_id, v, k1, k2)`` with zeros up to the longest vector's length, and that length."""
+    dim = good.agg(F.max(F.size("v"))).first()[0] or 0
+    v = F.when(F.size("v") < dim, F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("v")))).otherwise(F.col("v"))
+    return good.select("vec_id", v.alias("v")).select("vec_id", "v", F.xxhash64(F.lit(3), "v").alias("k1"), F.xxhash64(F.lit(5), "v").alias("k2")), dim
 
 
 def nearest(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 5, every: int = 50,
@@ -80,7 +108,7 @@ def nearest(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest by cosine of each row whose id is divisible by ``every``."""
     spark = df.sparkSession
     ship(spark)
-    rows = valid_vectors(df, vec_id, embedding)
+    rows, dim = of_one_length(valid_vectors(df, vec_id, embedding))
     first = Window.partitionBy("k1", "k2").orderBy("vec_id")
     few = rows.dropDuplicates(["vec_id", "k1", "k2"]).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1)
     entries = materialize(few.groupBy("k1", "k2").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
@@ -89,17 +117,14 @@ def nearest(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     if not n:
         return empty
     share = min(1.0, SAMPLE / n)
-    sample = entries.filter(F.pmod("k2", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("k1", "k2").limit(SAMPLE).select("v").toPandas()["v"].tolist()
-    sizes = pd.Series([len(x) for x in sample]).value_counts()
-    dim = int(sizes.index[0])
-    entries = entries.filter(F.size("v") == dim)
-    model = spark.sparkContext.broadcast(fit(unit([x for x in sample if len(x) == dim]), n))
+    sample = entries.filter(F.pmod("k2", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("k1", "k2").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
+    model = spark.sparkContext.broadcast(fit(unit(sample, dim), n))
 
     def index(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            near, codes = encode(model.value, unit(batch.column(2).to_pylist()))
+            near, codes = encode(model.value, unit(batch.column(2), dim))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["k1", "k2", "list", "codes"])
 
     coded = materialize(entries.select("k1", "k2", "v").mapInArrow(index, "k1 long, k2 long, list int, codes binary"))
@@ -113,34 +138,26 @@ def nearest(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
             part, room = part + int(several[c]), SPLIT
         else:
             room -= sizes[c]
-    of_list = lambda numbers: F.array(*(F.lit(int(x)) for x in numbers[:max(sizes) + 1]))[F.col("list")]
-    queries = materialize(rows.filter((F.pmod("vec_id", F.lit(every)) == 0) & (F.size("v") == dim)).dropDuplicates(["vec_id", "k1", "k2"]))
+    of_list = spark.createDataFrame([(c, int(first[c]), int(several[c])) for c in sorted(sizes)], "list int, first int, several int")  # LISTS rows at most
+    queries = materialize(rows.filter(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "k1", "k2"]))
     vectors = materialize(queries.groupBy("k1", "k2").agg(F.first("v").alias("v"), F.count("*").alias("n")))
     blocks = max(1, -(-vectors.count() // QUERIES))
-    index_rows = coded.withColumn("part", (of_list(first) + F.pmod("k1", of_list(several))).cast("int")).withColumn(
+    index_rows = coded.join(F.broadcast(of_list), "list").withColumn("part", (F.col("first") + F.pmod("k1", F.col("several"))).cast("int")).drop("first", "several").withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def visit(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, c = unit(batch.column(2).to_pylist()), model.value["coarse"]
-            probes = max(1, int(np.ceil(share_probed * len(c))))
-            order = np.argsort(-(x @ c.T - 0.5 * (c * c).sum(1)), axis=1, kind="stable")[:, :probes]
-            at, parts, lists = [], [], []
-            for i, row in enumerate(order.tolist()):
-                by_part: dict[int, list[int]] = {}
-                for l in row:
-                    if l in sizes:
-                        for p in range(first[l], first[l] + several[l]):
-                            by_part.setdefault(int(p), []).append(l)
-                at += [i] * len(by_part)
-                parts += by_part
-                lists += by_part.values()
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(j).take(take) for j in range(3)), pa.array(parts, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["q1", "q2", "q", "part", "lists"])
-
-    probing = vectors.select("k1", "k2", "v").mapInArrow(visit, "q1 long, q2 long, q array<double>, part int, lists array<int>").withColumn(
+            for at in range(0, batch.num_rows, CHUNK):
+                some = batch.slice(at, CHUNK)
+                row, parts = [], []
+                for i, mask in enumerate(probes_of(model.value, unit(some.column(2), dim), share_probed)):
+                    found = {int(p) for l in np.flatnonzero(mask).tolist() if l in sizes for p in range(first[l], first[l] + several[l])}
+                    row += [i] * len(found)
+                    parts += sorted(found)
+                take = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(some.column(j).take(take) for j in range(3)), pa.array(parts, pa.int32())], ["q1", "q2", "q", "part"])
+
+    probing = vectors.select("k1", "k2", "v").mapInArrow(visit, "q1 long, q2 long, q array<double>, part int").withColumn(
         "block", F.pmod(F.xxhash64("q1", "q2"), F.lit(blocks)).cast("int"))
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -150,18 +167,18 @@ def nearest(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
             left = left.sort_values(["list", "k1", "k2"], ignore_index=True)
             codes = np.frombuffer(b"".join(left["codes"]), np.uint8).reshape(len(left), -1).T.copy()
             there = left["list"].to_numpy()
-            bounds = np.searchsorted(there, np.arange(len(m["coarse"]) + 1))
-            x = unit(right["q"].tolist())
-            base = x @ m["coarse"].T
-            tables = [x[:, s] @ b.T for s, b in zip(m["cuts"], m["books"])]
             k1, k2, q1, q2 = (d[c].to_numpy() for d, c in ((left, "k1"), (left, "k2"), (right, "q1"), (right, "q2")))
-            for i, lists in enumerate(right["lists"]):
-                at = np.concatenate([np.arange(bounds[l], bounds[l + 1]) for l in lists])
-                score = base[i][there[at]]
-                for j, t in enumerate(tables):
-                    score += t[i][codes[j][at]]
-                top = np.argpartition(-score, rerank)[:rerank] if len(score) > rerank else np.arange(len(score))
-                out.append(pd.DataFrame({"q1": q1[i], "q2": q2[i], "k1": k1[at[top]], "k2": k2[at[top]], "near": score[top]}))
+            for start in range(0, len(right), 256):
+                x = unit(right["q"].iloc[start:start + 256].tolist(), dim)
+                mask, base = probes_of(m, x, share_probed), x @ m["coarse"].T
+                tables = [x[:, s] @ b.T for s, b in zip(m["cuts"], m["books"])]
+                for i in range(len(x)):
+                    at = np.flatnonzero(mask[i][there])
+                    score = base[i][there[at]]
+                    for j, t in enumerate(tables):
+                        score += t[i][codes[j][at]]
+                    top = np.argpartition(-score, rerank)[:rerank] if len(score) > rerank else np.arange(len(score))
+                    out.append(pd.DataFrame({"q1": q1[start + i], "q2": q2[start + i], "k1": k1[at[top]], "k2": k2[at[top]], "near": score[top]}))
         return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="float64" if c == "near" else "int64") for c in ("q1", "q2", "k1", "k2", "near")})
 
     near = index_rows.groupBy("part", "block").cogroup(probing.groupBy("part", "block")).applyInPandas(scan, "q1 long, q2 long, k1 long, k2 long, near double")
