@@ -389,7 +389,7 @@ PART_FIELDS = [{"field": "p_name", "scorer": "jaro_winkler", "weight": 2.0}, {"f
 FROM c JOIN part a ON a.p_partkey = id_a JOIN part b ON b.p_partkey = id_b) SELECT id_a, id_b, round(s, 6) AS score FROM s WHERE s >= 0.85""")
 def weighted_match(spark, sf_dir):
     df = table(spark, sf_dir, "part", "p_partkey")
-    return S.weighted_scores(B.static_pairs(df, PART_KEYS), df, PART_FIELDS, 0.85).withColumn("score", F.round("score", 6))
+    return S.score_rows(B.block_rows(df, PART_KEYS, [f["field"] for f in PART_FIELDS]), PART_FIELDS, 0.85).withColumn("score", F.round("score", 6))
 
 
 @query("""WITH s AS (SELECT s_suppkey AS t, c_custkey AS r, jaro_winkler_similarity(s_name, c_name) AS s FROM supplier JOIN customer ON s_nationkey = c_nationkey), k AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY s DESC, r) AS n FROM s WHERE s >= 0.6)

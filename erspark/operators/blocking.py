@@ -46,6 +46,7 @@ def exact_links(df: DataFrame, key: Column | str, id_col: str = ID, cross: str |
     """
     k = F.col(key) if isinstance(key, str) else key
     keyed = df.select(k.alias("key"), F.col(id_col).alias("id"), *([F.col(cross).alias("x")] if cross else [])).filter("key is not null")
+    keyed = materialize(keyed)  # keys may be dear, and are read twice
     if not cross:
         sized = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")).filter("n > 1"))
         total = sized.agg(F.sum("n")).first()[0] or 0
@@ -98,7 +99,38 @@ def pairs_of_keys(keys: DataFrame, max_size: int | None = None, min_size: int =
 
 def static_pairs(df: DataFrame, keys: list[dict], id_col: str = ID, max_size: int | None = None) -> DataFrame:
     """Static and multi-pass blocking: the union of all passes; oversized blocks go if a size is given."""
-    return pairs_of_keys(key_relation(df, keys, id_col), max_size)
+    return pairs_of_keys(key_relation(df, keys, id_col), max_size, unique=len(keys) == 1)
+
+
+def _keyed_rows(df: DataFrame, passes: list[dict], columns: list[str], id_col: str) -> DataFrame:
+    """``(pass, key, id, r, ks)``: the key relation with the columns as ``r`` and all keys of the row as ``ks``."""
+    steps = lambda p: p.get("steps") or [(c, p.get("transforms", [])) for c in p["fields"]]
+    base = df.select(F.col(id_col).alias("id"), F.struct(*(F.col(f"`{c}`") for c in dict.fromkeys(columns))).alias("r"), F.array(*(matchkey_column(steps(p)) for p in passes)).alias("ks"))
+    return base.select("id", "r", "ks", F.posexplode("ks").alias("pass", "key")).filter("key is not null")
+
+
+def _once(both: DataFrame, passes: int, columns: list[str]) -> DataFrame:
+    """Pairs at the first pass whose keys they share, with the columns of both rows as a_name and b_name."""
+    again = reduce(lambda x, q: x | ((F.col("pass") > q) & F.coalesce(F.get("ks_a", F.lit(q)) == F.get("ks_b", F.lit(q)), F.lit(False))), range(passes - 1), F.lit(False))
+    return both.filter(~again).select("id_a", "id_b", *(F.col(f"r_{s}.`{c}`").alias(f"{s}_{c}") for s in "ab" for c in dict.fromkeys(columns)))
+
+
+def block_rows(df: DataFrame, passes: list[dict], columns: list[str], id_col: str = ID) -> DataFrame:
+    """Pairs that share a key, each once, with ``columns`` of both rows as a_name and b_name.
+
+    Rows travel to their blocks with the columns; pairs, of which there are many more, are never joined or shuffled, so
+    what follows (filters, scores) thins them out where they arise.
+    """
+    keys = _keyed_rows(df, passes, columns, id_col)
+    both = pairs_of_keys(keys.withColumn("p", F.col("pass")), extra=["r", "ks", "p"], unique=True)
+    return _once(both.withColumnRenamed("p_a", "pass"), len(passes), columns)
+
+
+def cross_rows(target: DataFrame, reference: DataFrame, passes: list[dict], columns: list[str], id_col: str = ID) -> DataFrame:
+    """``block_rows`` of two tables: ``id_a`` of the one, ``id_b`` of the other."""
+    t, r = (_keyed_rows(d, passes, columns, id_col).select("pass", "key", F.col("id").alias(f"id_{s}"), F.struct(F.col("r"), F.col("ks")).alias(f"w_{s}")) for d, s in ((target, "a"), (reference, "b")))
+    both = grid_join(t, r, "id_a", "id_b", ["w_a"], ["w_b"])
+    return _once(both.select("pass", "id_a", "id_b", *(F.col(f"w_{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("r", "ks"))), len(passes), columns)
 
 
 def adaptive_keys(df: DataFrame, keys: list[dict], sub_keys: list[dict], max_size: int, id_col: str = ID, depth: int = 3) -> DataFrame:
@@ -309,16 +341,18 @@ def hybrid_candidates(*relations: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [r.select("id_a", "id_b") for r in relations]).distinct()
 
 
-def grid_join(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs ``(a, b)`` of two key relations ``(pass, key, id)``, whose ids are called so, that share a key."""
+def grid_join(left: DataFrame, right: DataFrame, a: str, b: str, more_a: list[str] | None = None, more_b: list[str] | None = None) -> DataFrame:
+    """Pairs ``(a, b)`` of two key relations ``(pass, key, id)``, whose ids are called so, that share a key; with columns of either they come with ``pass``."""
+    more_a, more_b = more_a or [], more_b or []
     count = lambda d, n: d.groupBy("pass", "key").agg(F.count("*").alias(n))
     parts = lambda n: F.ceil(F.col(n) / SALT_ROWS).cast("int")
     sizes = count(left, "nt").join(count(right, "nr"), ["pass", "key"]).select("pass", "key", parts("nt").alias("pt"), parts("nr").alias("pr"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    x = left.join(sizes, ["pass", "key"]).select("pass", "key", a, own(a, "pt").alias("i"), every("pr").alias("j"))
-    y = right.join(sizes, ["pass", "key"]).select("pass", "key", b, own(b, "pr").alias("j"), every("pt").alias("i"))
-    return x.join(y, ["pass", "key", "i", "j"]).select(a, b)
+    x = left.join(sizes, ["pass", "key"]).select("pass", "key", a, *more_a, own(a, "pt").alias("i"), every("pr").alias("j"))
+    y = right.join(sizes, ["pass", "key"]).select("pass", "key", b, *more_b, own(b, "pr").alias("j"), every("pt").alias("i"))
+    both = x.join(y, ["pass", "key", "i", "j"])
+    return both.select("pass", a, b, *more_a, *more_b) if more_a or more_b else both.select(a, b)
 
 
 def cross_pairs(target: DataFrame, reference: DataFrame, keys: list[dict], id_col: str = ID, limit: int | None = None) -> DataFrame:

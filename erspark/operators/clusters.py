@@ -39,37 +39,32 @@ def split_cluster(edges: list[tuple[int, int, float]], members: list[int], max_s
         if root(a) != root(b):
             parent[root(a)] = root(b)
             tree.append((a, b, s))
-    near: dict[int, dict[int, float]] = {m: {} for m in members}
-    for a, b, s in tree:
-        near[a][b] = near[b][a] = s
-
-    def part(start):
-        seen, todo = {start}, [start]
-        while todo:
-            for y in near[todo.pop()]:
-                if y not in seen:
-                    seen.add(y)
-                    todo.append(y)
-        return seen
-
-    out, todo = {}, [set(members)]
+    # the tree put together from its strongest edge to its weakest: the top of each part is the edge that is cut first
+    parent = {m: m for m in members}
+    made: dict[int, tuple] = {m: (m, 1, m) for m in members}  # of each root: its tree (a member, or two trees), size and least member
+    for a, b, s in sorted(tree, key=lambda e: (e[2], e[0], e[1]), reverse=True):
+        x, y = root(a), root(b)
+        parent[x] = y
+        made[y] = ((made[x], made[y]), made[x][1] + made[y][1], min(made[x][2], made[y][2]))
+        del made[x]
+    out, todo = {}, [(t, None) for t in made.values()]
     while todo:
-        p = todo.pop()
-        inside = [(s, a, b) for a in p for b, s in near[a].items() if a < b]
-        if len(p) <= max_size or not inside:
-            out.update(dict.fromkeys(p, min(p)))
+        (what, size, least), name = todo.pop()
+        if not isinstance(what, tuple):
+            out[what] = least if name is None else name
             continue
-        s, a, b = min(inside)
-        del near[a][b], near[b][a]
-        first = part(a)
-        todo += [first, p - first]
+        if name is None and size <= max_size:
+            name = least
+        todo += [(t, name) for t in what]
     return out
 
 
 def split_oversized(membership: DataFrame, pairs: DataFrame, max_size: int) -> tuple[DataFrame, DataFrame]:
     """(membership, ids of clusters that a split made); only oversized clusters leave the plan of built-ins."""
     ship(membership.sparkSession)
-    big = membership.groupBy(CID).count().filter(F.col("count") > max_size).select(CID)
+    big = materialize(membership.groupBy(CID).count().filter(F.col("count") > max_size).select(CID))
+    if big.isEmpty():
+        return membership, big
     rows = materialize(membership.join(big, CID, "left_semi"))
     edges = materialize(pairs.join(rows.select(F.col(ID).alias("id_a"), CID), "id_a").select(CID, "id_a", "id_b", "score"))
 
@@ -105,8 +100,8 @@ def build_clusters(pairs: DataFrame, ids: DataFrame | None = None, max_size: int
     """(membership, clusters) of scored pairs."""
     members, split = materialize(membership_of(pairs, ids)), None
     if auto_split:
-        members, split = split_oversized(members, pairs, max_size)
-        members = materialize(members)
+        parted, split = split_oversized(members, pairs, max_size)
+        members = parted if parted is members else materialize(parted)
     return members, cluster_stats(members, pairs, max_size, weak, split)
 
 
