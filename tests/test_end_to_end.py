@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from erspark import api, catalog
 from erspark.operators.clusters import CID, ID
-from erspark.plans.config import Blocking, BlockKey, Config, Matchkey, MatchField, config_of
-from erspark.streaming.incremental import Resolver, match_one
+from erspark.plans.config import Blocking, BlockKey, Canopy, Config, Matchkey, MatchField, config_of
+from erspark.sources.connectors import materialize_table
+from erspark.streaming.incremental import Resolver, match_one, match_one_near
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,8 +51,6 @@ def test_probabilistic_dedupe(spark):
 
 @pytest.mark.parametrize("strategy", ["multi_pass", "adaptive", "sorted_neighborhood", "learned", "canopy"])
 def test_blocking_strategies_run(people, strategy):
-    from erspark.plans.config import Canopy
-
     plan = Blocking(keys=[BlockKey(["zip"])], strategy=strategy, passes=[BlockKey(["zip"])], sub_block_keys=[BlockKey(["last_name"])], sort_key=[BlockKey(["last_name"])], canopy=Canopy(["last_name"]))
     r = api.dedupe_df(people, Config([Matchkey("w", "weighted", [MatchField("last_name", [], "levenshtein", 1.0)], 0.9)], plan))
     assert r.report.first().matched_records >= 2
@@ -82,6 +81,74 @@ def test_match_one(spark):
     assert [r[ID] for r in got] == [0, 1]
 
 
+PLANS = {
+    "static": Blocking([BlockKey(["zip"])]), "multi_pass": Blocking(strategy="multi_pass", passes=[BlockKey(["zip"]), BlockKey(["last_name"])]),
+    "adaptive": Blocking([BlockKey(["zip"])], "adaptive", max_block_size=2, sub_block_keys=[BlockKey(["last_name"])]), "sorted_neighborhood": Blocking(strategy="sorted_neighborhood", sort_key=[BlockKey(["last_name"])]),
+    "canopy": Blocking(strategy="canopy", canopy=Canopy(["last_name"])), "learned": Blocking([BlockKey(["zip"])], "learned"), "suggested": Blocking(auto_suggest=True),
+    "selected": Blocking([BlockKey(["zip"]), BlockKey(["last_name"])], auto_select=True),
+}
+
+
+@pytest.mark.parametrize("plan, kind", [*((p, "weighted") for p in sorted(PLANS)), ("static", "probabilistic"), ("adaptive", "probabilistic")])
+def test_match_by_any_plan(people, plan, kind):
+    fields = [MatchField("last_name", ["lowercase"], "jaro_winkler", 1.0)]
+    config = Config([Matchkey("email", "exact", [MatchField("email", ["lowercase"])]), Matchkey("k", kind, fields, 0.9 if kind == "weighted" else None)], PLANS[plan])
+    m = api.match_df(people.filter("first_name in ('john', 'Ann')"), people.filter("first_name in ('John', 'Jon', 'Jane')"), config, mode="all")
+    got = {(r.target_first_name, r.ref_first_name): r["__match_score__"] for r in m.matches.collect()}
+    assert got["john", "John"] == 1.0
+    if kind == "weighted":
+        assert set(got) == {("john", "John"), ("john", "Jon")} and m.unmatched.count() == 1
+
+
+def test_match_by_sub_blocks_and_rerank(people):
+    config = Config([Matchkey("k", "weighted", [MatchField("last_name", [], "levenshtein", 1.0)], 0.9, rerank=True)], Blocking([BlockKey(["zip"])], max_block_size=1, sub_block_column="last_name"))
+    assert api.dedupe_df(people, config).report.first().matched_records == 3
+
+
+def test_resolver_of_probabilistic_keys_and_any_plan(spark, tmp_path):
+    rows = [(i, f"name{i % 20}", f"city{i % 4}", str(i % 20)) for i in range(60)]
+    df = spark.createDataFrame(rows, f"{ID} long, name string, city string, code string")
+    fields = [MatchField("name", [], "jaro_winkler", levels=3), MatchField("code", [], "exact")]
+    for k, plan in enumerate((Blocking([BlockKey(["city"])]), Blocking(strategy="sorted_neighborhood", sort_key=[BlockKey(["name"])]))):
+        state = Resolver(spark, f"file://{tmp_path}/s{k}", Config([Matchkey("fs", "probabilistic", fields, link_threshold=0.99)], plan))
+        for part in range(2):
+            state.process(df.filter(F.col(ID) % 2 == part), part)
+        members = state.membership().collect()
+        assert len(members) == 60 and state.stats["errors"] == 0 and state.stats["rate"] > 0
+        assert all(r[ID] % 20 == r[CID] % 20 for r in members)
+
+
+def test_sync_and_versions(spark, people, tmp_path):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(people.collect())], f"{ID} long, first_name string, last_name string, email string, zip string")
+    config = config_of(exact=["email"])
+    state = Resolver(spark, f"file://{tmp_path}/state", config, reconciling=True)
+    assert state.sync(df.filter(f"{ID} < 1")) == "full" and state.sync(df.filter(f"{ID} < 1")) == "nothing" and state.sync(df) == "new"
+    assert state.cluster_of(1) == 0 and state.members_of(0).count() == 2
+    gold = {(r[CID], r["__version__"]): r["__is_current__"] for r in state.golden().collect()}
+    assert gold[0, 1] is False and gold[0, 2] is True and gold[2, 1] is True
+    other = Resolver(spark, f"file://{tmp_path}/state", config_of(exact=["zip"]), reconciling=True)
+    assert other.sync(df) == "full" and other.cluster_of(3) == 0
+
+
+def test_jobs_and_tables(spark, people, tmp_path):
+    jobs = api.Jobs(spark)
+    people.createOrReplaceTempView("people_in")
+    jobs.dedupe("j", "people_in", exact=["email"])
+    assert spark.sql("SELECT count(*) FROM j_membership").first()[0] == 5 and jobs.status("j") == "done" and jobs.status("k") == "unknown"
+    jobs.match("m", people, people, exact=["email"])
+    assert {r.job for r in jobs.list().collect()} == {"j", "m"} and jobs.get("m", "matches").count() == 5
+    with pytest.raises(ValueError):
+        api.gate(spark.createDataFrame([(1, 2)], "id_a long, id_b long"), spark.createDataFrame([(3, 4)], "id_a long, id_b long"), min_f1=0.5)
+    materialize_table(spark, "people_in", "people_golden", exact=["email"])
+    assert spark.table("people_golden").count() == 1
+
+
+def test_near_record(spark):
+    df = spark.createDataFrame([(0, "Smith", [1.0, 0.0]), (1, "Smyth", [0.9, 0.1]), (2, "Smith", [0.0, 1.0])], f"{ID} long, name string, v array<double>")
+    got = match_one_near(df, {"name": "Smith"}, [1.0, 0.0], "v", [{"field": "name", "scorer": "jaro_winkler", "weight": 1.0}], 0.5, k=2).collect()
+    assert [r[ID] for r in got] == [0, 1]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
