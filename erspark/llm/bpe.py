@@ -10,8 +10,9 @@ word ends ("</w>") over lower-cased NFC text without white space.
 
 Defined cases: a null text is an empty one and has no ids; strings of special tokens in a text
 become their ids, as in the tokenizers library; texts of any length are worked through in
-pieces cut before a single space between a letter and a letter, where words never join; input
-columns named like an output are replaced; an empty table gives an empty one.
+pieces cut where words never join (before white space, and between letters, digits and punctuation), so a piece is longer than
+BLOCK only if a single run without such a place is; input columns named like an output are replaced; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from erspark.plans.runtime import ship
+from erspark.plans.runtime import ship, without
 
 #: Characters worked on at once, and words that a worker remembers.
 BLOCK, REMEMBER = 1 << 20, 500_000
@@ -45,7 +46,10 @@ UNICODE_16 = (
     (0x16130, 0x16139, NUMBER), (0x16D40, 0x16D6C, LETTER), (0x16D70, 0x16D79, NUMBER), (0x18CFF, 0x18CFF, LETTER), (0x1CCF0, 0x1CCF9, NUMBER),
     (0x1E5D0, 0x1E5ED, LETTER), (0x1E5F0, 0x1E5F0, LETTER), (0x1E5F1, 0x1E5FA, NUMBER),
 )
-CUT = re.compile(r"[A-Za-z](?= [A-Za-z])")
+#: Where a text may be cut: no word reaches from a character in white space, nor from one class into another,
+#: apart from quotes; combining marks, which may join the letter before them, are not among these characters.
+HAN = "\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff"
+CUT = re.compile(rf"[A-Za-z0-9+/={HAN}](?=[ \n\t\r])|[0-9](?=[A-Za-z{HAN}])|[A-Za-z{HAN}](?=[0-9.,;:!?()\u3001\u3002\uff0c\uff1b\uff1a\uff01\uff1f])")
 _classes = None
 
 
@@ -392,12 +396,15 @@ def id_arrays(lists: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(flat.astype(np.int32)))
 
 
-def bpe_encode(df: DataFrame, vocabulary: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``df`` with ``out``, the array<int> of ids of ``text`` in the file ``vocabulary``."""
+def bpe_encode(df: DataFrame, vocabulary: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``df`` with ``out``, the array<int> of ids of ``text`` in the file ``vocabulary``.
+
+    Under the name ``decoded``, if one is given, the same worker spells the ids again, as ``bpe_decode`` does.
+    """
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
-    df = df.drop(out)
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), True)])
+    df = without(df, *([n for n in (out, decoded) if n and n != text]))
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), True), *([T.StructField(decoded, T.StringType(), True)] if decoded else [])])
     place = df.columns.index(text)
 
     def run(batches):
@@ -407,16 +414,24 @@ def bpe_encode(df: DataFrame, vocabulary: str, text: str = "text", out: str = "i
             for lists in enc.encode(batch.column(place).to_pylist()):
                 part = batch.slice(done, len(lists))
                 done += len(lists)
-                yield pa.RecordBatch.from_arrays([*part.columns, id_arrays(lists)], [*batch.schema.names, out])
+                more = [pa.array([decode_ids(enc.v, x) for x in lists], pa.string())] if decoded else []
+                columns = [*part.columns, id_arrays(lists), *more]
+                yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
+
+    return _by_place(df, run, schema)
+
 
-    return df.mapInArrow(run, schema)
+def _by_place(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow`` for columns of whatever names, which are numbers meanwhile."""
+    numbered = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, numbered).toDF(*schema.names)
 
 
 def bpe_decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with ``out``, the text that column ``ids`` spells; null ids give an empty text."""
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
-    df = df.drop(out)
+    df = without(df, out) if out != ids else df
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType(), True)])
     place = df.columns.index(ids)
 
@@ -425,9 +440,10 @@ def bpe_decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "dec
         for batch in batches:
             column = batch.column(place)
             texts = [decode_ids(v, column[i].values.to_numpy(zero_copy_only=False)) if column[i].is_valid else "" for i in range(len(column))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
+            columns = [*batch.columns, pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
 
-    return df.mapInArrow(run, schema)
+    return _by_place(df, run, schema)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
@@ -435,6 +451,6 @@ def op8(spark, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = bpe_decode(bpe_encode(docs, path).drop("text"), path)
+    both = bpe_encode(docs, path, decoded="decoded")
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
