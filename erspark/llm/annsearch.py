@@ -24,9 +24,9 @@ from pyspark.sql.window import Window
 
 from erspark.plans.runtime import join_split_hot, materialize, ship
 
-#: Share of the lists that a query visits, and entries measured exactly. Vectors without clusters spread their neighbours
+#: Share of the lists that a query visits, how many it visits at least, and entries measured exactly. Vectors without clusters spread their neighbours
 #: over many lists; README has the recall measured at several shares and sizes.
-PROBED, RERANK = 0.5, 192
+PROBED, LEAST, RERANK = 0.5, 64, 192
 #: Entries that centroids are fitted on, entries of a task, query vectors of a task, lists at most and entries a list
 #: at least, dimensions of a code, and vectors that are compared with centroids at once.
 SAMPLE, SPLIT, QUERIES, LISTS, IN_LIST, SUB, CHUNK = 20_000, 16_384, 4096, 4096, 8, 4, 1024
@@ -79,9 +79,9 @@ def unit(lists, dim: int) -> np.ndarray:
 
 
 def probes_of(model: dict, x: np.ndarray, share: float) -> np.ndarray:
-    """Whether each of the unit vectors visits each list: the ``share`` of lists whose centroids are nearest."""
+    """Whether each of the unit vectors visits each list: the ``share`` of lists, LEAST at least, whose centroids are nearest."""
     c = model["coarse"]
-    n = max(1, int(np.ceil(share * len(c))))
+    n = min(len(c), max(LEAST, int(np.ceil(share * len(c)))))
     near = x.astype(np.float32) @ c.T
     out = np.zeros(near.shape, bool)
     np.put_along_axis(out, np.argsort(-near, axis=1, kind="stable")[:, :n], True, axis=1)
