@@ -250,6 +250,21 @@ def brute_nearest(vectors, k=5):
     return out
 
 
+def test_nearest_of_tight_and_of_spread_vectors(spark):
+    """Groups so tight that their codes are equal, and vectors of many dimensions whose nearest lie in any list."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(10, 32))
+    tight = [(i, [float(x) for x in centres[i % 10] + 1e-3 * rng.normal(size=32)]) for i in range(5000)]
+    spread = [(i, [float(x) for x in rng.normal(size=192)]) for i in range(3000)]
+    for vectors in (tight, spread):
+        want = brute_nearest(vectors)
+        got = {}
+        for r in annsearch.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        hits = sum(len(set(got[q]) & {i for i, _ in found}) for q, found in want.items())
+        assert hits == sum(map(len, want.values()))
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(7)
     centres = rng.normal(size=(8, 16))
