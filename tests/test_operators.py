@@ -528,3 +528,10 @@ def test_header_far_down_and_longer_blocks(spark, tmp_path):
     assert got.columns == ["id", "n", "extra"] and rows_of(got) == [("1", "x", ""), ("2", "y", "z")]
     raw = spark.createDataFrame([("a\nb",), ("c\nd\ne\nf",)], "value string")
     assert len(files.parse_blocks(raw).columns) == 4
+
+
+def test_entities_end_where_ascii_words_end(spark):
+    """As in the query's SQL: a letter with an accent is no letter of a word there, a vertical tab no space."""
+    df = spark.createDataFrame([(1, "at 3280 zuch st\u00e4ng and 5 Oak Street"), (2, "zip 12345\u00e9"), (3, "7 Elm\x0bStreet")], "doc_id long, text string")
+    got = {r.doc_id: (r.zip, r.address) for r in files.extract_entities(df, ["doc_id"], kinds=("email", "phone", "zip", "address")).collect()}
+    assert got == {1: ("", "3280 zuch st\u00e4ng and 5 Oak Street"[:12]), 2: ("12345", "")}
