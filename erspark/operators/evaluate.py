@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from erspark.operators.blocking import pairs_of_keys
+from erspark.operators.blocking import class_rows, pairs_of_keys, pairs_within
 from erspark.operators.clusters import CID, ID, membership_of
 from erspark.plans.runtime import materialize
 
@@ -31,7 +31,17 @@ def cluster_pairs(membership: DataFrame) -> DataFrame:
 def evaluate_pairs(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: tp, fp, fn, precision, recall, f1."""
     p, t = canonical(predicted).withColumn("p", F.lit(1)), canonical(truth).withColumn("t", F.lit(1))
-    both = p.join(t, ["id_a", "id_b"], "full").agg(F.count_if(F.expr("p = 1 and t = 1")).alias("tp"), F.count_if(F.expr("p = 1 and t is null")).alias("fp"), F.count_if(F.expr("p is null and t = 1")).alias("fn"))
+    return _measures(p.join(t, ["id_a", "id_b"], "full").agg(F.count_if(F.expr("p = 1 and t = 1")).alias("tp"), F.count_if(F.expr("p = 1 and t is null")).alias("fp"), F.count_if(F.expr("p is null and t = 1")).alias("fn")))
+
+
+def evaluate_keys(df: DataFrame, predicted: list[dict], truth: list[dict], id_col: str = ID) -> DataFrame:
+    """``evaluate_pairs`` where both are the pairs that share one of some keys: pairs are counted by classes of equal rows and never made."""
+    counts = lambda keys, unlike=None: class_rows(df, keys, [], id_col, unlike).agg(F.coalesce(F.sum(pairs_within()), F.lit(0).cast("long"))).first()[0]
+    n_p, n_t, fp = counts(predicted), counts(truth), counts(predicted, truth)
+    return _measures(df.sparkSession.createDataFrame([(n_p - fp, fp, n_t - n_p + fp)], "tp long, fp long, fn long"))
+
+
+def _measures(both: DataFrame) -> DataFrame:
     ratio = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 6)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return both.select("tp", "fp", "fn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
@@ -60,7 +70,8 @@ def compare_clusters(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def sensitivity(scored: DataFrame, ids: DataFrame, thresholds: list[float], baseline: float) -> DataFrame:
-    """Comparisons with the baseline's clusters over thresholds; candidates are scored once."""
+    """Comparisons with the baseline's clusters over thresholds; candidates are scored once. Links that have the components of all
+    pairs at every threshold, as ``star_links`` gives them, do."""
     scored = materialize(scored)
     base, out = materialize(membership_of(scored.filter(F.col("score") >= baseline), ids)), None
     for t in thresholds:
@@ -113,7 +124,10 @@ def valley(scored: DataFrame, bins: int = 100) -> float | None:
 
 
 def threshold_overlap(scored: DataFrame, threshold: float, band: float = 0.02) -> DataFrame:
-    return scored.agg(F.round(F.coalesce(F.avg(F.col("score").between(threshold - band, threshold + band).cast("double")), F.lit(0.0)), 6).alias("overlap"))
+    """The share of pairs within ``band`` of the threshold; a column ``pairs`` tells how many pairs a row stands for."""
+    times = F.col("pairs") if "pairs" in scored.columns else F.lit(1)
+    inside = F.sum(F.when(F.col("score").between(threshold - band, threshold + band), times).otherwise(0))
+    return scored.agg(F.round(F.coalesce(inside / F.sum(times), F.lit(0.0)), 6).alias("overlap"))
 
 
 def size_percentiles(sizes: DataFrame, column: str = "size") -> DataFrame:

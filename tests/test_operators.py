@@ -535,3 +535,44 @@ def test_entities_end_where_ascii_words_end(spark):
     df = spark.createDataFrame([(1, "at 3280 zuch st\u00e4ng and 5 Oak Street"), (2, "zip 12345\u00e9"), (3, "7 Elm\x0bStreet")], "doc_id long, text string")
     got = {r.doc_id: (r.zip, r.address) for r in files.extract_entities(df, ["doc_id"], kinds=("email", "phone", "zip", "address")).collect()}
     assert got == {1: ("", "3280 zuch st\u00e4ng and 5 Oak Street"[:12]), 2: ("12345", "")}
+
+
+def test_active_sample_mixes_its_strategies(spark):
+    """A pair whose scorers disagree is taken, strata have their share, and no pair is taken twice."""
+    rows = [(i, i + 1000, i / 1000, i / 1000, i / 1000) for i in range(1000)] + [(5000 + i, 6000, 0.05, 1.0, 0.0) for i in range(4)]
+    scored = spark.createDataFrame(rows, "id_a long, id_b long, score double, x double, y double")
+    got = S.active_sample(scored, 20, "combined", 0.5, ["x", "y"]).collect()
+    assert len({(r.id_a, r.id_b) for r in got}) == len(got) == 20
+    assert {5000, 5001, 5002, 5003} <= {r.id_a for r in got}
+    assert {496, 500, 503, 497} <= {r.id_a for r in got}
+    assert sum(0.6 <= r.score <= 0.9 for r in got) >= 4
+    assert all(any(low <= r.score < high for r in got) for low, high in ((0, 0.3), (0.3, 0.5), (0.5, 0.7), (0.7, 0.85), (0.85, 1.1)))
+    assert [r.id_a for r in S.active_sample(scored, 3, "disagreement", features=["x", "y"]).collect()] == [5000, 5001, 5002]
+    assert S.active_sample(scored, 2000, "diversity").count() == 1004
+
+
+def test_classes_of_equal_rows_stand_for_their_pairs(spark, monkeypatch):
+    """Pairs, counts, least pairs and links of classes are those of all pairs, by brute force; classes of many rows are several, and no pair meets a shuffle."""
+    monkeypatch.setattr(B, "CLASS_ROWS", 4)
+    rng = random.Random(3)
+    rows = [(i, rng.choice("abc"), rng.choice(["x", "y", None]), rng.choice(["p", "q"])) for i in range(120)]
+    df = spark.createDataFrame(rows, f"{ID} long, k string, l string, v string")
+    keys, not_ = [{"fields": ["k"]}, {"fields": ["l"]}], [{"fields": ["v"]}]
+    share = lambda a, b, c: a[c] is not None and a[c] == b[c]
+    every = {(a[0], b[0]): (a, b) for a in rows for b in rows if a[0] < b[0]}
+    want = {p for p, (a, b) in every.items() if share(a, b, 1) or share(a, b, 2)}
+    assert sorted((r.id_a, r.id_b) for r in B.static_pairs(df, keys).collect()) == sorted(want)
+    assert sorted((r.id_a, r.id_b) for r in B.static_pairs(df, keys, unlike=not_).collect()) == sorted(p for p in want if not share(*every[p], 3))
+    cls = B.class_rows(df, keys, ["v"])
+    assert {(r.id_a, r.id_b): (r.a_v, r.b_v) for r in B.expand(cls).collect()} == {p: (every[p][0][3], every[p][1][3]) for p in want}
+    assert cls.select(F.sum(B.pairs_within())).first()[0] == len(want)
+    least = B.least_pairs(cls).collect()
+    assert sum(r.pairs for r in least) == len(want) and all((r.id_a, r.id_b) in want for r in least if r.pairs)
+    ab = cls.filter("a_v = 'p' and b_v = 'q'")
+    assert {tuple(r) for r in connected_components(B.star_links(ab)).collect()} == {tuple(r) for r in connected_components(B.expand(ab)).collect()}
+    cross = B.cross_rows(df.filter(f"{ID} % 2 = 0"), df.filter(f"{ID} % 2 = 1"), keys, ["v"])
+    assert sorted((r.id_a, r.id_b) for r in cross.collect()) == sorted((a, b) for a in range(0, 120, 2) for b in range(1, 120, 2) if (min(a, b), max(a, b)) in want)
+    one, two = B.static_pairs(df, keys), B.static_pairs(df, not_)
+    assert E.evaluate_keys(df, keys, not_).collect() == E.evaluate_pairs(one, two).collect()
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[id_a" not in plan
