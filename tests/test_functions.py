@@ -122,3 +122,23 @@ def test_hashing_embedding(spark):
 def test_sql_functions(spark):
     sim.register_sql(spark)
     assert spark.sql("SELECT er_score('a', 'a', 'exact') AS s, er_score(NULL, 'a', 'exact') AS n, er_metaphone('Smith') AS m").first() == (1.0, 0.0, "SM0")
+
+
+def test_grams_of_filters_are_hashed_once():
+    """Many texts of the same grams cost few digests, and filters are the same as gram by gram."""
+    import hashlib
+    import hmac
+
+    from erspark.functions.transforms import clk, gram_bits
+
+    gram_bits.cache_clear()
+    values = [f"customer#{i:09d}" for i in range(2000)]
+    got = [clk(v, 2, 30, 1024, "key") for v in values]
+    assert gram_bits.cache_info().misses < 150
+    for v in values[:3]:
+        out = bytearray(128)
+        for g in {v[i:i + 2] for i in range(len(v) - 1)}:
+            for j in range(30):
+                p = int.from_bytes(hmac.new(f"key:{j}".encode(), g.encode(), hashlib.sha256).digest(), "big") % 1024
+                out[p // 8] |= 1 << (p % 8)
+        assert got[values.index(v)] == out.hex()
