@@ -167,3 +167,28 @@ def test_sql_counterparts(spark, name):
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
     assert got == sorted(repr(tuple(dict(zip(names, r))[c] for c in columns)) for r in cursor.fetchall())
+
+
+def test_matching_by_classes_is_matching_by_rows(spark):
+    """Rows alike are compared once for all; matches, best ones and targets without one are those of all pairs, for keys of any plan, and no pair is shuffled."""
+    import random
+
+    from erspark.functions.similarity import jaro_winkler
+    from erspark.plans.pipeline import match
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["anna", "annie", "bob", "zed"]), rng.choice("xyz"), rng.choice("pq")) for i in range(160)]
+    df = spark.createDataFrame(rows, "__row_id__ long, name string, k string, l string")
+    t, r = df.filter("__row_id__ % 4 = 0 and name <> 'zed' or __row_id__ = 3"), df.filter("__row_id__ % 4 <> 0 and __row_id__ <> 3 and name <> 'zed'")
+    left, right = ([rows[x["__row_id__"]] for x in d.collect()] for d in (t, r))
+    key = Matchkey("n", "weighted", [MatchField("name", [], "jaro_winkler", 1.0)], 0.8)
+    for plan, meet in ((Blocking([BlockKey(["k"])]), lambda a, b: a[2] == b[2]), (Blocking(strategy="multi_pass", passes=[BlockKey(["k"]), BlockKey(["l"])]), lambda a, b: a[2] == b[2] or a[3] == b[3]),
+                       (Blocking([BlockKey(["k"])], "adaptive", max_block_size=2, sub_block_keys=[BlockKey(["l"])]), lambda a, b: a[2:] == b[2:])):
+        want = {(a[0], b[0]): jaro_winkler(a[1], b[1]) for a in left for b in right if meet(a, b) and jaro_winkler(a[1], b[1]) >= 0.8}
+        out = match(t, r, Config([key], plan, auto_fix=False), "all")
+        assert sorted((x[0], x[1]) for x in out.scored.collect()) == sorted(want) and out.matches.count() == len(want)
+        assert "keys=[id_a" not in out.scored._jdf.queryExecution().executedPlan().toString()
+        assert {x["__row_id__"] for x in out.unmatched.collect()} == {a[0] for a in left} - {a for a, _ in want}
+        best = match(t, r, Config([key], plan, auto_fix=False), "best")
+        first = {a: min((-s, j) for (i, j), s in want.items() if i == a)[1] for a, _ in want}
+        assert {x[0]: x[1] for x in best.scored.collect()} == first
