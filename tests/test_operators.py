@@ -576,3 +576,13 @@ def test_classes_of_equal_rows_stand_for_their_pairs(spark, monkeypatch):
     assert E.evaluate_keys(df, keys, not_).collect() == E.evaluate_pairs(one, two).collect()
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate(keys=[id_a" not in plan
+
+
+def test_blocks_of_vectors_are_rows_not_pairs(spark):
+    """The query has a row a vector, and its blocks are those of all pairs."""
+    from erspark import catalog
+
+    sf = "/root/testdata/sf0.01"
+    groups = {r.id: r.block for r in catalog.QUERIES["ann_block_pairs"](spark, sf).collect()}
+    pairs = {(r.id_a, r.id_b) for r in B.ann_blocks(catalog.table(spark, sf, "embeddings", "vec_id"), "embedding", k=3, threshold=0.4).collect()}
+    assert pairs == {(a, b) for a in groups for b in groups if a < b and groups[a] == groups[b]}
