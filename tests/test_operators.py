@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from erspark.functions import similarity as sim
 from erspark.operators import blocking as B
 from erspark.operators import cleaning as C
 from erspark.operators import clusters as K
@@ -314,6 +315,19 @@ def test_private_linkage(spark):
     assert pprl.auto_configure(a, b)["threshold"] >= 0.85
 
 
+def test_private_linkage_by_tiles(spark, monkeypatch):
+    monkeypatch.setattr(pprl, "TILE", 4)
+    names = [f"Person {i % 12:04d}" for i in range(30)] + ["", "\u00e9t\u00e9"]
+    df = spark.createDataFrame([(i, n, i % 2) for i, n in enumerate(names)], f"{ID} long, name string, part long")
+    other = df.select((F.col(ID) + 100).alias(ID), F.regexp_replace("name", "00", "01").alias("name"), "part")
+    code = lambda d, s: pprl.encode(d, ["name"], key="k").join(d.select(F.col(ID).alias("id"), "part"), "id").toDF(f"id_{s}", f"c_{s}", f"p_{s}")
+    for metric in ("dice", "jaccard"):
+        every = code(df, "a").crossJoin(code(other, "b")).select("id_a", "id_b", "p_a", "p_b", sim.score(F.col("c_a"), F.col("c_b"), metric).alias("s")).filter("s >= 0.6").collect()
+        for block in (None, ["part"]):
+            got = {(r.id_a, r.id_b): r.score for r in pprl.link(df, other, ["name"], 0.6, key="k", metric=metric, block=block).collect()}
+            assert got == {(r.id_a, r.id_b): r.s for r in every if not block or r.p_a == r.p_b}
+
+
 def test_graph_evidence_joins_entities(spark):
     customers = spark.createDataFrame([(0, "c1"), (1, "c2")], f"{ID} long, id string")
     orders = spark.createDataFrame([(0, "c1"), (1, "c2")], f"{ID} long, customer_id string")
