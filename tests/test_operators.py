@@ -18,6 +18,7 @@ from erspark.operators import golden as G
 from erspark.operators import judging as J
 from erspark.operators import pprl
 from erspark.operators import scoring as S
+from erspark.operators import vector_index
 from erspark.operators.components import connected_components
 from erspark.operators.entity_graph import resolve_graph
 from erspark.operators.reconcile import add_versions, reconcile
@@ -494,6 +495,23 @@ def test_vector_index(spark, tmp_path):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+def test_near_pairs_by_tiles(spark, monkeypatch):
+    monkeypatch.setattr(vector_index, "TILE", 16)
+    monkeypatch.setattr(vector_index, "CELLS", 40)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(40, 8)).astype(np.float32)
+    rows = [(i, [float(v) for v in x[i % 40]]) for i in range(110)] + [(900, [float("nan")] * 8), (901, [0.0] * 8)]
+    df = spark.createDataFrame(rows, f"{ID} long, v array<float>")
+    got = {(r.id_a, r.id_b): r.score for r in near_pairs(df, "v", 4, probes=1024).collect()}
+    x = x.astype(float)
+    cos = lambda i, j: np.cumsum(x[i] * x[j])[-1] / (np.sqrt(np.cumsum(x[i] * x[i])[-1]) * np.sqrt(np.cumsum(x[j] * x[j])[-1]))
+    want = {}
+    for i in range(110):
+        for s, j in sorted((-cos(i % 40, j % 40), j) for j in range(110) if j != i)[:4]:
+            want[min(i, j), max(i, j)] = -s
+    assert got == want
+
+
 def test_gates(spark):
     t = spark.createDataFrame([(1, 2), (3, 4)], "id_a long, id_b long")
     assert E.gates(E.evaluate_pairs(t, t), 0.9, 0.9, 0.9) == []
