@@ -12,6 +12,7 @@ from erspark.operators import blocking as B
 from erspark.operators import cleaning as C
 from erspark.operators import clusters as K
 from erspark.operators import domain as D
+from erspark.operators import entity_graph
 from erspark.operators import evaluate as E
 from erspark.operators import explain as X
 from erspark.operators import golden as G
@@ -337,6 +338,15 @@ def test_graph_evidence_joins_entities(spark):
     assert got["customers"].select(CID).distinct().count() == 1
 
 
+def test_evidence_of_classes_and_hubs(spark, monkeypatch):
+    monkeypatch.setattr(entity_graph, "FEW", 2)
+    refs = [(c, k) for k in range(12) for c in ((k % 3,), (k % 3, 3), (0, 1, 2, 3, 4))[min(2, k // 5)]] + [(5, 20), (5, 20), (6, 21)]
+    orders = spark.createDataFrame([(i, c, k) for i, (c, k) in enumerate(refs)], f"{ID} long, {CID} long, k long")
+    others = spark.createDataFrame([(100 + k, k) for k in range(22)], f"{ID} long, key long")
+    got = [(r.id_a, r.id_b) for r in entity_graph.evidence(orders.select(CID, ID), orders.select(ID, "k"), "k", others, "key").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(100 + j, 100 + k) for c, j in refs for d, k in refs if c == d and j < k}
+
+
 def test_row_ids_are_dense(spark):
     df = spark.range(100).repartition(7).select(F.col("id").alias("k"))
     assert sorted(r[ID] for r in files.add_row_ids(df, offset=5).collect()) == list(range(5, 105))
