@@ -170,6 +170,16 @@ def test_learned_rules(people):
     assert rules[0]["name"].endswith("(last_name)")
 
 
+def test_rules_measured_by_keys(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, *(rng.choice(["a", "b b", "B", "", None]) for _ in range(3))) for i in range(60)], f"{ID} long, x string, y string, z string")
+    truth = [{"fields": ["x"], "transforms": ["lowercase"]}, {"fields": ["y", "z"]}, {"fields": ["z"], "transforms": ["first_token"]}]
+    rules = [{"fields": ["x"], "transforms": []}, {"steps": [("y", ["lowercase"]), ("z", [])]}, {"fields": ["z"], "transforms": ["first_token"]}]
+    for keys in (truth[:1], truth):
+        by_pairs, by_keys = (sorted(B.evaluate_rules(df, rules, t).collect()) for t in (B.static_pairs(df, keys), keys))
+        assert by_pairs == by_keys and 0 < by_keys[0].recall
+
+
 def test_weighted_scores_skip_nulls(people):
     pairs = people.sparkSession.createDataFrame([(0, 1), (0, 2), (2, 4)], "id_a long, id_b long")
     fields = [{"field": "email", "scorer": "exact", "weight": 1.0, "transforms": ["lowercase", "strip"]}, {"field": "zip", "scorer": "exact", "weight": 3.0}, {"field": "last_name", "scorer": "jaro_winkler", "weight": 1.0}]
