@@ -317,6 +317,14 @@ def test_run_log(spark, tmp_path):
         log.rollback("none")
 
 
+def test_software_patterns_run_once(spark):
+    df = spark.createDataFrame([("Adobe CS 5 for Mac upgrade",), ("Office v.12.1 (x) Professional windows 12345",), (None,), ("",)], "t string").withColumn("t", F.concat("t", F.lit("")))
+    got = D.software_features(df, "t")
+    assert [tuple(r)[1:] for r in got.collect()] == [("adobe", "cs 5", None, "mac", None, True, 0.833333), ("office", "12.1", "pro", "win", "12345", False, 1.0), (None,) * 5 + (False, 0.0), (None,) * 5 + (False, 0.0)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("(?:20[0-2]") + plan.count("20[0-2]") <= 7  # on the text itself twice, to find it and to take it out, else on what was found
+
+
 def test_private_linkage(spark):
     a = spark.createDataFrame([(0, "John Smith"), (1, "Ann Lee")], f"{ID} long, name string")
     b = spark.createDataFrame([(0, "JOHN SMITH"), (1, "Bob Ray")], f"{ID} long, name string")
