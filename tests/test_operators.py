@@ -164,6 +164,17 @@ def test_canopies_cover_all(spark):
     assert all(r.score >= 0.3 for r in got)
 
 
+def test_canopies_of_many_copies(spark):
+    names = ["red widget", "red widgets", "blue gear", "blue gears"]
+    df = spark.createDataFrame([(i, names[i % 4]) for i in range(200)], f"{ID} long, name string")
+    some, every = B.canopies(df, ["name"], 0.3, 0.7, 60), B.canopies(df, ["name"], 0.3, 0.7, None)
+    first = {}
+    for r in sorted(every.collect(), key=lambda r: (r.canopy, -r.score, r.id)):
+        first.setdefault(r.canopy, []).append(r)
+    assert sorted(some.collect()) == sorted(r for rows in first.values() for r in rows[:60])
+    assert "windowspecdefinition(t#" in some._jdf.queryExecution().executedPlan().toString()  # copies go before they meet the canopies
+
+
 def test_learned_rules(people):
     truth = people.sparkSession.createDataFrame([(0, 3)], "id_a long, id_b long")
     rules = B.learn_rules(people, ["first_name", "last_name"], truth, 0.9, 0.5)
