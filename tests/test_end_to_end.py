@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from erspark import api, catalog
+from erspark.operators import blocking as B
+from erspark.operators import scoring as S
 from erspark.operators.clusters import CID, ID
+from erspark.operators.components import connected_components
 from erspark.plans.config import Blocking, BlockKey, Canopy, Config, Matchkey, MatchField, config_of
+from erspark.plans.pipeline import score_key
 from erspark.sources.connectors import materialize_table
-from erspark.streaming.incremental import Resolver, match_one, match_one_near
+from erspark.streaming.incremental import Resolver, incremental_pairs, match_one, match_one_near
 
 SF = "/root/testdata/sf0.001"
 
@@ -192,3 +196,19 @@ def test_matching_by_classes_is_matching_by_rows(spark):
         best = match(t, r, Config([key], plan, auto_fix=False), "best")
         first = {a: min((-s, j) for (i, j), s in want.items() if i == a)[1] for a, _ in want}
         assert {x[0]: x[1] for x in best.scored.collect()} == first
+
+
+@pytest.mark.parametrize("kind", ["probabilistic", "weighted"])
+def test_increment_by_classes(spark, kind):
+    names = ["red bolt", "red bolts", "blue ring", "blue rings", "old nut"]
+    df = spark.createDataFrame([(i * 7 % 120, names[i % 5], i % 3, i % 2) for i in range(120)], f"{ID} long, name string, size long, kind long")
+    fields = [MatchField("name", [], "jaro_winkler", levels=3), MatchField("size", [], "exact")]
+    m = Matchkey("m", kind, fields, 0.9 if kind == "weighted" else None, link_threshold=0.0 if kind == "probabilistic" else None)
+    plan = Config([m], Blocking([BlockKey(["kind"])]))
+    known, new = df.filter(F.col(ID) % 4 != 0), df.filter(F.col(ID) % 4 == 0)
+    cand = B.cross_pairs(new, known, [{"fields": ["kind"]}]).toDF("id_a", "id_b").unionByName(B.static_pairs(new, [{"fields": ["kind"]}]))
+    want = {tuple(r) for r in S.best_per_pair(score_key(df, m, cand, plan.blocking)).collect()}
+    got = incremental_pairs(known, new, plan)
+    links = incremental_pairs(known, new, plan, links=True)
+    assert {tuple(r) for r in got.collect()} == want and {tuple(r) for r in links.collect()} <= want and want
+    assert sorted(connected_components(got).collect()) == sorted(connected_components(links).collect())
