@@ -1,6 +1,7 @@
 """Whole runs, streams, and the queries against DuckDB."""
 
 import os
+from functools import reduce
 
 import duckdb
 import pytest
@@ -9,11 +10,12 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from erspark import api, catalog
 from erspark.operators import blocking as B
+from erspark.operators import clusters as K
 from erspark.operators import scoring as S
 from erspark.operators.clusters import CID, ID
 from erspark.operators.components import connected_components
-from erspark.plans.config import Blocking, BlockKey, Canopy, Config, Matchkey, MatchField, config_of
-from erspark.plans.pipeline import score_key
+from erspark.plans.config import Blocking, BlockKey, Canopy, Config, GoldenRules, Matchkey, MatchField, config_of
+from erspark.plans.pipeline import dedupe, exact_key, score_key
 from erspark.sources.connectors import materialize_table
 from erspark.streaming.incremental import Resolver, incremental_pairs, match_one, match_one_near
 
@@ -212,3 +214,21 @@ def test_increment_by_classes(spark, kind):
     links = incremental_pairs(known, new, plan, links=True)
     assert {tuple(r) for r in got.collect()} == want and {tuple(r) for r in links.collect()} <= want and want
     assert sorted(connected_components(got).collect()) == sorted(connected_components(links).collect())
+
+
+@pytest.mark.parametrize("exact", [True, False])
+@pytest.mark.parametrize("most", [4])
+def test_dedupe_of_classes(spark, most, exact):
+    names = ["red bolt", "red bolts", "red belts", "blue ring", "blue rings", "old nut"]
+    df = spark.createDataFrame([(i * 7 % 72, names[i * 13 % 31 % 6], i % 3, i % 2) for i in range(72)], f"{ID} long, name string, size long, kind long")
+    keys = [Matchkey("e", "exact", [MatchField("name"), MatchField("size"), MatchField("kind")])] if exact else []
+    fuzzy = Matchkey("f", "weighted", [MatchField("name", [], "jaro_winkler", 2.0), MatchField("size", [], "exact", 1.0)], 0.9)
+    got = dedupe(df, Config([*keys, fuzzy], Blocking([BlockKey(["kind"])]), GoldenRules("majority_vote", max_cluster_size=most), auto_fix=False))
+    scored = S.weighted_scores(B.static_pairs(df, [{"fields": ["kind"]}]), df, [f.as_dict() for f in fuzzy.fields], 0.9)
+    if exact:
+        scored = scored.join(got.pairs.filter("score < 1"), ["id_a", "id_b"], "left_semi").filter("score < 1")
+    links = [B.exact_links(df, exact_key(k)) for k in keys] + [scored.withColumn("pairs", F.lit(1.0))]
+    members, clusters = K.build_clusters(reduce(lambda x, y: x.unionByName(y.select(x.columns)), links), df, most)
+    assert got.classes is not None and sorted(got.membership.collect()) == sorted(members.collect())
+    assert {r[CID]: r for r in got.clusters.collect()} == {r[CID]: r for r in clusters.collect()}
+    assert got.pairs.filter("score < 1").count() == scored.filter("score < 1").count() > 0
